@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import bpe_tree, id_shards, line_dedup, quality_rules
+from siltstone.llm.common import batch_of, map_arrow
+
+
+def sha256(text: str | bytes) -> str:
+    return hashlib.sha256(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).hexdigest()
 
-from siltstone.llm import bpe_tree
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,9 +27,43 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, entries = id_shards.write_and_index(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
+    found = id_shards.lookup(store, entries.select("doc_id", "occurrence"), digest=id_shards.crc32_of_ids)
+    return found.select("doc_id", "start", "n_tokens", F.col("ids_digest").alias("ids_crc32"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs, least_chars=20, least_docs=3))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [sha256(line_dedup.kept_text(t.as_py() or "", n, k)) for t, n, k in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield batch_of(schema, [batch.column(0), batch.column(2), batch.column(3), digests])
+
+    return map_arrow(joined.select("doc_id", "text", "_n_lines", "_n_dropped", "_keep"), digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+
+OP7_SQL = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
+k as (select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+s as (select key, max(doc_id) as keeper from k where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+j as (select k.*, s.key is not null and doc_id < keeper as dropped from k left join s on k.key = s.key)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (dropped)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
+from j group by doc_id
+"""
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op5_id_shards": op5_id_shards, "op7_line_dedup": op7_line_dedup, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL, "op10_quality_rules": quality_rules.ORACLE}
