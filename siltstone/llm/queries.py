@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_tree, id_shards, line_dedup, quality_model, quality_rules
+from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, quality_model, quality_rules
 from siltstone.llm.common import batch_of, map_arrow
 
 
@@ -34,6 +34,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_model.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return imatch.compare_with_next(docs, imatch.lexicon(docs, low=3.0, high=6.2))
+
+
 def op5_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, entries = id_shards.write_and_index(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, vocabulary=49_408)
     found = id_shards.lookup(store, entries.select("doc_id", "occurrence"), digest=id_shards.crc32_of_ids)
@@ -69,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op5_id_shards": op5_id_shards, "op7_line_dedup": op7_line_dedup, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op7_line_dedup": op7_line_dedup, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
