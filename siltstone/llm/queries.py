@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, quality_model, quality_rules
+from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, quality_model, quality_rules, source_mix
 from siltstone.llm.common import batch_of, map_arrow
 
 
@@ -45,6 +45,13 @@ def op5_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.col("ids_digest").alias("ids_crc32"))
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per copy of a document in the mix: source weights at 95 % of the greatest entropy, every document at least once."""
+    copies, _ = source_mix.plan(read(spark, sf_dir, "documents"), source_mix.Target(entropy=0.95), seed=6)
+    rows = source_mix.realise(copies, seed=6)
+    return rows.select("doc_id", "source", F.col("mix_n").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copies").alias("copies"), F.col("mix_pass").alias("pass"), F.shiftright("mix_place", 54).cast("int").alias("block"), F.col("mix_place").alias("place"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     joined = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs, least_chars=20, least_docs=3))
@@ -74,7 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op7_line_dedup": op7_line_dedup, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
