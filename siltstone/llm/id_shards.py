@@ -17,6 +17,7 @@ document holds the end id only.  Other columns are not read; an empty table give
 from __future__ import annotations
 
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -50,12 +51,17 @@ def key_hash(doc_id: int | None, occurrence: int) -> int:
 
 
 class ChunkEncoder(dict):
-    """Space-separated chunk -> its ids as bytes, remembered up to `entries` chunks of at most `chars` code points.
+    """Space-separated chunk -> its ids as bytes.
 
-    Right for tokenizers whose normaliser and splitter drop white space and never look past it.
+    Right for tokenizers whose normaliser and splitter drop white space, never look past it, and part letters and
+    digits from other characters: a chunk's punctuation after a letter or digit is then encoded by itself.
+    Remembers two generations of `entries` chunks of at most `chars` code points; the older one goes when the younger
+    is full.  Workers keep it between tasks.
     """
 
-    def __init__(self, tokenizer_path: str, dtype: str, entries: int = 300_000, chars: int = 48):
+    CLOSING = ".,;:!?%*$&#|"
+
+    def __init__(self, tokenizer_path: str, dtype: str, entries: int = 400_000, chars: int = 48):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,15 +70,20 @@ class ChunkEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype, self.entries, self.chars = dtype, entries, chars
-        self[""] = b""
+        self.dtype, self.entries, self.chars, self.older = dtype, entries, chars, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        ids = self.older.get(chunk)
+        if ids is None:
+            word = chunk.rstrip(self.CLOSING)
+            if word and word != chunk and unicodedata.normalize("NFC", word[-1]).lower().isalnum():
+                ids = self[word] + self[chunk[len(word) :]]
+            else:
+                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         if len(chunk) <= self.chars:
             if len(self) >= self.entries:
+                self.older = dict(self)
                 self.clear()
-                self[""] = b""
             self[chunk] = ids
         return ids
 
@@ -80,6 +91,17 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
+_ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+
+
+def chunk_encoder(tokenizer_path: str, dtype: str) -> ChunkEncoder:
+    """This worker's encoder for a tokenizer."""
+    key = (tokenizer_path, dtype)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ChunkEncoder(tokenizer_path, dtype)
+    return _ENCODERS[key]
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, vocabulary: int = 65_536, shard_ids: int = 1 << 26, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Writes shards under `folder`, ids in ascending doc_id order; returns the committed entries, one per document.
 
@@ -91,7 +113,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, vo
     store.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ChunkEncoder(tokenizer_path, dtype), np.array([end_id], dtype=dtype).tobytes()
+        encoder, end = chunk_encoder(tokenizer_path, dtype), np.array([end_id], dtype=dtype).tobytes()
         store, root = open_store(folder)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         seq, held, file, name = -1, shard_ids, None, ""
