@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, quality_model, quality_rules, source_mix
+from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, near_join, quality_model, quality_rules, source_mix
 from siltstone.llm.common import batch_of, map_arrow
 
 
@@ -76,13 +76,35 @@ from j group by doc_id
 """
 
 
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_documents(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+#: Exact links of all pairs of different texts that share a word n-gram, and the least doc_id that links lead to.
+OP8_SQL = r"""
+with recursive t as (select coalesce(text, '') as text, min(doc_id) as rep from documents group by 1),
+w as (select rep, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from t),
+s as (select distinct rep, gram from (
+  select rep, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) else [array_to_string(words, ' ')] end) as gram
+  from w where len(words) > 0)),
+n as (select rep, count(*) as n from s group by rep),
+p as (select a.rep as u, b.rep as v, count(*) as shared from s a join s b on a.gram = b.gram and a.rep <> b.rep group by 1, 2),
+e as (select u, v from p join n x on x.rep = u join n y on y.rep = v where 100 * shared >= 80 * (x.n + y.n - shared)),
+r as (select u as node, v as reached from e union select r.node, e.v from r join e on r.reached = e.u),
+c as (select node, least(node, min(reached)) as class_id from r group by node),
+k as (select u as node, count(*) as n_links from e group by u)
+select d.doc_id, coalesce(c.class_id, t.rep) as class_id, coalesce(k.n_links, 0)::bigint as n_links
+from documents d join t on coalesce(d.text, '') = t.text left join c on c.node = t.rep left join k on k.node = t.rep
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op8_near_join": op8_near_join, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op10_quality_rules": quality_rules.ORACLE}
+    return {"op7_line_dedup": OP7_SQL, "op8_near_join": OP8_SQL, "op10_quality_rules": quality_rules.ORACLE}
