@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +68,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps now rather than at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, near_join, quality_model, quality_rules, source_mix
+from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, near_join, quality_model, quality_rules, source_mix, suffix_dedup
 from siltstone.llm.common import batch_of, map_arrow
 
 
@@ -27,6 +27,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    joined = suffix_dedup.with_spans(docs, suffix_dedup.repeated_spans(docs, suffix_dedup.Settings(length=100)))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                raw, spans = text.as_py().encode("utf-8", "surrogatepass"), suffix_dedup.merged([(x["begin"], x["end"]) for x in found or []])
+                out.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), sha256(suffix_dedup.kept_bytes(raw, spans))))
+            if out:
+                yield batch_of(schema, list(zip(*out, strict=True)))
+
+    return map_arrow(joined, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     pooler, network = quality_model.train(docs, read(spark, sf_dir, "labels"))
@@ -103,7 +120,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op8_near_join": op8_near_join, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op8_near_join": op8_near_join, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
