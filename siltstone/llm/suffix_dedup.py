@@ -17,7 +17,7 @@ positions settles the same question:
 5. Covered windows are joined per document into spans.
 
 Ranks are 64-bit polynomial hashes (odd base, random byte values), compared only under an equal 64-bit gram hash.
-Steps 2 and 3 are one range-partitioned sort by (gram, reach, document, position), so a string that a third of all
+Steps 2 and 3 take one range-partitioned sort by (gram, reach, document, position), so a string that a third of all
 documents hold is dealt over many tasks; the runs at task borders are settled by an aggregate.  In step 4 a gram with
 more than `hot` representatives goes by an aggregate over window rows instead of one task.
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batch_of, cut, free_shuffles, map_arrow, splitmix, staged, task_count, whole_text
+from siltstone.llm.common import batch_of, cut, delete_path, free_shuffles, map_arrow, splitmix, staged, task_count, whole_text
 from siltstone.llm.near_join import group_starts, grouped
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -157,7 +157,10 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(table: pa.RecordBatch, at: np.ndarray, kind: int) -> pa.RecordBatch:
         taken = table.take(pa.array(at))
-        return pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.full(len(at), kind, dtype=np.int32))], schema=_RANKED)
+        # A covered row needs its place only; equal ranks take no room in the written table.
+        none = pa.array(np.zeros(len(at), dtype=np.int64))
+        ranks = [none, none] if kind == 0 else taken.columns[:2]
+        return pa.RecordBatch.from_arrays([*ranks, *taken.columns[2:], pa.array(np.full(len(at), kind, dtype=np.int32))], schema=_RANKED)
 
     for batch in batches:
         n = batch.num_rows
@@ -174,8 +177,9 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first_gram = values[0][0]
             yield rows(batch, np.array([0]), 3)
         at_border = values[0] == first_gram
-        yield rows(batch, np.flatnonzero(at_border & ~repeated), 1)
-        yield rows(batch, np.flatnonzero(~at_border & ~new_reach & ~repeated), 0)
+        # A task's first row of a pair may have an earlier one elsewhere; the pair's other rows have it here.
+        yield rows(batch, np.flatnonzero(at_border & new_reach), 1)
+        yield rows(batch, np.flatnonzero(~new_reach & ~repeated), 0)
         # A second reach under a gram makes both it and the gram's first one representatives.
         heads = np.flatnonzero(new_gram)
         more = np.flatnonzero(new_reach & ~new_gram & ~at_border)
@@ -203,12 +207,15 @@ def whole_reach(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("doc", "row_hash", F.greatest(F.col("pos") - s.back, F.lit(0)).alias("begin"), (F.col("pos") + F.col("ahead")).alias("end"))
 
 
-def ranked(rows: DataFrame, s: Settings, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """Steps 1 to 3: covered spans, and representatives that step 4 has to compare."""
+def rank_table(rows: DataFrame, s: Settings, tasks: int) -> tuple[DataFrame, str]:
+    """The one large sort, written."""
     order = ["gram", "reach", "doc", "row_hash", "pos"]
     dealt = chosen_positions(rows, s).repartitionByRange(tasks, "gram", "reach", "doc").sortWithinPartitions(*order)
-    found, _ = staged(map_arrow(dealt, _rank, CHOSEN + ", kind int"), "repeat-ranks")
-    free_shuffles(found.sparkSession)
+    return staged(map_arrow(dealt, _rank, CHOSEN + ", kind int"), "repeat-ranks")
+
+
+def ranked(found: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Steps 2 and 3 from the written table: covered spans, and representatives that step 4 has to compare."""
     # Two rows a task, whatever the data hold.
     border = F.broadcast(found.where("kind = 3").select("gram").distinct())
     several = found.where("kind = 2").drop("kind")
@@ -319,22 +326,35 @@ def identified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc (NO_ID for null), row_hash, spans array<struct<begin, end>>: byte spans covered by earlier strings, not yet joined; only documents with some."""
-    s, tasks = settings, task_count(docs.sparkSession)
-    rows = identified(docs, id_column, text_column)
-    covered, left = ranked(rows, s, tasks)
-    found, _ = staged(reaches(rows, left, s), "repeat-reaches")
-    free_shuffles(docs.sparkSession)
-    hot = cut(found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > s.hot).select("gram"))
+def span_table(rows: DataFrame, found: DataFrame, s: Settings, tasks: int) -> tuple[DataFrame, list[str]]:
+    """Steps 3 to 5: the written spans, and the folders of what they were made from."""
+    spark = rows.sparkSession
+    covered, left = ranked(found, s)
+    held, held_path = staged(reaches(rows, left, s), "repeat-reaches")
+    free_shuffles(spark)
+    hot = cut(held.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > s.hot).select("gram"))
     if hot.isEmpty():
-        spans = covered.unionByName(window_spans(found, s, tasks))
+        spans = covered.unionByName(window_spans(held, s, tasks))
     else:
-        spans = covered.unionByName(window_spans(found.join(hot, "gram", "left_anti"), s, tasks)).unionByName(hot_window_spans(found.join(hot, "gram", "left_semi"), s))
+        spans = covered.unionByName(window_spans(held.join(hot, "gram", "left_anti"), s, tasks)).unionByName(hot_window_spans(held.join(hot, "gram", "left_semi"), s))
     # A document's own spans, as many as its bytes at most.
     per_doc = spans.groupBy("doc", "row_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    out, _ = staged(per_doc, "repeat-spans")
-    free_shuffles(docs.sparkSession)
+    return staged(per_doc, "repeat-spans")[0], [held_path]
+
+
+def repeated_spans(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc (NO_ID for null), row_hash, spans array<struct<begin, end>>: byte spans covered by earlier strings, not yet joined; only documents with some.
+
+    Tables and shuffles of a step go once the next one is written.
+    """
+    spark, tasks = docs.sparkSession, task_count(docs.sparkSession)
+    rows = identified(docs, id_column, text_column)
+    found, path = rank_table(rows, settings, tasks)
+    free_shuffles(spark)
+    out, used = span_table(rows, found, settings, tasks)
+    for folder in [path, *used]:
+        delete_path(spark, folder)
+    free_shuffles(spark)
     return out
 
 
