@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import fim, language, paths
@@ -438,6 +438,46 @@ def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.collated(rows, "doc_id", 12, 8, 257).select("batch_no", "doc_id", *joined_text("input_ids", "labels", "attention_mask"))
 
 
+# The three record queries above, and their SQL, take 16 lines of a document at most; the next three take every line.
+WHOLE_IDS = f"list_transform({LINES}, lambda x: length(x))"
+WHOLE_WINDOWS_SQL = f"""with i as (select doc_id, {WHOLE_IDS} as ids from documents), w as (select doc_id, ids, unnest(range(ceil(len(ids) / 12)::int))::int as "window" from i),
+s as (select row_number() over (order by doc_id, "window") - 1 as record, doc_id, "window", ids["window" * 12 + 1:"window" * 12 + 12] as ids from w), z as (select *, record // 8 as batch_no, 12 - len(ids) as gap from s), b as (select *, max(gap) over (partition by batch_no) = 0 as whole from z)"""
+
+
+def whole_line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length of every line of each document."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.transform(tx.lines(F.col("text")), F.length).alias("ids"))
+
+
+@query(ORACLES["pad_labels"].replace(IDS, WHOLE_IDS))
+def pad_labels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records shorter than 16 are padded; longer ones stay whole."""
+    rows = whole_line_lengths(spark, sf_dir).select("doc_id", packing.packed_record(F.col("ids"), 16, 257).alias("r")).select("doc_id", "r.*")
+    return rows.select("doc_id", *joined_text("input_ids", "labels", "attention_mask"))
+
+
+@query(ORACLES["padded_windows"].replace(IDS, WHOLE_IDS))
+def padded_windows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = whole_line_lengths(spark, sf_dir).select("doc_id", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"))
+    return windows.token_windows(records, 6, ("input_ids", "labels"), pad={"input_ids": 0, "labels": packing.IGNORED}).select("doc_id", "window", *joined_text("input_ids", "labels"))
+
+
+@query(f"""{WHOLE_WINDOWS_SQL} select batch_no, record, array_to_string(list_concat(ids, list_transform(range(gap), lambda k: 257)), ',') as input_ids, array_to_string(list_concat(ids, list_transform(range(gap), lambda k: -100)), ',') as labels,
+case when not whole then array_to_string(list_concat(list_transform(ids, lambda k: 1), list_transform(range(gap), lambda k: 0)), ',') end as attention_mask from b""")
+def collate_batches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are windows of the batch's length, so that collating cuts nothing off.
+
+    A record's number is a sum over ranges of doc_id and a sum inside one: it does not depend on how rows are dealt to tasks.
+    """
+    docs = whole_line_lengths(spark, sf_dir).where(F.size("ids") > 0).withColumns({"n": windows.windows_per_record(F.size("ids"), 12), "range": F.floor(F.col("doc_id") / 4096)})
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = docs.groupBy("range").agg(F.sum("n").alias("n")).select("range", earlier(Window.orderBy("range")).alias("start"))
+    placed = docs.withColumn("inside", earlier(Window.partitionBy("range").orderBy("doc_id"))).join(starts, "range")
+    cut = windows.token_windows(placed, 12, ("ids",))
+    rows = cut.select((F.col("start") + F.col("inside") + F.col("window")).alias("record"), packing.packed_record(F.col("ids"), 12, 257).alias("r")).select("record", "r.*")
+    return windows.collated(rows, "record", 12, 8, 257).select("batch_no", "record", *joined_text("input_ids", "labels", "attention_mask"))
+
+
 @query("""with r as (select doc_id, ('0x' || substr(md5(doc_id || ':42:1'), 1, 15))::bigint as rank from documents), n as (select doc_id, row_number() over (order by rank, doc_id) - 1 as place from r)
 select doc_id, place // 64 as batch_no from n where place // 64 < (select count(*) // 64 from documents)""")
 def prefetch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
