@@ -1,7 +1,7 @@
 """Secret scan with a random forest that removes false positives (operator 9).
 
 Candidates are runs of 16 or more key characters that hold a digit, and quoted or bare values of 8 or more characters
-assigned to a telling name.  A forest over each candidate's length, character classes and transitions between them,
+assigned to a telling name, up to the first white space, quote or angle bracket, however long.  A forest over each candidate's length, character classes and transitions between them,
 entropy, dictionary coverage, path signs and neighbouring words decides which are secrets.
 
 The forest learns from labelled findings: rows (before, candidate, after, label).  `example_findings` makes such rows
@@ -37,7 +37,7 @@ HARMLESS = ("build", "checksum", "commit", "digest", "etag", "example", "fingerp
 WORDS = ("access", "account", "admin", "application", "base", "build", "change", "client", "code", "config", "content", "data", "default", "demo", "document", "dummy", "error", "example", "file", "handler", "image", "index", "info", "insert", "item", "list", "main", "manager", "message", "model", "name", "node", "object", "page", "password", "path", "project", "public", "request", "response", "sample", "secret", "server", "service", "session", "source", "state", "string", "system", "table", "test", "text", "token", "type", "user", "value", "version", "your")
 
 RUN = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
-ASSIGNED = re.compile(r"(?i)(?:" + "|".join(sorted(TELLING, key=len, reverse=True)) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,200})")
+ASSIGNED = re.compile(r"(?i)(?:" + "|".join(sorted(TELLING, key=len, reverse=True)) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,})")
 NEIGHBOUR = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 CONTEXT = 40
 FEATURES = ("length", "lower", "upper", "digit", "other", "turns", "entropy", "hex", "longest_letters", "coverage", "slashes", "path_before", "telling", "harmless", "assigned", "quoted", "uuid", "repeats", "ordered")
