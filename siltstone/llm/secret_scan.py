@@ -1,8 +1,11 @@
 """Secret scan with a random forest that removes false positives (operator 9).
 
-Candidates are runs of 16 or more key characters that hold a digit, and quoted or bare values of 8 or more characters
-assigned to a telling name, up to the first white space, quote or angle bracket, however long.  A forest over each candidate's length, character classes and transitions between them,
-entropy, dictionary coverage, path signs and neighbouring words decides which are secrets.
+Candidates are runs of 16 or more key characters; quoted or bare values of 8 or more characters assigned to a telling
+name, up to the first white space, quote or angle bracket, however long; and what stands without an assignment in a
+known form: keys with a provider's prefix and JSON web tokens, tokens of an Authorization or Bearer header, passwords
+in URLs, and bodies of PEM private keys, all lines as one.  A forest over each candidate's length, character classes and
+transitions between them, entropy, dictionary coverage, path signs, neighbouring words and known forms decides which
+are secrets.
 
 The forest learns from labelled findings: rows (before, candidate, after, label).  `example_findings` makes such rows
 from a seed, for lack of a labelled table; callers may pass their own.  Training is bounded by `max_rows` rows.
@@ -36,31 +39,41 @@ HARMLESS = ("build", "checksum", "commit", "digest", "etag", "example", "fingerp
 #: Common words for the coverage of a candidate by words.
 WORDS = ("access", "account", "admin", "application", "base", "build", "change", "client", "code", "config", "content", "data", "default", "demo", "document", "dummy", "error", "example", "file", "handler", "image", "index", "info", "insert", "item", "list", "main", "manager", "message", "model", "name", "node", "object", "page", "password", "path", "project", "public", "request", "response", "sample", "secret", "server", "service", "session", "source", "state", "string", "system", "table", "test", "text", "token", "type", "user", "value", "version", "your")
 
-RUN = re.compile(r"[A-Za-z0-9+/=_\-]{16,}")
-ASSIGNED = re.compile(r"(?i)(?:" + "|".join(sorted(TELLING, key=len, reverse=True)) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,})")
+LEAST = 16
+RUN = re.compile(rf"[A-Za-z0-9+/=_\-]{{{LEAST},}}")
+ASSIGNED = re.compile(r"(?i)(?:" + "|".join(sorted(TELLING, key=len, reverse=True)) + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?!-----)([^\s\"'<>]{8,})")
+#: Forms that need no assignment.
+PROVIDER = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abeoprs]-[A-Za-z0-9\-]{10,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{20,}|AIza[A-Za-z0-9_\-]{35}|ya29\.[A-Za-z0-9_\-.]{20,}|npm_[A-Za-z0-9]{36}|pypi-[A-Za-z0-9_\-]{32,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|dop_v1_[0-9a-f]{64}|shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}(?:\.[A-Za-z0-9_\-]*)*)(?![A-Za-z0-9])")
+_SCHEME = r"(?:bearer|authorization[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?:basic|token|apikey|negotiate))\s+"
+HEADER = re.compile(r"(?i)(?<![A-Za-z0-9_])" + _SCHEME + r"([A-Za-z0-9._~+/\-]{8,}=*)")
+URL = re.compile(r"://[^\s/?#:@\"'<>]*:([^\s/?#@\"'<>]+)@")
+_GAP, _LINE = r"(?:\\[rn]|\s)+", r"[A-Za-z0-9+/=]"
+PEM = re.compile(rf"PRIVATE KEY(?: BLOCK)?-----{_GAP}((?:[A-Za-z][A-Za-z0-9\-]*: [^\n\\]*{_GAP})*(?:{_LINE}+(?:{_GAP}{_LINE}+)*(?=(?:{_GAP})?-----END)|{_LINE}{{16,}}(?:{_GAP}{_LINE}{{16,}})*))")
+AFTER_SCHEME, AFTER_USER, AFTER_PEM = re.compile(rf"(?i){_SCHEME}$"), re.compile(r"(?:://|^)[^\s/?#:@\"'<>]*:$"), re.compile(rf"PRIVATE KEY(?: BLOCK)?-----{_GAP}$")
 NEIGHBOUR = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 CONTEXT = 40
-FEATURES = ("length", "lower", "upper", "digit", "other", "turns", "entropy", "hex", "longest_letters", "coverage", "slashes", "path_before", "telling", "harmless", "assigned", "quoted", "uuid", "repeats", "ordered")
+FEATURES = ("length", "lower", "upper", "digit", "other", "turns", "entropy", "hex", "longest_letters", "coverage", "slashes", "path_before", "telling", "harmless", "assigned", "quoted", "uuid", "repeats", "ordered", "provider", "header", "url", "pem")
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans in order, without overlaps; of two that overlap the assigned value stays."""
-    found = [m.span(1) for m in ASSIGNED.finditer(text)]
-    taken = iter(found)
-    out, hold = [], next(taken, None)
+    """Spans in order, without overlaps: of two that overlap the one that holds the other stays; a run gives what is outside them."""
+    found: list[tuple[int, int]] = []
+    for span in sorted((m.span(1) for form in (ASSIGNED, PROVIDER, HEADER, URL, PEM) for m in form.finditer(text)), key=lambda x: (x[0], -x[1])):
+        if not found or span[0] >= found[-1][1]:
+            found.append(span)
+    out, k, edge = [], 0, 0
     for m in RUN.finditer(text):
-        begin, end = m.span()
-        while hold is not None and hold[1] <= begin:
-            out.append(hold)
-            hold = next(taken, None)
-        if hold is not None and hold[0] < end:
-            continue
-        if any(c.isdigit() for c in m.group()):
+        begin, end = max(m.start(), edge), m.end()
+        while k < len(found) and found[k][0] < end:
+            if found[k][0] - begin >= LEAST:
+                out.append((begin, found[k][0]))
+            edge = found[k][1]
+            begin = max(begin, edge)
+            out.append(found[k])
+            k += 1
+        if end - begin >= LEAST:
             out.append((begin, end))
-    while hold is not None:
-        out.append(hold)
-        hold = next(taken, None)
-    return out
+    return out + found[k:]
 
 
 def _kind(c: str) -> int:
@@ -97,22 +110,61 @@ def features(before: str, value: str, after: str) -> list[float]:
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", value))),
         max(count.values()) / n,
         sum(ord(b) - ord(a) == 1 for a, b in zip(value, value[1:], strict=False)) / max(n - 1, 1),
+        float(bool(PROVIDER.fullmatch(value))),
+        float(bool(AFTER_SCHEME.search(before))),
+        float(after[:1] == "@" and bool(AFTER_USER.search(before))),
+        float(bool(AFTER_PEM.search(before))),
     ]
 
 
 def example_findings(n: int = 4000, seed: int = 9) -> list[tuple[str, str, str, int]]:
-    """Labelled findings (before, candidate, after, label) made from a seed: half secrets, half look-alikes."""
+    """Labelled findings (before, candidate, after, label) made from a seed, half secrets, half look-alikes: n with assigned values, then n without."""
     rng = random.Random(seed)
     of = lambda letters, size: "".join(rng.choice(letters) for _ in range(size))
     hexes, mixed = "0123456789abcdef", string.ascii_letters + string.digits
     prose = lambda: " ".join(of("etaoinshrdlu", rng.randint(2, 9)) for _ in range(rng.randint(0, 5)))
+
+    def jwt() -> str:
+        return "eyJ" + ".".join(of(mixed + "-_", rng.randint(*size)) for size in ((15, 60), (20, 700), (43, 86)))
+
+    def bare(lead: str, quote: str) -> tuple[str, str, str]:
+        """A secret without an assignment."""
+        kind = rng.randrange(4)
+        if kind == 0:
+            upper = string.ascii_uppercase + string.digits
+            value = rng.choice([lambda: rng.choice(["AKIA", "ASIA"]) + of(upper, 16), lambda: f"gh{rng.choice('pousr')}_" + of(mixed, 36), lambda: "github_pat_" + of(mixed, 22) + "_" + of(mixed, 59), lambda: "glpat-" + of(mixed, 20), lambda: f"xox{rng.choice('bp')}-" + of(string.digits, 12) + "-" + of(mixed, 24), lambda: rng.choice(["sk_live_", "rk_live_", "sk_test_"]) + of(mixed, 24), lambda: "sk-" + of(mixed, 48), lambda: "AIza" + of(mixed + "-_", 35), lambda: "ya29." + of(mixed + "-_", 60), lambda: "npm_" + of(mixed, 36), lambda: "pypi-" + of(mixed + "-_", 150), lambda: "hf_" + of(mixed, 34), lambda: "SG." + of(mixed, 22) + "." + of(mixed, 43), lambda: "dop_v1_" + of(hexes, 64), lambda: "shpat_" + of(hexes, 32), jwt])()
+            return rng.choice([f"{lead} {quote}", quote, f"{lead} ({quote}"]), value, quote + " " + prose()
+        if kind == 1:
+            value = rng.choice([lambda: of(mixed, rng.randint(16, 80)), lambda: of(string.ascii_letters, rng.randint(16, 64)), lambda: of(hexes, rng.choice([32, 40, 64])), lambda: of(mixed + "+/", rng.randint(12, 60)) + rng.choice(["", "=", "=="]), jwt])()
+            return f"{lead} {quote}" + rng.choice(["Authorization: Bearer ", "authorization: bearer ", "Authorization: Basic ", "Authorization: token ", "Bearer "]), value, quote + " " + prose()
+        if kind == 2:
+            value = rng.choice([lambda: of(mixed, rng.randint(6, 32)), lambda: of(string.ascii_letters, rng.randint(8, 24)), lambda: of(mixed + "!$%^&*-_", rng.randint(6, 24)), lambda: rng.choice(WORDS) + of(string.digits + "!", rng.randint(1, 4))])()
+            return f"{lead} {quote}{rng.choice(['postgres', 'https', 'mysql', 'mongodb+srv', 'amqp', 'redis', 'ftp'])}://{rng.choice(['', *WORDS])}:", value, "@" + rng.choice(WORDS)
+        end = rng.choice(["\n", "\\n", " "])
+        head = rng.choice(["RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", ""])
+        value = end.join([*(of(mixed + "+/", 64) for _ in range(rng.randint(0, 40))), of(mixed + "+/", rng.randint(16, 64)) + rng.choice(["", "=", "=="])])
+        return f"-----BEGIN {head}PRIVATE KEY-----{end}", value, rng.choice([f"{end}-----END {head}PRIVATE KEY-----", ""])
+
+    def unlike(lead: str, quote: str) -> tuple[str, str, str, int]:
+        """What only looks like one: runs of words or one character, and stand-ins in the known forms."""
+        words = [rng.choice(WORDS) for _ in range(rng.randint(3, 7))]
+        if rng.randrange(2):
+            return f"{lead} {quote}", rng.choice([lambda: rng.choice("_-/").join(words), lambda: "".join(w.title() for w in words), lambda: rng.choice("=-_+") * rng.randint(16, 90), lambda: of(string.ascii_lowercase, rng.randint(16, 30))])(), quote + " " + prose(), 0
+        stand_in = rng.choice(["x", "X", "*", "your_token_here", "access_token", "EXAMPLE", "<token>"]) * rng.randint(3, 12)
+        word = rng.choice(["password", "pass", "pwd", "passwd", "secret", "user", "****", "xxxx", "...", "$PASSWORD", "${DB_PASS}", "{password}", "%s"])
+        return rng.choice([(f"{lead} {quote}", rng.choice(["AKIA", "ghp_", "sk-", "sk_live_", "hf_"]) + rng.choice("xX0") * rng.randint(16, 44), quote + " " + prose(), 0), (f"{lead} {quote}Authorization: Bearer ", stand_in, quote, 0), (f"{lead} bearer ", "-".join(words[:3]), " " + prose(), 0), (f"{lead} https://{rng.choice(WORDS)}:", word, "@" + rng.choice(WORDS), 0)])
+
     out = []
-    for k in range(n):
+    for k in range(2 * n):
         lead, quote = prose(), rng.choice(['"', "'", ""])
         link = rng.choice([" = ", "=", ": ", ":"])
+        if k >= n:
+            out.append((*bare(lead, quote), 1) if k % 2 else unlike(lead, quote))
+            continue
         if k % 2:
-            value = rng.choice([lambda: of(hexes, rng.choice([32, 40, 48, 64])), lambda: of(mixed, rng.randint(20, 64)), lambda: of(mixed + "+/", rng.choice([40, 44, 88])) + rng.choice(["", "=", "=="]), lambda: of(mixed + "!@#%^&", rng.randint(10, 24)) + of(string.digits, 2)])()
-            out.append((f"{lead} {rng.choice(['', 'my_', 'aws_', 'db_', 'x-'])}{rng.choice(TELLING)}{link}{quote}", value, quote + " " + prose(), 1))
+            value = rng.choice([lambda: of(hexes, rng.choice([32, 40, 48, 64])), lambda: of(mixed, rng.randint(20, 64)), lambda: of(string.ascii_letters, rng.randint(20, 64)), lambda: of(mixed + "+/", rng.choice([40, 44, 88])) + rng.choice(["", "=", "=="]), lambda: of(mixed + "!@#%^&", rng.randint(10, 24)) + of(string.digits, 2)])()
+            aside = rng.choice(["", "", f"{rng.choice(HARMLESS)}.com ", f"{rng.choice(HARMLESS)} of "])
+            out.append((f"{lead} {aside}{rng.choice(['', 'my_', 'aws_', 'db_', 'x-'])}{rng.choice(TELLING)}{link}{quote}", value, quote + " " + prose(), 1))
             continue
         shape = rng.randrange(7)
         if shape == 0:
@@ -128,6 +180,7 @@ def example_findings(n: int = 4000, seed: int = 9) -> list[tuple[str, str, str,
         elif shape == 5:
             out.append((f"{lead} {rng.choice(TELLING)}{link}{quote}", rng.choice(["x", "0", "*", "your_token_here_", "changeme", "1234567890abcdef", "example"]) * rng.randint(2, 8) + "xxxxxxxx", quote, 0))
         else:
+            # Bare random runs: without a name, a prefix, a header, a URL or a PEM head nothing tells an identifier from a secret.
             out.append((f"{lead} ", of(rng.choice([string.ascii_lowercase, mixed]), rng.randint(16, 40)) + of(string.digits, rng.randint(1, 3)), " " + prose(), 0))
     return out
 
