@@ -239,6 +239,13 @@ def seen_hash_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.without_seen(docs.where("doc_id % 2 = 0"), dedup.content_hashes(docs.where("doc_id % 2 = 1"))).select("doc_id")
 
 
+# The query above, and its SQL, judge even ids against odd ones; this one judges every document against whole other tables.
+@query(f"with seen as (select sha256({NORMAL}) as h from benchmark union select sha256({NORMAL}) from conversations) select doc_id from documents where sha256({NORMAL}) not in (select h from seen where h is not null)")
+def seen_hash_anti_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = dedup.content_hashes(read(spark, sf_dir, "benchmark")).unionByName(dedup.content_hashes(read(spark, sf_dir, "conversations")))
+    return dedup.without_seen(read(spark, sf_dir, "documents").select("doc_id", "text"), seen).select("doc_id")
+
+
 @query()
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of exact, then MinHash deduplication; permutations are this engine's own, so rows are checked by tests."""

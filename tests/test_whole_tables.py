@@ -10,6 +10,9 @@ def tables(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("whole"))
     rows = [(0, "\n".join("x" * (k % 7) for k in range(100))), (1, "one line"), (2, "\n".join("ab" for _ in range(17)))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(0, "One  LINE")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    turns = [(7, k, "user", f"turn {k}") for k in range(8)] + [(8, 0, "user", "alone"), (9, 0, "user", "\n".join("ab" for _ in range(17)))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -17,3 +20,7 @@ def tables(spark, tmp_path_factory):
 def test_records_hold_every_line(spark, tables, name):
     kept = [int(x) for r in plans.QUERIES[name](spark, tables).collect() for x in r.labels.split(",") if x != "-100"]
     assert sorted(kept) == sorted([k % 7 for k in range(100)] + [8] + [2] * 17)
+
+
+def test_every_document_meets_the_seen_hashes(spark, tables):
+    assert [r.doc_id for r in plans.QUERIES["seen_hash_anti_whole"](spark, tables).collect()] == [0]
