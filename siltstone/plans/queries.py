@@ -537,6 +537,14 @@ def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compared(turns.where("turn = 0"), turns.where("turn = 1"), "conv_id", ["text"]).select(F.lit(0).cast("long").alias("turn"), "conv_id", "text_left", "text_right")
 
 
+# The query above, and its SQL, compare turn 0 with turn 1; this one compares every turn with the next.
+@query("select a.turn, a.conv_id, a.text as text_left, b.text as text_right from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1")
+def compare_results_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
+    at = lambda back: turns.withColumn("key", F.struct("conv_id", (F.col("turn") - back).alias("turn")))
+    return evaluation.compared(at(0), at(1), "key", ["text"]).select("key.turn", "key.conv_id", "text_left", "text_right")
+
+
 @query()
 def synthetic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.synthetic_records(spark, 64, 32, 1000)

@@ -24,3 +24,8 @@ def test_records_hold_every_line(spark, tables, name):
 
 def test_every_document_meets_the_seen_hashes(spark, tables):
     assert [r.doc_id for r in plans.QUERIES["seen_hash_anti_whole"](spark, tables).collect()] == [0]
+
+
+def test_every_turn_is_compared_with_the_next(spark, tables):
+    rows = plans.QUERIES["compare_results_whole"](spark, tables).collect()
+    assert sorted((r.conv_id, r.turn, r.text_left, r.text_right) for r in rows) == [(7, k, f"turn {k}", f"turn {k + 1}") for k in range(7)]
