@@ -1,10 +1,11 @@
-"""Near-duplicate join on word n-grams by a MinHash LSH forest with exact verification (operator 8).
+"""Near-duplicate join on word n-grams by MinHash bands, an LSH forest of one fixed depth, with exact verification (operator 8).
 
 1. Equal texts are one node (a 64-bit hash); everything below is per node, so copies never meet each other.
-2. A node's signature has `trees` labels of `label` minimum hashes.  A tree is a sorted trie of labels; nodes meet in it
-   if their labels agree on a prefix.  The prefix starts at the whole label and is shortened, one hash at a time, until
-   the chance that two nodes at the threshold meet in some tree, 1 - (1 - t**d)**trees, reaches `recall`.
-3. Nodes that share a trie node form a bucket.  A bucket is worked off in blocks of `block` nodes, each pair of blocks
+2. A node's signature has `trees` labels of `label` minimum hashes.  Nodes meet in a tree if their labels agree on a
+   prefix of one depth, the same for all nodes: the longest d for which the chance that two nodes at the threshold meet
+   in some tree, 1 - (1 - t**d)**trees, reaches `recall`.  So a tree is a band, its key a hash of the prefix; there are
+   no sorted tries, and no prefix is shortened by what it meets.  Hashes past the depth serve the signature filter only.
+3. Nodes that share a band's key form a bucket.  A bucket is worked off in blocks of `block` nodes, each pair of blocks
    a group of its own, so a hot bucket is dealt over many tasks and none holds more than two blocks.  A group compares
    signatures and returns a spanning forest of the pairs that may reach the threshold, never all pairs.
 4. Forests joined over all buckets give clusters.  A cluster is verified in blocks in the same way, on the whole sets
