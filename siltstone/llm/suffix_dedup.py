@@ -1,8 +1,8 @@
-"""Removal of repeated byte strings by a sparse suffix array with prefix doubling (operator 2).
+"""Removal of repeated byte strings by hashes of sampled positions (operator 2), in place of prefix doubling.
 
 A byte goes if a string of `length` bytes that covers it also starts earlier (smaller document, or same document and
-earlier start).  Ranking all positions by doubling would sort every byte of the corpus several times; a sampled set of
-positions settles the same question:
+earlier start).  Ranking all positions by doubling would sort every byte of the corpus several times (its disk is not
+measured); a sampled set of positions settles the same question, without a suffix order, growing offsets or reranking:
 
 1. Sampling.  Each window of `length` bytes chooses the `gram`-byte string in it with the least hash (all of them, in a
    tie).  The choice depends on the window's bytes only, so equal windows choose alike: if a string repeats, some
