@@ -340,11 +340,48 @@ def mixture_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixture_report(mixed(spark, sf_dir), mixture.targets(spark, PROPORTIONS, MIX_TOKENS))
 
 
+# The two queries above, and their SQL, mix 70,000 tokens of five sources; the next two mix 3/4 of all tokens of all sources.
+# The kth of n sources by name gets k / (1 + ... + n) of them: the last ones run out, and the others fill up.
+INPUT_TARGET_SQL = """(select source, 2.0::double * k / (n * (n + 1)) as proportion, (3 * total * k // (2 * n * (n + 1)))::bigint as target
+from (select source, row_number() over (order by source) as k, count(*) over () as n, (sum(tokens) over ())::bigint as total from (select source, sum(greatest(1, length(text) // 4))::bigint as tokens from documents where source is not null group by 1))) as t"""
+
+
+def estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "source", tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+def input_targets(docs: DataFrame) -> DataFrame:
+    """source, proportion, target from the input's own sources and tokens; one row a source."""
+    every = Window.partitionBy()
+    sums = docs.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    placed = sums.select("source", F.row_number().over(Window.orderBy("source")).cast("long").alias("k"), F.count("*").over(every).alias("n"), F.sum("tokens").over(every).alias("total"))
+    return placed.select("source", F.expr("2.0D * k / (n * (n + 1))").alias("proportion"), F.expr("3 * total * k div (2 * n * (n + 1))").alias("target"))
+
+
+def mixed_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = estimated(spark, sf_dir)
+    table = spark.createDataFrame(input_targets(docs).collect(), "source string, proportion double, target long")
+    return mixture.mix(docs, table, "doc_id"), table
+
+
+@query(ORACLES["mix_quota"].replace(TARGET_SQL, INPUT_TARGET_SQL))
+def mix_quota_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_whole(spark, sf_dir)[0]
+
+
+@query(ORACLES["mixture_report"].replace(TARGET_SQL, INPUT_TARGET_SQL))
+def mixture_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture_report(*mixed_whole(spark, sf_dir))
+
+
 @query()
 def mix_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded sequential draw; tests hold it against its row-by-row definition."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", tx.token_estimate(F.col("text")).alias("tokens"))
-    return mixture.mix_replay(docs, PROPORTIONS, MIX_TOKENS, "doc_id")
+    docs = estimated(spark, sf_dir)
+    rows = input_targets(docs).collect()
+    # Each goal again is its proportion of the total, rounded down.
+    total = sum(r.target for r in rows)
+    return mixture.mix_replay(docs, {r.source: r.proportion for r in rows}, total, "doc_id")
 
 
 @query("with p as (select source, count(*)::double as proportion from documents group by 1) select source, proportion / sum(proportion) over () as proportion from p")

@@ -29,3 +29,16 @@ def test_every_document_meets_the_seen_hashes(spark, tables):
 def test_every_turn_is_compared_with_the_next(spark, tables):
     rows = plans.QUERIES["compare_results_whole"](spark, tables).collect()
     assert sorted((r.conv_id, r.turn, r.text_left, r.text_right) for r in rows) == [(7, k, f"turn {k}", f"turn {k + 1}") for k in range(7)]
+
+
+def test_a_mix_grows_with_its_input(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in plans.estimated(spark, folder).collect()}
+    sources, total = {r.source for r in docs.values()}, sum(r.tokens for r in docs.values())
+    taken = plans.QUERIES["mix_quota_whole"](spark, folder).collect()
+    report = {r.source: r for r in plans.QUERIES["mixture_report_whole"](spark, folder).collect()}
+    assert {r.source for r in taken} == set(report) == sources and len(sources) > 5
+    assert sum(r.tokens for r in taken) >= 0.75 * total - len(sources)
+    assert min(r.completion for r in report.values()) < 1 < max(r.completion for r in report.values())
+    drawn = plans.QUERIES["mix_replay"](spark, folder).collect()
+    assert {docs[r.key].source for r in drawn} == sources and sum(docs[r.key].tokens for r in drawn) >= 0.75 * total - 2 * len(sources)
