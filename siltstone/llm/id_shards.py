@@ -17,7 +17,6 @@ document holds the end id only.  Other columns are not read; an empty table give
 from __future__ import annotations
 
 import struct
-import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -26,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
@@ -50,45 +50,89 @@ def key_hash(doc_id: int | None, occurrence: int) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(raw), "little", signed=True)
 
 
-class ChunkEncoder(dict):
-    """Space-separated chunk -> its ids as bytes.
+class ChunkEncoder:
+    """Texts -> their ids as bytes, by chunks between ASCII white space, each different one of a slice encoded once.
 
-    Right for tokenizers whose normaliser and splitter drop white space, never look past it, and part letters and
-    digits from other characters: a chunk's punctuation after a letter or digit is then encoded by itself.
-    Remembers two generations of `entries` chunks of at most `chars` code points; the older one goes when the younger
-    is full.  Workers keep it between tasks.
+    Right for tokenizers whose normaliser and splitter drop white space, never look past it, and part letters and digits
+    from other characters, and whose special strings hold no white space and end in none of CLOSING.  Arrow splits the
+    texts, numbers their different pieces and gathers the ids; the pieces are encoded in few calls, a mark of its own id
+    between them.
     """
 
-    CLOSING = ".,;:!?%*$&#|"
+    #: A chunk's end of these, after an ASCII letter or digit, is a piece of its own, so that a word is encoded once.
+    CLOSING = r"^(?P<head>.*[0-9A-Za-z])(?P<tail>[.,;:!?%*$&#]+)$"
 
-    def __init__(self, tokenizer_path: str, dtype: str, entries: int = 400_000, chars: int = 48):
+    def __init__(self, tokenizer_path: str, dtype: str, pieces: int = 100_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype, self.entries, self.chars, self.older = dtype, entries, chars, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
-        if ids is None:
-            word = chunk.rstrip(self.CLOSING)
-            if word and word != chunk and unicodedata.normalize("NFC", word[-1]).lower().isalnum():
-                ids = self[word] + self[chunk[len(word) :]]
-            else:
-                ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if len(chunk) <= self.chars:
-            if len(self) >= self.entries:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        self.dtype, self.pieces = np.dtype(dtype), pieces
+        # A rare character that is one id by itself; without one, pieces are encoded one by one.
+        self.mark, self.mark_id = next(((c, ids[0]) for c in "~^`" if len(ids := self.ids(c)) == 1), (None, None))
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def encoded(self, pieces: pa.StringArray, link: str | None) -> pa.BinaryArray:
+        """Ids of each piece; `link` holds the mark, which no piece holds.  Without a link, or if it did not stay apart, one by one."""
+        if link is not None:
+            ids = self.ids(link.join(pieces.to_pylist()))
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) == len(pieces) - 1:
+                ends = np.concatenate([[0], at - np.arange(len(at)), [len(ids) - len(at)]]) * self.dtype.itemsize
+                return pa.BinaryArray.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.delete(ids, at))])
+        return pa.array([self.ids(x).tobytes() for x in pieces.to_pylist()], pa.binary())
+
+    def of_pieces(self, pieces: pa.StringArray) -> pa.Array:
+        """Ids of different pieces."""
+        at = np.arange(len(pieces))
+        marked = np.ones(len(pieces), dtype=bool) if self.mark is None else np.asarray(pc.match_substring(pieces, self.mark))
+        # ASCII letters part from the mark without a space.
+        words = ~marked & np.asarray(pc.ascii_is_alpha(pieces))
+        order, found = [], []
+        for part, link in ((at[words], self.mark), (at[~marked & ~words], f" {self.mark} "), (at[marked], None)):
+            for k in range(0, len(part), self.pieces):
+                order.append(part[k : k + self.pieces])
+                found.append(self.encoded(pieces.take(pa.array(order[-1])), link))
+        if not found:
+            return pa.array([], pa.binary())
+        return pa.concat_arrays(found).take(pa.array(np.argsort(np.concatenate(order))))
+
+    def of_chunks(self, chunks: pa.StringArray) -> pa.Array:
+        """Ids of different chunks."""
+        split = pc.extract_regex(chunks, self.CLOSING)
+        whole = np.asarray(split.is_null())
+        heads, tails = pc.if_else(split.is_null(), chunks, split.field("head")), pc.if_else(split.is_null(), "", split.field("tail"))
+        numbered = pa.concat_arrays([heads, tails]).dictionary_encode()
+        ids, index = self.of_pieces(numbered.dictionary), numbered.indices
+        first, second = ids.take(index.slice(0, len(chunks))), ids.take(index.slice(len(chunks)))
+        return first if whole.all() else pc.binary_join_element_wise(first, second, pa.scalar(b"", pa.binary()))
+
+    def __call__(self, texts: pa.StringArray) -> list[memoryview]:
+        """Ids of each text; no nulls."""
+        rows = pc.ascii_split_whitespace(texts)
+        numbered = rows.flatten().dictionary_encode()
+        ids = self.of_chunks(numbered.dictionary).take(numbered.indices)
+        if not len(ids):
+            return [memoryview(b"")] * len(texts)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        at = ends[rows.offsets.to_numpy() - rows.offsets[0].as_py()].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def slices(texts: pa.StringArray, size: int = 32_000_000) -> Iterator[pa.StringArray]:
+    """Texts in order, in arrays of at most `size` bytes or one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts.slice(begin, end - begin)
+        begin = end
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
@@ -121,7 +165,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, vo
         try:
             for batch in batches:
                 rows = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                encoded = (ids for part in slices(batch.column(1)) for ids in encoder(part))
+                for doc, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                     if held >= shard_ids:
                         if file is not None:
                             file.close()
@@ -130,9 +175,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, vo
                         file.write(MAGIC + struct.pack("<II", size, 0))
                     occurrence = occurrence + 1 if doc == last else 0
                     last = doc
-                    ids = encoder.encode(text.as_py()) + end
                     file.write(ids)
-                    n = len(ids) // size
+                    file.write(end)
+                    n = len(ids) // size + 1
                     rows.append((doc, occurrence, key_hash(doc, occurrence), part, seq, name, held, n))
                     held += n
                 if rows:

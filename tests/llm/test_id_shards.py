@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -13,16 +14,27 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def library():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_chunks_equal_the_library():
-    encoder, encode, rng = id_shards.ChunkEncoder(PATH, "<u2", entries=50), library(), random.Random(3)
-    letters = list("abé's.,!?;Aİß ́½²\n\t  \x1c\x85 #-_<>|’漢😀1̈ò")
-    for _ in range(4000):
-        text = "".join(rng.choice(letters) for _ in range(rng.randrange(20)))
-        assert np.frombuffer(encoder.encode(text), "<u2").tolist() == encode(text), repr(text)
+    encoder, encode, rng = id_shards.ChunkEncoder(PATH, "<u2", pieces=7), library(), random.Random(3)
+    letters = [*"abé's.,!?;Aİß ́½²\n\t  \x1c\x85 #-_<>|’漢😀1̈ò ~^", "<|endoftext|>", "<|startoftext|>", "x" * 60]
+    for _ in range(400):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(20))) for _ in range(10)]
+        for text, ids in zip(texts, encoder(pa.array(texts)), strict=True):
+            assert np.frombuffer(ids, "<u2").tolist() == encode(text), repr(text)
+
+
+def test_special_strings_are_special_ids():
+    assert np.frombuffer(id_shards.ChunkEncoder(PATH, "<u2")(pa.array(["a <|endoftext|> b<|startoftext|>."]))[0], "<u2").tolist() == library()("a <|endoftext|> b<|startoftext|>.")
+    assert 49407 in library()("a <|endoftext|> b")
+
+
+def test_slices_keep_all_texts_in_order():
+    texts = ["a" * k for k in (0, 5, 3, 30, 1, 1)]
+    parts = list(id_shards.slices(pa.array(["-", *texts]).slice(1), 8))
+    assert [x for part in parts for x in part.to_pylist()] == texts and len(parts) == 3 and list(id_shards.slices(pa.array([], pa.string()))) == []
 
 
 def test_perfect_hash_is_minimal_and_survives_storage():
