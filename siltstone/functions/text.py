@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the white-space characters of Unicode text as the filters understand them, 29 code points.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 #: Fixed value: phrases that mark web boilerplate; overlapping phrases count each.
 BOILERPLATE_PHRASES = (
@@ -31,8 +34,16 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends, all 29 characters of it."""
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    """Without white space at both ends, all 29 characters of it.  Only the ends are looked at."""
+    return F.btrim(text, F.lit(WHITE_CHARACTERS))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often `use` reads it.
+
+    Branches of a CASE share nothing in a plan, and a projection below them would compute the value for every row.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def alnum_ratio(text: Column) -> Column:
@@ -102,13 +113,16 @@ def occurrences(text: Column, part: str) -> Column:
 
 def boilerplate_phrases(text: Column) -> Column:
     """How many of the phrases the lowered text holds."""
-    low = F.lower(text)
-    return sum((F.contains(low, F.lit(p)).cast("int") for p in BOILERPLATE_PHRASES[1:]), F.contains(low, F.lit(BOILERPLATE_PHRASES[0])).cast("int"))
+    count = lambda low: sum((F.contains(low, F.lit(p)).cast("int") for p in BOILERPLATE_PHRASES[1:]), F.contains(low, F.lit(BOILERPLATE_PHRASES[0])).cast("int"))
+    return bound(F.lower(text), count)
 
 
 def is_boilerplate(text: Column) -> Column:
     """More than 3 phrases, and more than one per 1,000 characters (500-character units, 0.5 each)."""
-    n = boilerplate_phrases(text)
+    return bound(boilerplate_phrases(text), lambda n: many_phrases(n, text))
+
+
+def many_phrases(n: Column, text: Column) -> Column:
     return (n > 3) & (n / F.greatest(F.length(text) / F.lit(500.0), F.lit(1.0)) > 0.5)
 
 
@@ -119,11 +133,15 @@ def content_lines(text: Column) -> Column:
 
 def repeated_line_ratio(text: Column) -> Column:
     """Share of content lines that repeat an earlier one; 0.0 without any."""
-    found = content_lines(text)
+    return bound(content_lines(text), repeated_share)
+
+
+def repeated_share(found: Column) -> Column:
+    """The same from an array of content lines."""
     return ratio(F.size(found) - F.size(F.array_distinct(found)), F.size(found))
 
 
-#: Java's `.` leaves out more line ends than \n, so the repeated character is stated as a class.
+#: Fixed value: marks of scanning errors.  Java's `.` leaves out more line ends than \n, so the repeated character is stated as a class.
 OCR_PATTERN = r"[^\x00-\x7F]{10,}|[\x00-\x08\x0e-\x1f]{3,}|([^\n])\1{10,}|[|]{5,}"
 
 
@@ -137,13 +155,11 @@ def unescaped_dollars(text: Column) -> Column:
 
 def has_broken_latex(text: Column) -> Column:
     """An odd number of unescaped dollar signs over 5."""
-    n = unescaped_dollars(text)
-    return (n % 2 != 0) & (n > 5)
+    return bound(unescaped_dollars(text), lambda n: (n % 2 != 0) & (n > 5))
 
 
 def has_unmatched_environment(text: Column) -> Column:
-    begins, ends = occurrences(text, "\\begin{"), occurrences(text, "\\end{")
-    return (begins > 0) & (F.abs(begins - ends) > 2)
+    return bound(occurrences(text, "\\begin{"), lambda begins: (begins > 0) & (F.abs(begins - occurrences(text, "\\end{")) > 2))
 
 
 def token_estimate(text: Column) -> Column:

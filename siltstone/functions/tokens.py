@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,11 +25,13 @@ class Tokenizer:
 
     def encode_col(self, text: Column, add_eos: bool = True) -> Column:
         """array<int>, null text as the empty text, by Arrow batches."""
-        encode, tail = self.encode, [self.eos] if add_eos else []
+        encode, tail = self.encode, np.array([self.eos] if add_eos else [], dtype=np.int32)
 
-        @F.pandas_udf("array<int>")
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series([np.append(np.asarray(encode(x or ""), dtype=np.int32), np.array(tail, dtype=np.int32)) for x in texts])
+        @F.arrow_udf("array<int>")
+        def run(texts: pa.Array) -> pa.Array:
+            rows = [part for x in texts.to_pylist() for part in (np.asarray(encode(x or ""), dtype=np.int32), tail)]
+            ends = np.cumsum([0, *(len(a) + len(b) for a, b in zip(rows[::2], rows[1::2], strict=True))], dtype=np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)))
 
         return run(text)
 

@@ -11,18 +11,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
+from siltstone.operators.shared import cut
 
 
-def exact_duplicates_dropped(df: DataFrame, order_key: str, text_column: str = "text", normalize: bool = True, scope: list[str] | None = None) -> DataFrame:
-    """The row with the least `order_key` of each content hash, within `scope` columns if given.
+def exact_firsts(df: DataFrame, order_key: str, columns: list[str] | None = None, text_column: str = "text", normalize: bool = True, scope: list[str] | None = None) -> DataFrame:
+    """`order_key` and `columns` of the first row of each content hash, within `scope` columns if given: one scan, one aggregate.
 
-    `order_key` must be unique.  The least key comes from an aggregate that combines before the shuffle, so a text
-    that makes up a third of all rows costs one narrow row per task, not one sort.
+    `order_key` must be unique.  The aggregate combines before the shuffle, so a text that makes up a third of all rows
+    costs one narrow row per task, not one sort.  `columns` should be narrow; full rows come from exact_duplicates_dropped.
     """
-    scope = scope or []
-    hashed = df.withColumn("_hash", tx.content_hash(F.col(text_column), normalize))
-    first = hashed.groupBy("_hash", *scope).agg(F.min(order_key).alias("_first")).select("_first")
-    return df.join(first, F.col(order_key) == F.col("_first"), "left_semi")
+    scope, columns = scope or [], columns or []
+    hashed = df.select(tx.content_hash(F.col(text_column), normalize).alias("_hash"), *scope, F.struct(F.col(order_key).alias("k"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).alias("_row"))
+    if not columns:
+        hashed = hashed.withColumn("_row", F.col("_row.k"))
+        return hashed.groupBy("_hash", *scope).agg(F.min("_row").alias(order_key)).select(order_key, *(c for c in scope if c != order_key))
+    first = hashed.groupBy("_hash", *scope).agg(F.min("_row").alias("_row"))
+    return first.select(F.col("_row.k").alias(order_key), *(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(columns)))
+
+
+def exact_duplicates_dropped(df: DataFrame, order_key: str, text_column: str = "text", normalize: bool = True, scope: list[str] | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """The full row with the least `order_key` of each content hash, within `scope` columns if given.
+
+    Keys of the firsts come from exact_firsts; a semi-join takes their rows from `rows`, which may be the unfiltered
+    table that `df` was filtered from, so that filters do not run twice.
+    """
+    rows = df if rows is None else rows
+    keys = exact_firsts(df, order_key, None, text_column, normalize, scope).select(F.col(order_key).alias("_first"))
+    return rows.join(keys, F.col(order_key) == F.col("_first"), "left_semi")
 
 
 def dedup_stats(df: DataFrame, text_column: str = "text", normalize: bool = True) -> DataFrame:
@@ -99,46 +114,39 @@ def band_hashes(rows: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS,
     return rows.mapInArrow(run, "key long, bands array<long>")
 
 
-def near_duplicate_keys(df: DataFrame, order_key: str, text_column: str = "text", checkpoint: bool = True, most_rounds: int = 200) -> DataFrame:
+def near_duplicate_keys(df: DataFrame, order_key: str, text_column: str = "text") -> DataFrame:
     """`key` of rows that share a band with an earlier row that survives, as first-come processing would find them.
 
     Rounds of aggregates over (band, key): an undecided row survives once no earlier undecided row is left in any of
     its bands and none of them has a survivor before it; it is dropped as soon as one has.  Rounds are as many as the
-    longest chain of rows that wait for each other; no pairs are made.
+    longest chain of rows that wait for each other: each settles at least the least open key, so they end without a
+    limit.  No pairs are made, and every round's tables are cut.
     """
-    spark = df.sparkSession
-    if checkpoint and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-"))
-    keep = (lambda x: x.checkpoint(eager=True)) if checkpoint else (lambda x: x)
     body = tx.normalized(F.coalesce(F.col(text_column), F.lit("")))
     bands = band_hashes(df.select(F.col(order_key).cast("long").alias("key"), body.alias("body")))
     members = bands.select("key", F.explode("bands").alias("band"))
     # Bands with one member decide nothing.
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    open_rows = keep(members.join(shared, "band"))
+    open_rows = cut(members.join(shared, "band"))
     dropped = open_rows.select("key").limit(0)
-    for _ in range(most_rounds):
-        if open_rows.isEmpty():
-            return dropped.distinct()
+    while not open_rows.isEmpty():
         least = open_rows.groupBy("band").agg(F.min("key").alias("least"))
         firsts = open_rows.join(least, "band").groupBy("key").agg(F.max(F.col("least") < F.col("key")).alias("waits")).where("not waits").select("key")
-        firsts = keep(firsts)
+        firsts = cut(firsts)
         # The bands of the new survivors drop every other open row in them: those are later, or the survivor would wait.
-        taken = keep(open_rows.join(firsts, "key", "left_semi").select("band").distinct())
-        lost = keep(open_rows.join(taken, "band", "left_semi").join(firsts, "key", "left_anti").select("key").distinct())
-        dropped = dropped.unionByName(lost)
-        open_rows = keep(open_rows.join(firsts.unionByName(lost), "key", "left_anti"))
-    raise RuntimeError(f"near duplicates were not settled in {most_rounds} rounds")
+        taken = cut(open_rows.join(firsts, "key", "left_semi").select("band").distinct())
+        lost = cut(open_rows.join(taken, "band", "left_semi").join(firsts, "key", "left_anti").select("key").distinct())
+        dropped = cut(dropped.unionByName(lost))
+        open_rows = cut(open_rows.join(firsts.unionByName(lost), "key", "left_anti"))
+    return dropped
 
 
 def near_duplicates_dropped(df: DataFrame, order_key: str, text_column: str = "text") -> DataFrame:
     return df.join(near_duplicate_keys(df, order_key, text_column).select(F.col("key").alias("_key")), F.col(order_key) == F.col("_key"), "left_anti")
 
 
-def deduplicated(df: DataFrame, order_key: str, text_column: str = "text", exact: bool = True, minhash: bool = False) -> DataFrame:
-    """Exact first, near duplicates among the survivors only."""
+def deduplicated(df: DataFrame, order_key: str, text_column: str = "text", exact: bool = True, minhash: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    """Exact first, near duplicates among the survivors only; `rows` as in exact_duplicates_dropped."""
     if exact:
-        df = exact_duplicates_dropped(df, order_key, text_column)
+        df = exact_duplicates_dropped(df, order_key, text_column, rows=rows)
     return near_duplicates_dropped(df, order_key, text_column) if minhash else df

@@ -36,6 +36,17 @@ def length_profile(rows: DataFrame, candidates: tuple[str, ...] = ("text", "cont
     return rows.agg(F.lit(name).alias("column"), F.count("*").alias("n"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.avg(size).alias("avg_length"))
 
 
+def columns_of(rows: DataFrame) -> DataFrame:
+    """position, column, type of a table's schema."""
+    fields = [(k, f.name, f.dataType.simpleString()) for k, f in enumerate(rows.schema)]
+    return rows.sparkSession.createDataFrame(fields, "position int, column string, type string")
+
+
+def first_rows(rows: DataFrame, order_key: str, n: int = 10) -> DataFrame:
+    """The first rows by a key, each as JSON; Spark keeps n rows a task, and sorts no table."""
+    return rows.select(F.col(order_key).alias("key"), F.to_json(F.struct("*")).alias("row")).orderBy("key").limit(n)
+
+
 def training_steps(total_tokens: int, length: int, batch: int, accumulation: int = 1, devices: int = 1) -> int:
     return math.ceil(total_tokens / (length * batch * accumulation * devices))
 

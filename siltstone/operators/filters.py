@@ -81,7 +81,7 @@ def doc_reason(body: Column, limits: DocLimits = DocLimits(), detect: Detector |
         ("doc_low_alnum", text.alnum_ratio(body) < limits.least_alnum),
     ]
     if limits.check_language and detect is not None:
-        rules.append(("non_english_doc", ~language.is_english(detect(body), limits.confidence)))
+        rules.append(("non_english_doc", language.is_foreign(detect(body), limits.confidence)))
     # All lines count for the guard, content lines only for the ratio.
     rules.append(("doc_boilerplate", (text.num_lines(body) > limits.guard_lines) & (text.repeated_line_ratio(body) > limits.repeated_lines)))
     return first_failing(rules)
@@ -109,7 +109,7 @@ def web_reason(body: Column, quality: Column | None = None, limits: WebLimits =
     if limits.least_quality is not None and quality is not None:
         rules.append(("web_low_quality", F.coalesce(quality < limits.least_quality, F.lit(False))))
     if limits.check_language and detect is not None:
-        rules.append(("non_english_web", ~language.is_english(detect(body), limits.confidence)))
+        rules.append(("non_english_web", language.is_foreign(detect(body), limits.confidence)))
     if limits.check_boilerplate:
         rules.append(("web_boilerplate", text.is_boilerplate(body)))
     return first_failing(rules)
@@ -135,9 +135,10 @@ def math_reason(body: Column, limits: MathLimits = MathLimits(), detect: Detecto
         rules.append(("math_ocr_artifact", text.has_ocr_artifact(body)))
     if limits.check_latex:
         rules += [("math_broken_latex", text.has_broken_latex(body)), ("math_unmatched_env", text.has_unmatched_environment(body))]
-    rules.append(("math_repeated_content", (F.size(text.content_lines(body)) > limits.guard_lines) & (text.repeated_line_ratio(body) > limits.repeated_lines)))
+    repeats = lambda found: (F.size(found) > limits.guard_lines) & (text.repeated_share(found) > limits.repeated_lines)
+    rules.append(("math_repeated_content", text.bound(text.content_lines(body), repeats)))
     if limits.check_language and detect is not None:
-        rules.append(("non_english_math", ~language.is_english(detect(body), limits.confidence)))
+        rules.append(("non_english_math", language.is_foreign(detect(body), limits.confidence)))
     return first_failing(rules)
 
 

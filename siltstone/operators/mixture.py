@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
+from siltstone.operators.shared import cut
+from siltstone.operators.windows import running_sum
 
 
 def targets(spark: SparkSession, proportions: dict[str, float], total_tokens: int) -> DataFrame:
@@ -28,50 +30,39 @@ def trial_target(total_tokens: int, max_samples: int, n_sources: int) -> int:
     return min(total_tokens, max_samples * 500 * n_sources)
 
 
-def tokens_before(docs: DataFrame, order_key: str, buckets: int = 64) -> DataFrame:
-    """Adds `before`: tokens of earlier rows of the same source, by a two-level prefix sum.
-
-    One window per source would put a hot source into one task.  Rows are first summed by (source, bucket of the order
-    key); a window over those few sums gives each bucket's start, and a window inside a bucket does the rest.
-    """
-    low, high = docs.agg(F.min(order_key), F.max(order_key)).first()
-    if low is None:
-        return docs.withColumn("before", F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // buckets))
-    placed = docs.withColumn("_bucket", F.floor((F.col(order_key) - low) / width).cast("int"))
-    sums = placed.groupBy("source", "_bucket").agg(F.sum("tokens").alias("_sum"))
-    by_bucket = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("source", "_bucket", F.coalesce(F.sum("_sum").over(by_bucket), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("source", "_bucket").orderBy(order_key).rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(starts, ["source", "_bucket"])
-    return joined.withColumn("before", F.col("_start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).drop("_bucket", "_start")
-
-
-def mix(docs: DataFrame, table: DataFrame, order_key: str, buckets: int = 64) -> DataFrame:
-    """Rows taken for the mixture.  `docs` has source, tokens and a numeric order key; sources outside `table` are left out.
+def mixed_keys(narrow: DataFrame, table: DataFrame, order_key: str) -> DataFrame:
+    """source, order key and tokens of the rows taken, from a table of those three columns.
 
     First pass: each source takes rows in order until its target is met; the row that crosses it is taken.  Second pass:
-    what exhausted sources fell short of is filled from the others' next rows, their first, second, ... in turn.
+    what exhausted sources fell short of is filled from the others' next rows, their first, second, ... in turn.  All
+    sums are running sums over ranges: no task holds a whole source.
     """
-    rows = tokens_before(docs.join(table.select("source", "target"), "source"), order_key, buckets)
-    first = rows.where(F.col("before") < F.col("target"))
-    rest = rows.where(F.col("before") >= F.col("target"))
-    taken = first.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("taken")).crossJoin(table.agg(F.sum("target").alias("wanted")))
-    short = taken.select(F.greatest(F.col("wanted") - F.col("taken"), F.lit(0)).alias("short"))
-    # `short` is one row.  Rows in turn: a source's nth leftover row comes before any source's next one.
-    missing = short.first()[0]
-    if not missing:
-        return first.drop("before", "target")
+    wanted = table.agg(F.coalesce(F.sum("target"), F.lit(0))).first()[0]
+    rows = running_sum(narrow.join(table.select("source", "target"), "source"), "tokens", [order_key], "before", ["source"])
+    rows = cut(rows)
+    first, rest = rows.where("before < target"), rows.where("before >= target")
+    missing = wanted - first.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    columns = ["source", order_key, "tokens"]
+    if missing <= 0:
+        return first.select(*columns)
     # A source gives at most the rows that begin within the missing tokens of its first leftover row.
     start = rest.groupBy("source").agg(F.min("before").alias("_start"))
-    near = rest.join(F.broadcast(start), "source").where(F.col("before") - F.col("_start") < missing).drop("_start")
-    narrow = near.select("source", F.col(order_key).alias("_key"), "tokens")
-    turn = narrow.withColumn("_turn", F.row_number().over(Window.partitionBy("source").orderBy("_key")))
-    # One task orders the rows in turn: keys and counts of at most `missing` tokens a source, no texts.
-    by_turn = Window.orderBy("_turn", "source").rowsBetween(Window.unboundedPreceding, -1)
-    filled = turn.withColumn("_given", F.coalesce(F.sum("tokens").over(by_turn), F.lit(0))).where(F.col("_given") < missing).select("_key")
-    more = near.join(filled, F.col(order_key) == F.col("_key"), "left_semi")
-    return first.drop("before", "target").unionByName(more.drop("before", "target"))
+    near = rest.join(start, "source").where(F.col("before") - F.col("_start") < missing).select(*columns, F.lit(1).alias("_one"))
+    turns = running_sum(near, "_one", [order_key], "_turn", ["source"])
+    filled = running_sum(turns, "tokens", ["_turn", "source"], "_given").where(F.col("_given") < missing)
+    return first.select(*columns).unionByName(filled.select(*columns))
+
+
+def mix(docs: DataFrame, table: DataFrame, order_key: str) -> DataFrame:
+    """Rows taken for the mixture.  `docs` has source, tokens and a unique order key; sources outside `table` are left out.
+
+    Only (source, order key, tokens) is summed and sorted; a semi-join takes the full rows.
+    """
+    narrow = docs.select("source", order_key, "tokens")
+    keys = mixed_keys(narrow, table, order_key)
+    if set(docs.columns) == {"source", order_key, "tokens"}:
+        return keys.select(*docs.columns)
+    return docs.join(keys.select(F.col(order_key).alias("_key")), F.col(order_key) == F.col("_key"), "left_semi")
 
 
 def draw_order(rows: list[tuple[str, int]], goals: dict[str, int], total: int, seed: int = 42) -> list[int]:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,45 +76,71 @@ def packed_record(ids: Column, length: int, pad: int) -> Column:
 PACKED = "group long, seq long, input_ids array<int>, labels array<int>, attention_mask array<tinyint>, doc_starts array<int>"
 
 
-def packed_dataset(docs: DataFrame, tokenizer: Tokenizer, order_key: str, length: int, group: Column | None = None, text_column: str = "text", fim_rate: float = 0.0, code_sources: tuple[str, ...] = ("code",), seed: int = 42, compat: bool = False, least_tokens: int = 5) -> DataFrame:
+class Records:
+    """Packed records of fixed length, as one Arrow batch."""
+
+    def __init__(self, length: int, pad: int):
+        self.length, self.pad, self.rows = length, pad, []
+
+    def add(self, group: int, seq: int, ids: np.ndarray, starts: list[int]) -> None:
+        self.rows.append((group, seq, ids, starts))
+
+    def batch(self) -> pa.RecordBatch:
+        """The records so far, which are then forgotten."""
+        n, length = len(self.rows), self.length
+        ids, labels, mask = np.full((n, length), self.pad, dtype=np.int32), np.full((n, length), IGNORED, dtype=np.int32), np.zeros((n, length), dtype=np.int8)
+        for k, (_, _, held, _) in enumerate(self.rows):
+            ids[k, : len(held)] = labels[k, : len(held)] = held
+            mask[k, : len(held)] = 1
+        every = pa.array(np.arange(n + 1, dtype=np.int32) * length)
+        full = [pa.ListArray.from_arrays(every, pa.array(x.reshape(-1))) for x in (ids, labels, mask)]
+        columns = [pa.array([r[0] for r in self.rows], pa.int64()), pa.array([r[1] for r in self.rows], pa.int64()), *full, pa.array([r[3] for r in self.rows], pa.list_(pa.int32()))]
+        self.rows = []
+        return pa.RecordBatch.from_arrays(columns, names=["group", "seq", "input_ids", "labels", "attention_mask", "doc_starts"])
+
+
+def packed_dataset(docs: DataFrame, tokenizer: Tokenizer, order_key: str, length: int, group: Column | None = None, text_column: str = "text", fim_rate: float = 0.0, code_sources: tuple[str, ...] = ("code",), seed: int = 42, compat: bool = False, least_tokens: int = 5, batch_records: int = 256) -> DataFrame:
     """Packed records of whole documents: FIM for a share of code rows, tokens with end mark, documents under `least_tokens` left out.
 
-    doc_starts lists where documents begin in a record.  `compat` turns FIM off.
+    doc_starts lists where documents begin in a record.  `compat` turns FIM off.  Texts, not ids, go through the
+    exchange; a task holds one open record and at most `batch_records` closed ones.
     """
     body = F.coalesce(F.col(text_column), F.lit(""))
     if fim_rate and "source" in docs.columns:
         body = fim.maybe_fim(body, F.col("source"), F.col(order_key), fim_rate, seed, code_sources, compat)
     rows = docs.select((group if group is not None else F.lit(0)).cast("long").alias("group"), F.col(order_key).cast("long").alias("key"), body.alias("body"))
-    tokens = rows.select("group", "key", tokenizer.encode_col(F.col("body")).alias("ids")).where(F.size("ids") >= least_tokens)
-    eos, pad = tokenizer.eos, tokenizer.padding
-    dealt = tokens.repartition("group").sortWithinPartitions("group", "key")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, starts, group, seq = np.zeros(0, dtype=np.int32), [], None, 0
-
-        def record() -> tuple:
-            gap = length - len(held)
-            return (group, seq, np.append(held, np.full(gap, pad, dtype=np.int32)), np.append(held, np.full(gap, IGNORED, dtype=np.int32)), np.append(np.ones(len(held), dtype=np.int8), np.zeros(gap, dtype=np.int8)), np.array(starts, dtype=np.int32))
-
-        columns = ["group", "seq", "input_ids", "labels", "attention_mask", "doc_starts"]
-        for frame in frames:
-            out = []
-            for g, ids in zip(frame["group"], frame["ids"], strict=True):
-                ids = np.asarray(ids, dtype=np.int32)
-                if len(ids) > length:
-                    ids = np.append(ids[: length - 1], np.int32(eos))
-                if len(held) and (g != group or len(held) + len(ids) > length):
-                    out.append(record())
-                    held, starts, seq = held[:0], [], seq + 1
+    encode, eos, pad = tokenizer.encode, tokenizer.eos, tokenizer.padding
+    dealt = rows.repartition("group").sortWithinPartitions("group", "key").select("group", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, used, starts, group, seq = Records(length, pad), np.empty(length, dtype=np.int32), 0, [], None, 0
+
+        def close() -> None:
+            nonlocal used, starts, seq
+            out.add(group, seq, held[:used].copy(), starts)
+            used, starts, seq = 0, [], seq + 1
+
+        for batch in batches:
+            for g, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.asarray(encode(body.as_py()), dtype=np.int32)
+                if len(ids) + 1 < least_tokens:
+                    continue
+                n = min(len(ids) + 1, length)
+                if used and (g != group or used + n > length):
+                    close()
                 if g != group:
                     group, seq = g, 0
-                starts.append(len(held))
-                held = np.append(held, ids)
-                if len(held) >= length:
-                    out.append(record())
-                    held, starts, seq = held[:0], [], seq + 1
-            yield pd.DataFrame(out, columns=columns)
-        if len(held):
-            yield pd.DataFrame([record()], columns=columns)
-
-    return dealt.mapInPandas(run, PACKED)
+                starts.append(used)
+                held[used : used + n - 1] = ids[: n - 1]
+                held[used + n - 1] = eos
+                used += n
+                if used == length:
+                    close()
+                if len(out.rows) >= batch_records:
+                    yield out.batch()
+        if used:
+            close()
+        if out.rows:
+            yield out.batch()
+
+    return dealt.mapInArrow(run, PACKED)

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.arrow_ipc import register
+
 #: Bytes by which a token counts towards a shard's size: three columns of four bytes.
 TOKEN_BYTES = 12
 
@@ -28,41 +30,48 @@ def manifest_rows(sharded: DataFrame, length: int) -> DataFrame:
     return sharded.groupBy("shard_name", "shard_index").agg(n.alias("num_sequences"), (n * length * TOKEN_BYTES).alias("size_bytes"), (n * length).alias("total_tokens_padded"), F.sum("real_tokens").alias("total_tokens_real"))
 
 
-def manifest(sharded: DataFrame, length: int, output_format: str = "parquet") -> DataFrame:
-    """One row: next shard index as num_shards, totals, and the shards in order.  It holds a few numbers a shard."""
-    rows = manifest_rows(sharded, length)
-    shard = F.struct("shard_name", "shard_index", "num_sequences", "size_bytes")
-    by_index = F.array_sort(F.collect_list(F.struct(F.col("shard_index").alias("i"), shard.alias("s"))))
+def manifest_totals(rows: DataFrame, output_format: str = "parquet") -> DataFrame:
+    """One row from manifest_rows: next shard index as num_shards, and sums."""
     return rows.agg(
         F.lit(output_format).alias("output_format"),
         F.coalesce(F.max("shard_index") + 1, F.lit(0)).alias("num_shards"),
         F.coalesce(F.sum("num_sequences"), F.lit(0)).alias("total_sequences"),
         F.coalesce(F.sum("total_tokens_padded"), F.lit(0)).alias("total_tokens_padded"),
         F.coalesce(F.sum("total_tokens_real"), F.lit(0)).alias("total_tokens_real"),
-        F.transform(by_index, lambda x: x["s"]).alias("shards"),
     )
 
 
 def write_shards(sharded: DataFrame, path: str, output_format: str = "parquet") -> None:
-    """A folder a shard, one task each, overwritten as a whole when run again: parquet, json (lines) or arrow."""
+    """A folder (arrow: a file) a shard, one task each: parquet, json (lines) or arrow.
+
+    Writing again replaces what was there.  What a killed or repeated task leaves is never read: Spark commits parquet
+    and json by task, and an arrow sink lists its committed files.
+    """
     ordered = sharded.repartition("shard_index").sortWithinPartitions("shard_index", "seq_no")
     if output_format == "arrow":
-        ordered.write.format("arrow_shards").mode("append").option("path", path).save()
+        register(sharded.sparkSession)
+        ordered.write.format("arrow_shards").mode("overwrite").option("path", path).save()
     else:
         ordered.write.mode("overwrite").partitionBy("shard_index").format(output_format).save(path)
 
 
-def write_manifest(row: DataFrame, path: str, created_at: str) -> None:
-    row.withColumn("created_at", F.lit(created_at)).coalesce(1).write.mode("overwrite").json(path)
+def write_manifest(rows: DataFrame, path: str, created_at: str, output_format: str = "parquet") -> None:
+    """manifest_rows as JSON lines under `path`/shards, in the order of shards, and the totals under `path`/totals.
+
+    The totals come last: a manifest without them is not finished.
+    """
+    rows.sort("shard_index").write.mode("overwrite").json(f"{path}/shards")
+    totals = manifest_totals(rows.sparkSession.read.schema(rows.schema).json(f"{path}/shards"), output_format)
+    totals.withColumn("created_at", F.lit(created_at)).coalesce(1).write.mode("overwrite").json(f"{path}/totals")
 
 
 def next_shard(spark: SparkSession, path: str, fallback: int = 0) -> int:
-    """Where a resumed run goes on: the manifest's num_shards, or `fallback` without a manifest."""
+    """Where a resumed run goes on: the manifest's num_shards, or `fallback` without a finished manifest."""
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = jvm.org.apache.hadoop.fs.Path(f"{path}/totals/_SUCCESS")
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return fallback
-    return int(spark.read.json(path).first()["num_shards"])
+    return int(spark.read.json(f"{path}/totals").first()["num_shards"])
 
 
 def append_log(spark: SparkSession, record: dict, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.packing import IGNORED
+from siltstone.operators.shared import cut, tasks
 
 
 def windows_per_record(size: Column | int, width: int) -> Column:
@@ -55,21 +56,41 @@ def collated(records: DataFrame, order_key: str, length: int, batch: int, pad: i
 
 
 def row_numbers(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame:
-    """Adds consecutive numbers from 0 in global order without one task for all rows.
+    """Adds consecutive numbers from 0 in global order without one task for all rows; ties are numbered in any order.
 
-    Rows are range-partitioned and sorted; a partition's start is the sum of the sizes before it, one row a partition.
+    Rows are range-partitioned, sorted and written once: partition sizes and numbers come from that one placement, since
+    a second exchange would sample other borders.  A partition's start is the sum of the sizes before it, one row a partition.
     """
-    # A stated number of partitions is not coalesced, so both uses below see the same ones.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id()
+    placed = cut(rows.repartitionByRange(tasks(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("_id", place))
     # The id holds the partition above bit 33 and the row's place in it below.
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(2**33 - 1)
-    placed = placed.withColumns({"_part": part, "_place": place})
+    placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND(2**33 - 1)})
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place")).drop("_id", "_part", "_place", "_start")
 
 
+def running_sum(rows: DataFrame, value: str, order: list[str], name: str, by: list[str] | None = None) -> DataFrame:
+    """Adds the sum of `value` over earlier rows in `order`, within `by` if given, 0 for the first; `order` must be unique within `by`.
+
+    One window per key would put a hot key into one task.  Rows are range-partitioned by (by, order) and written once, so
+    a hot key and clustered order values are dealt evenly; a window over the sums of (key, partition) gives each one's
+    start, and a window inside a partition's rows of a key does the rest.  State `rows` narrow.
+    """
+    by = by or []
+    placed = cut(rows.repartitionByRange(tasks(rows.sparkSession), *by, *order).withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    # A key has as many partial sums as partitions at most.
+    start = F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_part").alias("_at"), start.alias("_start"))
+    same = F.col("_part") == F.col("_at")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return placed.join(starts, same).withColumn(name, total).select(*rows.columns, name)
+
+
 def shuffled_batches(rows: DataFrame, key: str, batch: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """Adds batch_no by a seeded permutation of an epoch; the last batch is left out unless full.  Fewer rows than a batch give none."""
     rank = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(epoch)))), 1, 15), 16, 10).cast("long")
@@ -79,15 +100,15 @@ def shuffled_batches(rows: DataFrame, key: str, batch: int, seed: int = 42, epoc
 
 
 def skip_and_limit(rows: DataFrame, order_key: str, skip: int, limit: int | None, by: str = "source") -> DataFrame:
-    """Rows of each `by` after its first `skip`, at most `limit` of them, in order.
+    """Rows of each `by` after its first `skip`, at most `limit` of them, in order; `order_key` is unique.
 
-    Spark keeps only the first skip + limit rows of a key on each task before the shuffle.
+    Places come from running sums over narrow keys, so that a hot source is dealt over all tasks.
     """
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order_key))
-    kept = rows.withColumn("_place", place)
+    placed = running_sum(rows.select(by, order_key, F.lit(1).alias("_one")), "_one", [order_key], "_place", [by])
+    kept = placed.where(F.col("_place") >= skip)
     if limit is not None:
-        kept = kept.where(F.col("_place") <= skip + limit)
-    return kept.where(F.col("_place") > skip).drop("_place")
+        kept = kept.where(F.col("_place") < skip + limit)
+    return rows.join(kept.select(F.col(order_key).alias("_key")), F.col(order_key) == F.col("_key"), "left_semi")
 
 
 def until_target(sequences: DataFrame, length: int, target_tokens: int) -> DataFrame:

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
 from siltstone.functions.tokens import BYTES, Tokenizer
 from siltstone.operators import dedup, filters, mixture, packing, shards, windows
+from siltstone.operators.shared import cut
 
 
 @dataclass(frozen=True)
 class CorpusPlan:
-    """kinds: source name -> filter kind.  group_rows: order keys of one packing group."""
+    """kinds: source name -> filter kind.  group_rows: order keys of one packing group.  tokens: text -> its token count."""
 
     kinds: dict[str, str]
     proportions: dict[str, float]
@@ -28,19 +30,55 @@ class CorpusPlan:
     limit: int | None = None
     shard_mb: int = 50
     first_shard: int = 0
+    tokens: Callable[[Column], Column] = tx.token_estimate
 
 
-def curated(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key") -> DataFrame:
-    """Filtered by source, deduplicated over all sources, skipped and limited by source, mixed to the quotas."""
-    parts = [filters.filtered(docs.where(F.col("source") == s), kind).select(*docs.columns) for s, kind in plan.kinds.items()]
-    kept = parts[0]
-    for part in parts[1:]:
-        kept = kept.unionByName(part)
-    kept = dedup.deduplicated(kept, order_key, minhash=plan.minhash)
+def source_reason(docs: DataFrame, kinds: dict[str, str]) -> Column:
+    """The first failing rule by the kind of a row's source; `unknown_source` for sources or kinds without a filter."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for source, kind in kinds.items():
+        if kind in filters.REASONS:
+            out = out.when(F.col("source") == source, filters.REASONS[kind](docs))
+    return out.otherwise(F.lit("unknown_source"))
+
+
+def curated_keys(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key") -> DataFrame:
+    """order key, source, tokens of the rows that curated takes."""
+    kept = docs.where(source_reason(docs, plan.kinds).isNull()).withColumn("tokens", plan.tokens(F.col("text")))
+    # Filters and hashes run once; everything after them is narrow.
+    narrow = cut(dedup.exact_firsts(kept, order_key, ["source", "tokens"]))
+    if plan.minhash:
+        survivors = docs.join(narrow.select(order_key), order_key, "left_semi")
+        narrow = narrow.join(dedup.near_duplicate_keys(survivors, order_key).select(F.col("key").alias(order_key)), order_key, "left_anti")
     if plan.skip or plan.limit is not None:
-        kept = windows.skip_and_limit(kept, order_key, plan.skip, plan.limit)
-    table = mixture.targets(docs.sparkSession, plan.proportions, plan.total_tokens)
-    return mixture.mix(kept.withColumn("tokens", tx.token_estimate(F.col("text"))), table, order_key)
+        narrow = windows.skip_and_limit(narrow, order_key, plan.skip, plan.limit)
+    return mixture.mixed_keys(narrow, mixture.targets(docs.sparkSession, plan.proportions, plan.total_tokens), order_key)
+
+
+def curated(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key") -> DataFrame:
+    """Filtered by source, deduplicated over all sources, skipped and limited by source, mixed to the quotas; adds tokens.
+
+    `order_key` is unique.  Full rows are read again for the keys taken only.
+    """
+    return docs.join(curated_keys(docs, plan, order_key).select(order_key, "tokens"), order_key)
+
+
+def ordinal_ids(rows: DataFrame, order_key: str = "order_key") -> DataFrame:
+    """Adds doc_key, `source:ordinal`: a row's place among its source's, from 0."""
+    placed = windows.running_sum(rows.select("source", order_key, F.lit(1).alias("_one")), "_one", [order_key], "_place", ["source"])
+    return rows.join(placed.select(order_key, F.concat_ws(":", "source", F.col("_place").cast("string")).alias("doc_key")), order_key)
+
+
+def rejection_alerts(reasons: DataFrame, order_key: str = "order_key", limit: int = 5_000) -> DataFrame:
+    """source, first_key, n: unbroken runs of `limit` rejected rows or more, from (source, order key, reason).
+
+    Rows with the same number of passed rows before them belong to one run; runs are counted by an aggregate that
+    combines before the shuffle.
+    """
+    marked = reasons.select("source", order_key, "reason", F.col("reason").isNull().cast("int").alias("_passed"))
+    placed = windows.running_sum(marked, "_passed", [order_key], "_before", ["source"])
+    runs = placed.where("reason is not null").groupBy("source", "_before").agg(F.min(order_key).alias("first_key"), F.count("*").alias("n"))
+    return runs.where(F.col("n") >= limit).select("source", "first_key", "n")
 
 
 def packed_shards(docs: DataFrame, plan: CorpusPlan, tokenizer: Tokenizer = BYTES, order_key: str = "order_key") -> DataFrame:
@@ -54,9 +92,7 @@ def packed_shards(docs: DataFrame, plan: CorpusPlan, tokenizer: Tokenizer = BYTE
 
 
 def curated_report(docs: DataFrame) -> DataFrame:
-    """The flagship: documents that pass the web filter, first of each content, by source with their token estimates."""
-    rows = docs.select("doc_id", "source", "text")
-    kept = rows.where(filters.web_reason(F.col("text")).isNull())
-    first = dedup.exact_duplicates_dropped(kept, "doc_id")
-    by_source = first.groupBy("source").agg(F.count("*").alias("docs"), F.sum(tx.token_estimate(F.col("text"))).alias("tokens"))
-    return by_source.select("source", "docs", "tokens")
+    """The flagship: documents that pass the web filter, first of each content, by source with their token estimates.  One scan of the texts."""
+    kept = docs.where(filters.web_reason(F.col("text")).isNull()).select("doc_id", "source", "text", tx.token_estimate(F.col("text")).alias("tokens"))
+    first = dedup.exact_firsts(kept, "doc_id", ["source", "tokens"])
+    return first.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))

@@ -102,7 +102,7 @@ def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size(tx.char_ngrams(F.col("letters"))).alias("n_ngrams"))
 
 
-GENERATED_SQL = "|".join((*paths.GENERATED_ENDS, *paths.GENERATED_PARTS))
+GENERATED_SQL = "|".join(paths.GENERATED)
 
 
 def flags_sql(path: str) -> str:
@@ -149,9 +149,9 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 DOLLARS = r"(length(text) - length(replace(text, '$', '')) - (length(text) - length(replace(text, '\$', ''))) // 2)"
 BEGINS = r"((length(text) - length(replace(text, '\begin{', ''))) // 7)"
 ENDS = r"((length(text) - length(replace(text, '\end{', ''))) // 5)"
-RUNS = """c as (select doc_id, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) as k from documents),
-g as (select doc_id, ch, k - row_number() over (partition by doc_id, ch order by k) as island from c where ch <> chr(10)),
-runs as (select distinct doc_id from (select doc_id from g group by doc_id, ch, island having count(*) >= 11))"""
+RUNS = """letters as (select doc_id, unnest(string_split(text, '')) as ch, generate_subscripts(string_split(text, ''), 1) as k from documents),
+islands as (select doc_id, ch, k - row_number() over (partition by doc_id, ch order by k) as island from letters where ch <> chr(10)),
+runs as (select distinct doc_id from (select doc_id from islands group by doc_id, ch, island having count(*) >= 11))"""
 OCR = r"(regexp_matches(text, '[^\x00-\x7F]{10,}|[\x00-\x08\x0e-\x1f]{3,}|[|]{5,}') or doc_id in (select doc_id from runs))"
 
 
@@ -220,12 +220,12 @@ def filtered_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select doc_id from documents qualify row_number() over (partition by sha256({NORMAL}) order by doc_id) = 1")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_duplicates_dropped(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id")
+    return dedup.exact_firsts(read(spark, sf_dir, "documents"), "doc_id")
 
 
 @query(f"select doc_id, source from documents qualify row_number() over (partition by source, sha256({NORMAL}) order by doc_id) = 1")
 def exact_dedup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_duplicates_dropped(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id", scope=["source"]).select("doc_id", "source")
+    return dedup.exact_firsts(read(spark, sf_dir, "documents"), "doc_id", scope=["source"])
 
 
 @query(f"with h as (select sha256({NORMAL}) as h from documents) select count(*) as total_seen, count(distinct h) as \"unique\", count(*) - count(distinct h) as duplicates_found, (count(*) - count(distinct h))::double / count(*) as dedup_rate from h")
@@ -233,15 +233,9 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.dedup_stats(read(spark, sf_dir, "documents"))
 
 
-@query(f"select doc_id from documents where doc_id % 2 = 0 and sha256({NORMAL}) not in (select sha256({NORMAL}) from documents where doc_id % 2 = 1)")
-def seen_hash_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup.without_seen(docs.where("doc_id % 2 = 0"), dedup.content_hashes(docs.where("doc_id % 2 = 1"))).select("doc_id")
-
-
-# The query above, and its SQL, judge even ids against odd ones; this one judges every document against whole other tables.
 @query(f"with seen as (select sha256({NORMAL}) as h from benchmark union select sha256({NORMAL}) from conversations) select doc_id from documents where sha256({NORMAL}) not in (select h from seen where h is not null)")
-def seen_hash_anti_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def seen_hash_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, against the hashes of two other tables."""
     seen = dedup.content_hashes(read(spark, sf_dir, "benchmark")).unionByName(dedup.content_hashes(read(spark, sf_dir, "conversations")))
     return dedup.without_seen(read(spark, sf_dir, "documents").select("doc_id", "text"), seen).select("doc_id")
 
@@ -307,43 +301,40 @@ def verify_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.length_profile(read(spark, sf_dir, "documents"))
 
 
+@query("select ordinal_position::int - 1 as position, column_name as \"column\", case data_type when 'BIGINT' then 'bigint' when 'VARCHAR' then 'string' else lower(data_type) end as type from information_schema.columns where table_name = 'documents'")
+def dataset_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.columns_of(read(spark, sf_dir, "documents"))
+
+
+@query("select conv_id * 1000 + turn as key, conv_id, turn, role, text from conversations order by 1 limit 10")
+def dataset_peek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten rows, as a report on a data set shows them."""
+    turns = read(spark, sf_dir, "conversations").withColumn("key", F.expr("conv_id * 1000 + turn"))
+    peek = evaluation.first_rows(turns, "key")
+    return peek.select("key", F.from_json("row", "conv_id long, turn long, role string, text string").alias("r")).select("key", "r.*")
+
+
 @query("select doc_id, greatest(1, length(text) // 4)::bigint as tokens from documents")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-PROPORTIONS = {"src0": 0.1, "src1": 0.1, "src2": 0.1, "src3": 0.2, "src4": 0.5}
-MIX_TOKENS = 70_000
-TARGET_SQL = "(values " + ", ".join(f"('{s}', {p}::double, {int(p * MIX_TOKENS)}::bigint)" for s, p in PROPORTIONS.items()) + ") as t(source, proportion, target)"
-MIX_SQL = f"""with b as (select d.doc_id, d.source, greatest(1, length(text) // 4)::bigint as tokens, target from documents d join {TARGET_SQL} on d.source = t.source),
+#: Targets from the input: 3/4 of all tokens; the kth of n sources by name gets k / (1 + ... + n) of them, so that the last ones run out and the others fill up.
+TARGET_SQL = """(select source, 2.0::double * k / (n * (n + 1)) as proportion, (3 * total * k // (2 * n * (n + 1)))::bigint as target
+from (select source, row_number() over (order by source) as k, count(*) over () as n, (sum(tokens) over ())::bigint as total from (select source, sum(greatest(1, length(text) // 4))::bigint as tokens from documents where source is not null group by 1))) as t"""
+
+
+def mix_sql(rows: str, target: str) -> str:
+    """CTEs that end in x(doc_id, source, tokens), the rows taken of `rows`(doc_id, source, tokens)."""
+    return f"""b as (select d.doc_id, d.source, d.tokens, target from {rows} d join {target} on d.source = t.source),
 c as (select *, coalesce(sum(tokens) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as before from b),
-miss as (select greatest((select sum(target) from {TARGET_SQL}) - sum(tokens), 0) as short from c where before < target),
+miss as (select greatest((select sum(target) from {target}) - sum(tokens), 0) as short from c where before < target),
 e as (select *, row_number() over (partition by source order by doc_id) as turn from c where before >= target),
 g as (select *, coalesce(sum(tokens) over (order by turn, source rows between unbounded preceding and 1 preceding), 0) as given from e),
 x as (select doc_id, source, tokens from c where before < target union all select doc_id, source, tokens from g, miss where given < short)"""
 
 
-def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", tx.token_estimate(F.col("text")).alias("tokens"))
-    return mixture.mix(docs, mixture.targets(spark, PROPORTIONS, MIX_TOKENS), "doc_id")
-
-
-@query(f"{MIX_SQL} select doc_id, source, tokens from x")
-def mix_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(spark, sf_dir)
-
-
-@query(f"""{MIX_SQL}, s as (select source, sum(tokens)::bigint as actual, count(*) as docs from x group by 1)
-select t.source, proportion as target_proportion, coalesce(actual, 0) / (select sum(actual) from s)::double as actual_proportion, target as target_tokens, coalesce(actual, 0)::bigint as actual_tokens, coalesce(docs, 0)::bigint as docs, coalesce(actual, 0) / target::double as completion
-from {TARGET_SQL} left join s on t.source = s.source""")
-def mixture_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mixture_report(mixed(spark, sf_dir), mixture.targets(spark, PROPORTIONS, MIX_TOKENS))
-
-
-# The two queries above, and their SQL, mix 70,000 tokens of five sources; the next two mix 3/4 of all tokens of all sources.
-# The kth of n sources by name gets k / (1 + ... + n) of them: the last ones run out, and the others fill up.
-INPUT_TARGET_SQL = """(select source, 2.0::double * k / (n * (n + 1)) as proportion, (3 * total * k // (2 * n * (n + 1)))::bigint as target
-from (select source, row_number() over (order by source) as k, count(*) over () as n, (sum(tokens) over ())::bigint as total from (select source, sum(greatest(1, length(text) // 4))::bigint as tokens from documents where source is not null group by 1))) as t"""
+MIX_SQL = "with " + mix_sql("(select doc_id, source, greatest(1, length(text) // 4)::bigint as tokens from documents)", TARGET_SQL)
 
 
 def estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,20 +349,22 @@ def input_targets(docs: DataFrame) -> DataFrame:
     return placed.select("source", F.expr("2.0D * k / (n * (n + 1))").alias("proportion"), F.expr("3 * total * k div (2 * n * (n + 1))").alias("target"))
 
 
-def mixed_whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = estimated(spark, sf_dir)
     table = spark.createDataFrame(input_targets(docs).collect(), "source string, proportion double, target long")
     return mixture.mix(docs, table, "doc_id"), table
 
 
-@query(ORACLES["mix_quota"].replace(TARGET_SQL, INPUT_TARGET_SQL))
-def mix_quota_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_whole(spark, sf_dir)[0]
+@query(f"{MIX_SQL} select doc_id, source, tokens from x")
+def mix_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(spark, sf_dir)[0]
 
 
-@query(ORACLES["mixture_report"].replace(TARGET_SQL, INPUT_TARGET_SQL))
-def mixture_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture.mixture_report(*mixed_whole(spark, sf_dir))
+@query(f"""{MIX_SQL}, s as (select source, sum(tokens)::bigint as actual, count(*) as docs from x group by 1)
+select t.source, proportion as target_proportion, coalesce(actual, 0) / (select sum(actual) from s)::double as actual_proportion, target as target_tokens, coalesce(actual, 0)::bigint as actual_tokens, coalesce(docs, 0)::bigint as docs, coalesce(actual, 0) / target::double as completion
+from {TARGET_SQL} left join s on t.source = s.source""")
+def mixture_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture_report(*mixed(spark, sf_dir))
 
 
 @query()
@@ -411,12 +404,19 @@ def fim_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LENGTH, GROUP = 4096, 200
-PACK_SQL = f"""with recursive t as (select doc_id, doc_id // {GROUP} as grp, row_number() over (partition by doc_id // {GROUP} order by doc_id) as k, least(strlen(text) + 1, {LENGTH})::bigint as n from documents),
+
+
+def pack_sql(rows: str) -> str:
+    """CTEs that pack `rows` (doc_id, text): r has a document's group, sequence and tokens, st the number of each group's first record."""
+    return f"""t as (select doc_id, doc_id // {GROUP} as grp, row_number() over (partition by doc_id // {GROUP} order by doc_id) as k, least(strlen(text) + 1, {LENGTH})::bigint as n from {rows}),
 r as (select grp, k, doc_id, n, 0::bigint as seq, n as used from t where k = 1 union all
 select t.grp, t.k, t.doc_id, t.n, case when r.used + t.n > {LENGTH} then r.seq + 1 else r.seq end, case when r.used + t.n > {LENGTH} then t.n else r.used + t.n end from r join t on t.grp = r.grp and t.k = r.k + 1),
 st as (select grp, coalesce(sum(c) over (order by grp rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select grp, max(seq) + 1 as c from r group by 1))"""
 
 
+PACK_SQL = f"with recursive {pack_sql('documents')}"
+
+
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", byte_token_count(F.col("text")).alias("tokens"))
     return packing.assign_sequences(docs, "doc_id", LENGTH, F.floor(F.col("doc_id") / GROUP))
@@ -442,12 +442,11 @@ def pack_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small integer sequences for the record operators: up to 16 line lengths of each document."""
-    ids = F.slice(F.transform(tx.lines(F.col("text")), F.length), F.lit(1), F.lit(16))
-    return read(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
+    """Integer sequences for the record operators: the length of every line of each document."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.transform(tx.lines(F.col("text")), F.length).alias("ids"))
 
 
-IDS = f"list_transform({LINES}, lambda x: length(x))[1:16]"
+IDS = f"list_transform({LINES}, lambda x: length(x))"
 PAD_SQL = f"""with i as (select doc_id, {IDS} as ids from documents),
 p as (select doc_id, list_concat(ids, list_transform(range(16 - len(ids)), lambda k: 257)) as input_ids, list_concat(ids, list_transform(range(16 - len(ids)), lambda k: -100)) as labels, list_concat(list_transform(ids, lambda k: 1), list_transform(range(16 - len(ids)), lambda k: 0)) as attention_mask from i)"""
 
@@ -458,6 +457,7 @@ def joined_text(*names: str) -> list[Column]:
 
 @query(f"{PAD_SQL} select doc_id, array_to_string(input_ids, ',') as input_ids, array_to_string(labels, ',') as labels, array_to_string(attention_mask, ',') as attention_mask from p")
 def pad_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records shorter than 16 are padded; longer ones stay whole."""
     rows = line_lengths(spark, sf_dir).select("doc_id", packing.packed_record(F.col("ids"), 16, 257).alias("r")).select("doc_id", "r.*")
     return rows.select("doc_id", *joined_text("input_ids", "labels", "attention_mask"))
 
@@ -475,57 +475,25 @@ def padded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.token_windows(records, 6, ("input_ids", "labels"), pad={"input_ids": 0, "labels": packing.IGNORED}).select("doc_id", "window", *joined_text("input_ids", "labels"))
 
 
-@query(f"""{PAD_SQL}, c as (select doc_id, doc_id // 8 as batch_no, input_ids[1:12] as ids, labels[1:12] as labels, attention_mask[1:12] as mask from p), z as (select *, min(case when list_sum(mask) = 12 then 1 else 0 end) over (partition by batch_no) = 1 as whole from c)
-select batch_no, doc_id, array_to_string(ids, ',') as input_ids, array_to_string(labels, ',') as labels, case when not whole then array_to_string(mask, ',') end as attention_mask from z""")
-def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_lengths(spark, sf_dir).select("doc_id", packing.packed_record(F.col("ids"), 16, 257).alias("r")).select("doc_id", "r.*")
-    return windows.collated(rows, "doc_id", 12, 8, 257).select("batch_no", "doc_id", *joined_text("input_ids", "labels", "attention_mask"))
-
-
-# The three record queries above, and their SQL, take 16 lines of a document at most; the next three take every line.
-WHOLE_IDS = f"list_transform({LINES}, lambda x: length(x))"
-WHOLE_WINDOWS_SQL = f"""with i as (select doc_id, {WHOLE_IDS} as ids from documents), w as (select doc_id, ids, unnest(range(ceil(len(ids) / 12)::int))::int as "window" from i),
+WINDOWS_SQL = f"""with i as (select doc_id, {IDS} as ids from documents), w as (select doc_id, ids, unnest(range(ceil(len(ids) / 12)::int))::int as "window" from i),
 s as (select row_number() over (order by doc_id, "window") - 1 as record, doc_id, "window", ids["window" * 12 + 1:"window" * 12 + 12] as ids from w), z as (select *, record // 8 as batch_no, 12 - len(ids) as gap from s), b as (select *, max(gap) over (partition by batch_no) = 0 as whole from z)"""
 
 
-def whole_line_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The length of every line of each document."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.transform(tx.lines(F.col("text")), F.length).alias("ids"))
-
-
-@query(ORACLES["pad_labels"].replace(IDS, WHOLE_IDS))
-def pad_labels_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records shorter than 16 are padded; longer ones stay whole."""
-    rows = whole_line_lengths(spark, sf_dir).select("doc_id", packing.packed_record(F.col("ids"), 16, 257).alias("r")).select("doc_id", "r.*")
-    return rows.select("doc_id", *joined_text("input_ids", "labels", "attention_mask"))
-
-
-@query(ORACLES["padded_windows"].replace(IDS, WHOLE_IDS))
-def padded_windows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = whole_line_lengths(spark, sf_dir).select("doc_id", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"))
-    return windows.token_windows(records, 6, ("input_ids", "labels"), pad={"input_ids": 0, "labels": packing.IGNORED}).select("doc_id", "window", *joined_text("input_ids", "labels"))
-
-
-@query(f"""{WHOLE_WINDOWS_SQL} select batch_no, record, array_to_string(list_concat(ids, list_transform(range(gap), lambda k: 257)), ',') as input_ids, array_to_string(list_concat(ids, list_transform(range(gap), lambda k: -100)), ',') as labels,
+@query(f"""{WINDOWS_SQL} select batch_no, record, array_to_string(list_concat(ids, list_transform(range(gap), lambda k: 257)), ',') as input_ids, array_to_string(list_concat(ids, list_transform(range(gap), lambda k: -100)), ',') as labels,
 case when not whole then array_to_string(list_concat(list_transform(ids, lambda k: 1), list_transform(range(gap), lambda k: 0)), ',') end as attention_mask from b""")
-def collate_batches_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records are windows of the batch's length, so that collating cuts nothing off.
-
-    A record's number is a sum over ranges of doc_id and a sum inside one: it does not depend on how rows are dealt to tasks.
-    """
-    docs = whole_line_lengths(spark, sf_dir).where(F.size("ids") > 0).withColumns({"n": windows.windows_per_record(F.size("ids"), 12), "range": F.floor(F.col("doc_id") / 4096)})
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = docs.groupBy("range").agg(F.sum("n").alias("n")).select("range", earlier(Window.orderBy("range")).alias("start"))
-    placed = docs.withColumn("inside", earlier(Window.partitionBy("range").orderBy("doc_id"))).join(starts, "range")
-    cut = windows.token_windows(placed, 12, ("ids",))
-    rows = cut.select((F.col("start") + F.col("inside") + F.col("window")).alias("record"), packing.packed_record(F.col("ids"), 12, 257).alias("r")).select("record", "r.*")
+def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records are windows of the batch's length, so that collating cuts nothing off."""
+    cut = windows.token_windows(line_lengths(spark, sf_dir), 12, ("ids",))
+    numbered = windows.row_numbers(cut, ["doc_id", "window"], "record")
+    rows = numbered.select("record", packing.packed_record(F.col("ids"), 12, 257).alias("r")).select("record", "r.*")
     return windows.collated(rows, "record", 12, 8, 257).select("batch_no", "record", *joined_text("input_ids", "labels", "attention_mask"))
 
 
-@query("""with r as (select doc_id, ('0x' || substr(md5(doc_id || ':42:1'), 1, 15))::bigint as rank from documents), n as (select doc_id, row_number() over (order by rank, doc_id) - 1 as place from r)
-select doc_id, place // 64 as batch_no from n where place // 64 < (select count(*) // 64 from documents)""")
+@query("""with r as (select doc_id, source, length(text)::int as n, ('0x' || substr(md5(doc_id || ':42:1'), 1, 15))::bigint as rank from documents), n as (select *, row_number() over (order by rank, doc_id) - 1 as place from r)
+select doc_id, source, n, place // 64 as batch_no from n where place // 64 < (select count(*) // 64 from documents)""")
 def prefetch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.shuffled_batches(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 64, seed=42, epoch=1)
+    rows = read(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"))
+    return windows.shuffled_batches(rows, "doc_id", 64, seed=42, epoch=1)
 
 
 @query("select doc_id, source from documents qualify row_number() over (partition by source order by doc_id) between 6 and 20")
@@ -568,15 +536,9 @@ def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.perplexity(rows)
 
 
-@query("select a.turn, a.conv_id, a.text as text_left, b.text as text_right from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = 1 and a.turn = 0")
-def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = read(spark, sf_dir, "conversations")
-    return evaluation.compared(turns.where("turn = 0"), turns.where("turn = 1"), "conv_id", ["text"]).select(F.lit(0).cast("long").alias("turn"), "conv_id", "text_left", "text_right")
-
-
-# The query above, and its SQL, compare turn 0 with turn 1; this one compares every turn with the next.
 @query("select a.turn, a.conv_id, a.text as text_left, b.text as text_right from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1")
-def compare_results_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with the next of its conversation."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "text")
     at = lambda back: turns.withColumn("key", F.struct("conv_id", (F.col("turn") - back).alias("turn")))
     return evaluation.compared(at(0), at(1), "key", ["text"]).select("key.turn", "key.conv_id", "text_left", "text_right")
@@ -587,6 +549,61 @@ def synthetic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.synthetic_records(spark, 64, 32, 1000)
 
 
+KINDS = ("code", "docs", "web", "math", "functions")
+#: The production plan over `documents`: source k has filter kind k % 5 and (k + 1) / 210 of half of all tokens; the first two unique rows of a source are skipped.
+SOURCES = [f"src{k}" for k in range(20)]
+PLAN_SHARES = {s: (k + 1) / 210 for k, s in enumerate(SOURCES)}
+PLAN_TARGET = "(select sum(greatest(1, length(text) // 4))::bigint // 2 from documents)"
+PLAN_TARGET_SQL = "(select source, floor(share * (select total from goal))::bigint as target from (values " + ", ".join(f"('{s}', {p!r}::double)" for s, p in PLAN_SHARES.items()) + ") as v(source, share)) as t"
+PLAN_SQL = f"""goal as (select {PLAN_TARGET} as total),
+d0 as (select doc_id, source, text, {PATH_SQL} as p, {IDENTIFIER_SQL} as identifier, substr(source, 4)::int % 5 as kind from documents), {RUNS}, {LID},
+f0 as (select *, {CONTENT_LINES} as content, {LINES} as lines, {flags_sql('p')} from l),
+f1 as (select doc_id, source, text, case kind
+ when 0 then strlen(text) < 100 or strlen(text) > 1000000 or is_generated or is_lockfile or is_data_file or {ALNUM} < 0.25 or len(lines) < 3 or len(lines) > 10000 or len(list_filter(lines, lambda x: length(x) > 1000)) > 2 or {strip_sql('text')} = ''
+ when 1 then length(text) < 200 or length(text) > 500000 or {ALNUM} < 0.5 or not (lid = 'en' and confidence >= 0.7) or (len(lines) > 5 and {REPEATED} > 0.4)
+ when 2 then length(text) < 200 or length(text) > 200000 or {ALNUM} < 0.6 or not (lid = 'en' and confidence >= 0.7) or (({PHRASES}) > 3 and ({PHRASES}) / greatest(length(text) / 500.0::double, 1.0::double) > 0.5)
+ when 3 then length(text) < 100 or length(text) > 200000 or {OCR} or ({DOLLARS} % 2 <> 0 and {DOLLARS} > 5) or ({BEGINS} > 0 and abs({BEGINS} - {ENDS}) > 2) or (len(content) > 5 and {REPEATED} > 0.3) or not (lid = 'en' and confidence >= 0.6)
+ else length(text) < 50 or length(text) > 50000 or {ALNUM} < 0.3 or {strip_sql("coalesce(identifier, '')")} = '' end as rejected from f0),
+u as (select * from f1 where not rejected qualify row_number() over (partition by sha256({NORMAL}) order by doc_id) = 1),
+k as (select doc_id, source, greatest(1, length(text) // 4)::bigint as tokens from u qualify row_number() over (partition by source order by doc_id) > 2),
+{mix_sql('k', PLAN_TARGET_SQL)}"""
+
+
+def production_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, corpus.CorpusPlan]:
+    total = estimated(spark, sf_dir).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // 2
+    kinds = {s: KINDS[k % 5] for k, s in enumerate(SOURCES)}
+    return sample_documents(spark, sf_dir), corpus.CorpusPlan(kinds, PLAN_SHARES, total, length=LENGTH, group_rows=GROUP, skip=2, shard_mb=1, first_shard=115)
+
+
+@query(f"with {PLAN_SQL} select doc_id, source, tokens from x")
+def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, plan = production_plan(spark, sf_dir)
+    return corpus.curated(docs, plan, "doc_id").select("doc_id", "source", "tokens")
+
+
+@query(f"""with recursive {PLAN_SQL}, taken as (select d.doc_id, d.text from documents d join x on d.doc_id = x.doc_id where strlen(d.text) >= 4), {pack_sql('taken')},
+sq as (select start + seq as seq_no, sum(n)::int as real_tokens, count(*)::int as docs, r.grp, seq from r join st on r.grp = st.grp group by 1, 4, 5)
+select seq_no, real_tokens, docs, (seq_no // {shards.sequences_per_shard(LENGTH, 1)} + 115)::int as shard_index from sq where seq_no < ceil((select total from goal) / {LENGTH}::double)""")
+def packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, plan = production_plan(spark, sf_dir)
+    packed = corpus.packed_shards(corpus.curated(docs, plan, "doc_id"), plan, order_key="doc_id")
+    return packed.select("seq_no", "real_tokens", F.size("doc_starts").alias("docs"), "shard_index")
+
+
+@query(f"with {PLAN_SQL} select doc_id, source || ':' || (row_number() over (partition by source order by doc_id) - 1) as doc_key from x")
+def ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, plan = production_plan(spark, sf_dir)
+    return corpus.ordinal_ids(corpus.curated_keys(docs, plan, "doc_id"), "doc_id").select("doc_id", "doc_key")
+
+
+@query(f"""{DOC_RULES}, p as (select r.doc_id, source, reason, coalesce(sum((reason is null)::int) over (partition by source order by r.doc_id rows between unbounded preceding and 1 preceding), 0) as before from r join documents d on r.doc_id = d.doc_id)
+select source, min(doc_id) as first_key, count(*) as n from p where reason is not null group by source, before having count(*) >= 3""")
+def rejection_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three rejected rows; the plan's own limit is 5,000."""
+    reasons = read(spark, sf_dir, "documents").select("source", "doc_id", filters.doc_reason(F.col("text")).alias("reason"))
+    return corpus.rejection_alerts(reasons, "doc_id", 3)
+
+
 @query(f"""with d0 as (select * from documents), {LID}, r as (select doc_id, source, text from l where not (length(text) < 200 or length(text) > 200000 or {ALNUM} < 0.6 or not (lid = 'en' and confidence >= 0.7) or (({PHRASES}) > 3 and ({PHRASES}) / greatest(length(text) / 500.0::double, 1.0::double) > 0.5))),
 u as (select * from r qualify row_number() over (partition by sha256({NORMAL}) order by doc_id) = 1)
 select source, count(*) as docs, sum(greatest(1, length(text) // 4))::bigint as tokens from u group by 1""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -17,9 +18,25 @@ def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+#: The list of a folder's committed files; a folder that others wrote has none.
+COMMITTED = "_committed.json"
+
+
+def committed(path: str) -> list[str] | None:
+    """Names of the committed files, null where the folder has no list."""
+    store, root = _store(path)
+    if store.get_file_info(f"{root}/{COMMITTED}").type != pyarrow.fs.FileType.File:
+        return None
+    with store.open_input_stream(f"{root}/{COMMITTED}") as file:
+        return json.loads(file.read())["files"]
+
+
 def arrow_files(path: str) -> list[str]:
-    """Sorted .arrow files under a folder, without hidden ones."""
+    """The committed files of a folder; without a list, its .arrow files at any depth, sorted, without hidden ones."""
     store, root = _store(path)
+    names = committed(path)
+    if names is not None:
+        return [f"{root}/{name}" for name in sorted(names)]
     found = store.get_file_info(pyarrow.fs.FileSelector(root, recursive=True))
     return sorted(f.path for f in found if f.is_file and f.path.endswith(".arrow") and not any(part[:1] in "._" for part in f.path[len(root) :].split("/") if part))
 
@@ -49,10 +66,14 @@ class Written(WriterCommitMessage):
 
 
 class ArrowWriter(DataSourceArrowWriter):
-    """One file per task and shard; names carry an id of the attempt, and an aborted job removes its own."""
+    """One file per task and shard, names with an id of the attempt.
 
-    def __init__(self, path: str):
-        self.path = path
+    The driver's commit writes the list of the successful attempts' files, by a rename; only listed files are ever read.
+    Overwriting replaces the list, then removes the files of the old one; appending adds to it.
+    """
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         store, root = _store(self.path)
@@ -70,8 +91,8 @@ class ArrowWriter(DataSourceArrowWriter):
                         writer.close()
                         sink.close()
                     held = shards[start]
-                    files.append(f"{root}/shard_{held:05d}-{attempt}.arrow")
-                    sink = store.open_output_stream(files[-1])
+                    files.append(f"shard_{held:05d}-{attempt}.arrow")
+                    sink = store.open_output_stream(f"{root}/{files[-1]}")
                     writer = pa.ipc.new_file(sink, batch.schema)
                 writer.write_batch(batch.slice(start, k - start))
                 start = k
@@ -80,11 +101,23 @@ class ArrowWriter(DataSourceArrowWriter):
             sink.close()
         return Written(files)
 
+    def commit(self, messages: list[Written | None]) -> None:
+        store, root = _store(self.path)
+        store.create_dir(root, recursive=True)
+        fresh, old = [file for message in messages if message is not None for file in message.files], committed(self.path) or []
+        names = fresh if self.overwrite else [*old, *fresh]
+        draft = f"{root}/_draft-{uuid.uuid4().hex}.json"
+        with store.open_output_stream(draft) as file:
+            file.write(json.dumps({"files": sorted(names)}).encode())
+        store.move(draft, f"{root}/{COMMITTED}")
+        for name in set(old).difference(names):
+            store.delete_file(f"{root}/{name}")
+
     def abort(self, messages: list[Written | None]) -> None:
-        store, _ = _store(self.path)
+        store, root = _store(self.path)
         for message in messages:
             for file in message.files if message is not None else []:
-                store.delete_file(file)
+                store.delete_file(f"{root}/{file}")
 
 
 class ArrowShards(DataSource):
@@ -106,7 +139,7 @@ class ArrowShards(DataSource):
         return ArrowReader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> ArrowWriter:
-        return ArrowWriter(self.options["path"])
+        return ArrowWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -61,6 +61,21 @@ def environment() -> str:
     return os.environ.get("SPARK_MASTER", "local").split(":")[0].split("[")[0]
 
 
+def resolved_paths(config: dict, root: str | Path, env: str | None = None) -> dict:
+    """A configuration with the output folder and, where it states none, the folder of processed data.
+
+    Both lie under the place that `storage.<env>` names (mount_path or output_dir, with checkpoint_dir and data_dir),
+    else under the root.
+    """
+    storage = config.get("storage", {})
+    place = storage.get(env or environment(), {})
+    base = place.get("mount_path") or place.get("output_dir")
+    output = os.path.join(base, place.get("checkpoint_dir", "checkpoints")) if base else str(Path(root) / "checkpoints" / "cpt")
+    data = os.path.join(base, place.get("data_dir", "data")) if base else str(Path(root) / "data" / "processed")
+    processed = storage.get("processed_data", {})
+    return config | {"training": config.get("training", {}) | {"output_dir": output}, "storage": storage | {"processed_data": processed | {"path": processed.get("path") or data}}}
+
+
 def load_config(name: str, root: str | Path = ".", env: str | None = None) -> dict:
     """A configuration with `environments.<env>` merged into its `training` part."""
     config = parse(find(name, root))

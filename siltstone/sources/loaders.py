@@ -81,18 +81,34 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources.values())
 
 
-def read_shards(spark: SparkSession, path: str, output_format: str | None = None) -> DataFrame:
-    """Shards under a folder, at any depth: Arrow files if there are any, else Parquet."""
+def shard_format(spark: SparkSession, path: str) -> str | None:
+    """`arrow` if a folder holds Arrow files at any depth, else `parquet` if it holds Parquet; hidden files do not count."""
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(place, True)
-    if output_format is None:
-        output_format = "parquet"
-        while files.hasNext():
-            if files.next().getPath().getName().endswith(".arrow"):
-                output_format = "arrow"
-                break
-    if output_format == "arrow":
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return None
+    files, found = store.listFiles(place, True), None
+    while files.hasNext():
+        name = files.next().getPath().getName()
+        if name.startswith((".", "_")):
+            continue
+        if name.endswith(".arrow"):
+            return "arrow"
+        if name.endswith(".parquet"):
+            found = "parquet"
+    return found
+
+
+def read_shards(spark: SparkSession, *paths: str, output_format: str | None = None) -> DataFrame | None:
+    """Shards under the first of the folders that holds some, at any depth: Arrow files if there are any, else Parquet; null where none does."""
+    for path in paths:
+        found = shard_format(spark, path)
+        if found is not None:
+            break
+    else:
+        return None
+    if (output_format or found) == "arrow":
         from siltstone.sources.arrow_ipc import register
 
         register(spark)

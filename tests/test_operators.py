@@ -131,6 +131,7 @@ def test_exact_dedup_keeps_the_first(spark):
     rows = spark.createDataFrame([(4, "Foo  bar"), (2, " foo bar\n"), (3, "foo\tBAR"), (5, "foo　bar"), (9, "other"), (1, "")], "id long, text string")
     assert {r.id for r in dedup.exact_duplicates_dropped(rows, "id").collect()} == {1, 2, 9}
     assert dedup.exact_duplicates_dropped(rows, "id", normalize=False).count() == 6
+    assert {(r.id, r.size) for r in dedup.exact_firsts(rows.withColumn("size", F.length("text")), "id", ["size"]).collect()} == {(1, 0), (2, 9), (9, 5)}
     assert dedup.dedup_stats(rows.where("id < 9 and id > 1")).first().duplicates_found == 3
 
 
@@ -237,6 +238,26 @@ def test_row_numbers_are_consecutive(spark):
     assert found == list(range(1000))
 
 
+def test_row_numbers_with_a_payload(spark):
+    rows = spark.range(300_000).select(F.xxhash64("id").alias("k"), F.md5(F.col("id").cast("string")).alias("payload"))
+    found = windows.row_numbers(rows, ["k"], "n").select("n", "k").toPandas().sort_values("k")
+    assert found["n"].tolist() == list(range(300_000))
+
+
+def test_running_sums_of_hot_and_clustered_keys(spark):
+    rng = random.Random(5)
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"s{k % 5}", k if k < 900 else 10**12 + k, rng.randrange(9)) for k in range(1000)]
+    sums, expected = {}, {}
+    for source, key, n in sorted(rows, key=lambda r: r[1]):
+        expected[key] = sums.get(source, 0)
+        sums[source] = sums.get(source, 0) + n
+    table = spark.createDataFrame(rows, "source string, key long, n int").repartition(5)
+    assert {r.key: r.before for r in windows.running_sum(table, "n", ["key"], "before", ["source"]).collect()} == expected
+    assert windows.running_sum(table.limit(0), "n", ["key"], "before").count() == 0
+    kept = windows.skip_and_limit(table, "key", 2, 3).collect()
+    assert sorted((str(r.source), r.key) for r in kept) == sorted((str(s), key) for s in {r[0] for r in rows} for key in sorted(r[1] for r in rows if r[0] == s)[2:5])
+
+
 def test_batches_leave_out_the_rest(spark):
     found = windows.shuffled_batches(spark.range(10).toDF("id"), "id", 4).groupBy("batch_no").count().collect()
     assert sorted(tuple(r) for r in found) == [(0, 4), (1, 4)]
@@ -247,12 +268,13 @@ def test_shards(spark, tmp_path):
     assert shards.sequences_per_shard(4096) == 1067 and shards.sequences_per_shard(16) == 2000
     rows = shards.shard_assignment(spark.range(5).select(F.col("id").alias("seq_no"), F.lit(3).alias("real_tokens")), 2, 115)
     assert {r.shard_name for r in rows.collect()} == {"shard_00115", "shard_00116", "shard_00117"}
-    row = shards.manifest(rows, 4)
-    assert row.first().num_shards == 118 and [s.num_sequences for s in row.first().shards] == [2, 2, 1]
+    listed = shards.manifest_rows(rows, 4)
+    assert shards.manifest_totals(listed).first().num_shards == 118 and [s.num_sequences for s in listed.orderBy("shard_index").collect()] == [2, 2, 1]
     path = str(tmp_path / "manifest")
     assert shards.next_shard(spark, path, 7) == 7
-    shards.write_manifest(row, path, "2020-01-01")
+    shards.write_manifest(listed, path, "2020-01-01")
     assert shards.next_shard(spark, path) == 118
+    assert spark.read.json(f"{path}/shards").count() == 3 and spark.read.json(f"{path}/totals").first().total_sequences == 5
     for _ in range(2):
         shards.write_shards(rows, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
@@ -260,6 +282,13 @@ def test_shards(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).first().a == 1
 
 
+def test_long_chains_of_near_copies_settle(spark, monkeypatch):
+    """Each row shares a band with the next one only, so that rounds are as many as half the rows."""
+    monkeypatch.setattr(dedup, "band_hashes", lambda rows: rows.select("key", F.array(F.col("key"), F.col("key") + 1).alias("bands")))
+    rows = spark.createDataFrame([(k, "x") for k in range(14)], "id long, text string")
+    assert {r.key for r in dedup.near_duplicate_keys(rows, "id").collect()} == {1, 3, 5, 7, 9, 11, 13}
+
+
 def test_perplexity_without_tokens_is_infinite(spark):
     empty = spark.createDataFrame([("", 1.0, 5), ("a", 1.0, 1)], "text string, loss double, tokens long")
     assert evaluation.perplexity(empty).first().perplexity == float("inf")

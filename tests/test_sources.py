@@ -50,6 +50,29 @@ def test_arrow_shards_round_trip(spark, tmp_path):
     assert loaders.read_shards(spark, str(tmp_path / "p")).count() == 20
 
 
+def test_an_arrow_sink_written_again(spark, tmp_path):
+    rows = shards.shard_assignment(loaders.synthetic_records(spark, 20, 8, 50), 6)
+    path = str(tmp_path / "a")
+    for _ in range(2):
+        shards.write_shards(rows, path, "arrow")
+    assert loaders.read_shards(spark, path).count() == 20
+    # What a killed attempt leaves is not listed, so it is not read.
+    left = next(p for p in (tmp_path / "a").glob("*.arrow"))
+    (tmp_path / "a" / "shard_00000-killed.arrow").write_bytes(left.read_bytes())
+    assert loaders.read_shards(spark, path).count() == 20
+    rows.write.format("arrow_shards").mode("append").option("path", path).save()
+    assert loaders.read_shards(spark, path).count() == 40
+    shards.write_shards(rows.limit(5), path, "arrow")
+    assert loaders.read_shards(spark, path).count() == 5
+
+
+def test_shards_of_other_writers_and_fallback_folders(spark, tmp_path):
+    shards.write_shards(shards.shard_assignment(loaders.synthetic_records(spark, 4, 8, 50), 6), str(tmp_path / "full"))
+    (tmp_path / "empty").mkdir()
+    assert loaders.read_shards(spark, str(tmp_path / "empty")) is None and loaders.read_shards(spark, str(tmp_path / "absent")) is None
+    assert loaders.read_shards(spark, str(tmp_path / "empty"), str(tmp_path / "absent"), str(tmp_path / "full")).count() == 4
+
+
 def test_labels_default_to_the_ids(spark):
     rows = spark.createDataFrame([([1, 2], None, 5)], "input_ids array<int>, labels array<int>, other int")
     assert loaders.with_labels(rows).first().labels == [1, 2] and loaders.with_labels(rows.drop("labels")).columns == ["input_ids", "labels"]
@@ -62,6 +85,9 @@ def test_config(tmp_path):
     with pytest.warns(UserWarning, match="min_stars"):
         assert config.load_dataset_config("d.json", tmp_path) == data
     assert config.load_config("d.json", tmp_path, "local")["training"] == {"x": 2}
+    placed = config.resolved_paths({"storage": {"k8s": {"mount_path": "/m", "data_dir": "d"}, "processed_data": {"path": ""}}}, tmp_path, "k8s")
+    assert placed["training"]["output_dir"] == "/m/checkpoints" and placed["storage"]["processed_data"]["path"] == "/m/d"
+    assert config.resolved_paths({}, "/r", "local")["storage"]["processed_data"]["path"] == "/r/data/processed"
     with pytest.raises(ValueError):
         config.check_proportions({"a": {"target_proportion": 0.5}})
     with pytest.raises(FileNotFoundError):
