@@ -62,7 +62,7 @@ class ChunkEncoder:
     #: A chunk's end of these, after an ASCII letter or digit, is a piece of its own, so that a word is encoded once.
     CLOSING = r"^(?P<head>.*[0-9A-Za-z])(?P<tail>[.,;:!?%*$&#]+)$"
 
-    def __init__(self, tokenizer_path: str, dtype: str, pieces: int = 100_000):
+    def __init__(self, tokenizer_path: str, dtype: str, pieces: int = 50_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,7 +124,7 @@ class ChunkEncoder:
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def slices(texts: pa.StringArray, size: int = 32_000_000) -> Iterator[pa.StringArray]:
+def slices(texts: pa.StringArray, size: int = 24_000_000) -> Iterator[pa.StringArray]:
     """Texts in order, in arrays of at most `size` bytes or one text."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
