@@ -18,12 +18,14 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset.
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    An unset folder occurs in local tests only; there driver and executors are one process.
+    Where it is unset, a local session gets a temporary folder, and any other master an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(spark, "_siltstone_work", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
@@ -74,6 +76,11 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def nested(docs: DataFrame) -> Column:
+    """The whole row as one struct, so that its columns cannot clash with an operator's own beside it."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")
+
+
 def whole_text(column: str | Column = "text") -> Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -5,38 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut
+from siltstone.llm.common import cut, task_count
+
+
+def _with_least(edges: DataFrame, name: str, own: bool) -> DataFrame:
+    """Adds `name`, the least `v` among all rows of a `u` (or `u` itself, with `own`).
+
+    Rows are dealt by (u, salt): a node with very many neighbours is spread over all tasks, and only one row a salt of
+    it meets in the aggregate and the join by u.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(task_count(edges.sparkSession, 8))))
+    parts = salted.groupBy("u", "salt").agg(F.min("v").alias("part"))
+    least = F.min("part")
+    found = parts.groupBy("u").agg((F.least(least, F.col("u")) if own else least).alias(name))
+    spread = parts.select("u", "salt").join(found, "u")
+    return salted.join(spread, ["u", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_least(both, "m", own=True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    rows = _with_least(down, "m", own=False)
+    moved = rows.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(rows.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root: one row per node of an edge (u, v), with the least node of its component; roots have no row.
 
-    A node with very many neighbours is aggregated before the shuffle, and its join is split by AQE.
+    Rounds go on until nothing changes; their number grows with the logarithm of the longest path.
     """
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     print_of = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    before = print_of(edges)
-    for _ in range(most_rounds):
-        if not before[0]:
-            break
+    before, now = None, print_of(edges)
+    while now[0] and now != before:
         edges = cut(_small_star(_large_star(edges)))
-        now = print_of(edges)
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
-    if before[0]:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        before, now = now, print_of(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

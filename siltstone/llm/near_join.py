@@ -1,16 +1,19 @@
-"""Near-duplicate join on word n-grams by MinHash bands, an LSH forest of one fixed depth, with exact verification (operator 8).
+"""Near-duplicate join on word n-grams by a MinHash LSH forest with exact verification (operator 8).
 
 1. Equal texts are one node (a 64-bit hash); everything below is per node, so copies never meet each other.
-2. A node's signature has `trees` labels of `label` minimum hashes.  Nodes meet in a tree if their labels agree on a
-   prefix of one depth, the same for all nodes: the longest d for which the chance that two nodes at the threshold meet
-   in some tree, 1 - (1 - t**d)**trees, reaches `recall`.  So a tree is a band, its key a hash of the prefix; there are
-   no sorted tries, and no prefix is shortened by what it meets.  Hashes past the depth serve the signature filter only.
-3. Nodes that share a band's key form a bucket.  A bucket is worked off in blocks of `block` nodes, each pair of blocks
-   a group of its own, so a hot bucket is dealt over many tasks and none holds more than two blocks.  A group compares
-   signatures and returns a spanning forest of the pairs that may reach the threshold, never all pairs.
-4. Forests joined over all buckets give clusters.  A cluster is verified in blocks in the same way, on the whole sets
+2. A node has one label in each of `trees` trees: `label` minimum hashes of BITS bits in one integer, the first hash in
+   the top bits.  Labels in their order are the tree's trie, and a prefix of d hashes is the label shifted right.
+3. Nodes meet on the longest prefix first.  Nodes under one trie node form a bucket, which is worked off in blocks of
+   `block` nodes, each pair of blocks a group of its own and in the order of labels, so a hot bucket is dealt over many
+   tasks and none holds more than two blocks.  A group compares signatures and returns a spanning forest of the pairs
+   that may reach the threshold, never all pairs.
+4. Recall is measured on the pairs met: a pair of similarity s meets at depth d with the chance 1 - (1 - s**d)**trees, so
+   the pairs met stand for the sum of their inverse chances.  While they are a smaller share of it than `recall`, all
+   prefixes are shortened by a hash, and the buckets that hold nodes of different clusters are worked off again.  At
+   the longest prefix under which even pairs at the threshold reach the recall, `depth()`, it always ends.
+5. Forests joined over all buckets give clusters.  A cluster is verified in blocks in the same way, on the whole sets
    of n-gram hashes: each node gets its number of verified links, and a forest of them.
-5. Forests joined over all groups give the classes.
+6. Forests joined over all groups give the classes.
 
 Every pair that met in a bucket is in one cluster and is verified there; work in a cluster of g different texts grows
 as g squared, its rows as g * (g / block).  Nothing is capped.
@@ -33,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batch_of, cut, map_arrow, splitmix, staged, task_count, whole_text
+from siltstone.llm.common import batch_of, cut, map_arrow, nested, splitmix, staged, task_count, whole_text
 from siltstone.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a hash in a label: other hashes agree on them once in 1,024, which lengthens no bucket worth mention.
+BITS = 10
 
 
 @dataclass(frozen=True)
@@ -54,7 +59,7 @@ class Settings:
     seed: int = 17
 
     def depth(self) -> int:
-        """Longest prefix that reaches the recall, at least one hash."""
+        """Longest prefix at which pairs at the threshold reach the recall, at least one hash."""
         t = self.threshold / 100
         return next((d for d in range(self.label, 1, -1) if 1 - (1 - t**d) ** self.trees >= self.recall), 1)
 
@@ -99,34 +104,33 @@ def minimum_hashes(grams: np.ndarray, factors: np.ndarray, offsets: np.ndarray)
     return out.astype(np.uint32)
 
 
-_SIGNED = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("labels", pa.list_(pa.int64()))])
 
 
 def signatures(rows: DataFrame, settings: Settings) -> DataFrame:
-    """node, signature (a byte of each hash), keys (one trie node a tree); texts without n-grams have no row."""
-    depth = settings.depth()
+    """node, signature (a byte of each hash), labels (one a tree); texts without n-grams have no row."""
+    if settings.label * BITS > 63:
+        raise ValueError("a label has 63 bits at most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(settings.seed)
         n = settings.trees * settings.label
         factors, offsets = rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, n, dtype=np.uint64)
-        trees, hashes = splitmix(np.arange(settings.trees)), WordHashes()
+        place, hashes = np.uint64(BITS) * np.arange(settings.label - 1, -1, -1, dtype=np.uint64), WordHashes()
         for batch in batches:
-            nodes, signed, keys = [], [], []
+            nodes, signed, labels = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = ngrams(text.as_py(), settings.words, hashes)
                 if len(grams):
                     least = minimum_hashes(grams, factors, offsets)
-                    labels = least.reshape(settings.trees, settings.label).astype(np.uint64)
-                    key = trees
-                    for d in range(depth):
-                        key = splitmix(key ^ labels[:, d])
+                    # The signature has other bits than the labels.
+                    parts = (least >> np.uint32(32 - BITS)).reshape(settings.trees, settings.label).astype(np.uint64)
                     nodes.append(node)
                     signed.append((least & 0xFF).astype(np.uint8).tobytes())
-                    keys.append(key.view(np.int64))
-            yield batch_of(_SIGNED, [nodes, signed, keys])
+                    labels.append((parts << place).sum(axis=1).view(np.int64))
+            yield batch_of(_SIGNED, [nodes, signed, labels])
 
-    return map_arrow(rows, run, "node long, signature binary, keys array<long>")
+    return map_arrow(rows, run, "node long, signature binary, labels array<long>")
 
 
 def in_blocks(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
@@ -194,15 +198,19 @@ def forest(n: int, neighbours) -> list[tuple[int, int]]:
     return edges
 
 
-_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("same", pa.int32())])
 
 
-def candidate_forest(signed: DataFrame, settings: Settings) -> DataFrame:
-    """u, v: spanning forests, by bucket, of the pairs whose signatures may reach the threshold."""
-    rows = signed.select("node", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = in_blocks(rows, "key", sizes, settings.block).join(signed.select("node", "signature"), "node").select("key", "a", "b", "node", "signature")
-    dealt = dealt.repartition(task_count(signed.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
+def candidate_forest(signed: DataFrame, settings: Settings, depth: int) -> DataFrame:
+    """u, v, same (equal bytes of their signatures): spanning forests, by bucket, of the pairs whose signatures may reach the threshold.
+
+    `signed` has node, signature, labels and cluster; a bucket within one cluster has nothing to join.
+    """
+    prefix = F.shiftright("label", BITS * (settings.label - depth))
+    rows = signed.select("node", "cluster", F.posexplode("labels").alias("tree", "label")).select("node", "cluster", "label", F.xxhash64("tree", prefix).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("key", "size")
+    dealt = in_blocks(rows, "key", sizes, settings.block).join(signed.select("node", "signature"), "node").select("key", "a", "b", "label", "node", "signature")
+    dealt = dealt.repartition(task_count(signed.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b", "label", "node").drop("label")
     least, few = settings.least_equal(), 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,21 +220,49 @@ def candidate_forest(signed: DataFrame, settings: Settings) -> DataFrame:
             starts = group_starts(table, 3)
             sizes = np.diff(starts)
             group = np.repeat(np.arange(len(sizes)), sizes)
-            u, v = [], []
+            u, v = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             small = sizes[group] <= few
             for offset in range(1, min(few, len(nodes))):
                 at = np.flatnonzero(small[:-offset] & (group[:-offset] == group[offset:]))
                 hit = at[(signature[at] == signature[at + offset]).mean(axis=1) >= least]
-                u.append(nodes[hit])
-                v.append(nodes[hit + offset])
+                u.append(hit)
+                v.append(hit + offset)
             for k in np.flatnonzero(sizes > few):
-                part, names = signature[starts[k] : starts[k + 1]], nodes[starts[k] : starts[k + 1]]
-                edges = forest(len(part), lambda i, left, p=part: (p[left] == p[i]).mean(axis=1) >= least)
-                u.append(names[[e[0] for e in edges]])
-                v.append(names[[e[1] for e in edges]])
-            yield batch_of(_EDGE, [np.concatenate(u) if u else [], np.concatenate(v) if v else []])
-
-    return map_arrow(dealt, run, "u long, v long")
+                part = signature[starts[k] : starts[k + 1]]
+                edges = np.array(forest(len(part), lambda i, left, p=part: (p[left] == p[i]).mean(axis=1) >= least), dtype=np.int64).reshape(-1, 2)
+                u.append(starts[k] + edges[:, 0])
+                v.append(starts[k] + edges[:, 1])
+            u, v = np.concatenate(u), np.concatenate(v)
+            yield batch_of(_EDGE, [nodes[u], nodes[v], (signature[u] == signature[v]).sum(axis=1).astype(np.int32)])
+
+    found = map_arrow(dealt, run, "u long, v long, same int")
+    return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("same").alias("same"))
+
+
+def measured_recall(edges: DataFrame, settings: Settings, depth: int) -> float | None:
+    """Share that the pairs met at a depth make up of those at the threshold or above, by inverse chances; null without pairs."""
+    similarity = F.greatest(F.col("same") / (settings.trees * settings.label), F.lit(settings.threshold / 100))
+    chance = 1 - F.pow(1 - F.pow(similarity, depth), settings.trees)
+    found, every = edges.agg(F.count("*"), F.sum(1 / chance)).first()
+    return found / every if found else None
+
+
+def candidate_clusters(signed: DataFrame, settings: Settings) -> tuple[DataFrame, list[tuple[int, float | None]]]:
+    """node, cluster of the nodes that met another, and (depth, measured recall) of every round."""
+    edges, clusters, rounds = None, None, []
+    for depth in range(settings.label, 0, -1):
+        if clusters is None:
+            known = signed.withColumn("cluster", F.col("node"))
+        else:
+            known = signed.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+        found = candidate_forest(known, settings, depth)
+        edges = cut(found if edges is None else edges.unionByName(found.join(edges.select("u", "v"), ["u", "v"], "left_anti")))
+        roots = components(edges.select("u", "v"))
+        clusters = cut(roots.select("node", F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()))
+        rounds.append((depth, measured_recall(edges, settings, depth)))
+        if depth <= settings.depth() or (rounds[-1][1] or 0.0) >= settings.recall:
+            break
+    return clusters, rounds
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -302,10 +338,9 @@ def node_of(text_column: str = "text"):
 def near_classes(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """node, class_node, n_links: one row per different text; n_links counts different texts at the threshold or above."""
     rows = docs.select(node_of(text_column).alias("node"), whole_text(text_column).alias("text"))
-    signed = signatures(rows, settings).groupBy("node").agg(F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    signed = signatures(rows, settings).groupBy("node").agg(F.first("signature").alias("signature"), F.first("labels").alias("labels"))
     signed, _ = staged(signed, "near-signatures")
-    roots = components(candidate_forest(signed, settings))
-    clusters = cut(roots.select("node", F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()))
+    clusters, _ = candidate_clusters(signed, settings)
     # A partial aggregate leaves one row per text and input task before texts are dealt out.
     texts = rows.groupBy("node").agg(F.first("text").alias("text"))
     found = cut(verified(texts, clusters, settings))
@@ -328,12 +363,11 @@ def near_documents(docs: DataFrame, settings: Settings = Settings(), id_column:
 
 def keep_one(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`docs` with one row of each class: the one with the least doc_id (null last), then the least text hash."""
-    names = docs.columns
     classes = cut(near_classes(docs, settings, id_column, text_column))
-    marked = docs.withColumn("_near_node", node_of(text_column))
-    order = F.struct(F.col(id_column).isNull().alias("absent"), F.col(id_column).alias("id"), F.col("_near_node").alias("node"))
-    best = marked.select("_near_node", order.alias("rank")).groupBy("_near_node").agg(F.min("rank").alias("rank")).join(classes, F.col("_near_node") == F.col("node"))
-    winners = best.groupBy("class_node").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias("_near_node"), F.col("rank.id").alias("_near_id"))
-    kept = marked.join(winners, (marked["_near_node"] == winners["_near_node"]) & marked[id_column].eqNullSafe(winners["_near_id"]), "left_semi")
+    marked = docs.select(nested(docs), F.col(id_column).alias("id"), node_of(text_column).alias("own"))
+    order = F.struct(F.col(id_column).isNull().alias("absent"), F.col(id_column).alias("id"), node_of(text_column).alias("node"))
+    best = docs.select(node_of(text_column).alias("node"), order.alias("rank")).groupBy("node").agg(F.min("rank").alias("rank")).join(classes, "node")
+    winners = best.groupBy("class_node").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias("winner"), F.col("rank.id").alias("winner_id"))
+    kept = marked.join(winners, (F.col("own") == F.col("winner")) & F.col("id").eqNullSafe(F.col("winner_id")), "left_semi")
     # Rows repeated with the same id and text: one of them stays.
-    return kept.dropDuplicates([id_column, "_near_node"]).select(*names)
+    return kept.dropDuplicates(["id", "own"]).select("row.*")
