@@ -143,14 +143,17 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, leaf_chars: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = BpeTree.from_file(vocabulary, pattern, leaf_chars=leaf_chars)
+        last, found = None, (0, "", "")
         for batch in batches:
-            sizes, ids_digests, byte_digests = [], [], []
+            out = []
             for text in batch.column(1):
-                ids = tree.encode(text.as_py())
-                sizes.append(len(ids))
-                ids_digests.append(hashlib.sha256(little_endian(ids)).hexdigest())
-                byte_digests.append(hashlib.sha256(tree.decode(ids)).hexdigest())
-            yield batch_of(schema, [batch.column(0), sizes, ids_digests, byte_digests])
+                text = text.as_py()
+                # Repeated rows that stand side by side, as mixing leaves them, are encoded once.
+                if text != last:
+                    ids = tree.encode(text)
+                    last, found = text, (len(ids), hashlib.sha256(little_endian(ids)).hexdigest(), hashlib.sha256(tree.decode(ids)).hexdigest())
+                out.append(found)
+            yield batch_of(schema, [batch.column(0), *(list(c) for c in (zip(*out, strict=True) if out else ([], [], [])))])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     return map_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

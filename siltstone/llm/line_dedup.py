@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batch_of, cut, map_arrow, task_count, whole_text
+from siltstone.llm.common import batch_of, cut, map_arrow, nested, task_count, whole_text
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 LINE_ROW = "h1 long, h2 long, doc_id long, row_hash long, pos int"
@@ -156,7 +156,27 @@ def kept_text(text: str, n_lines: int, keep: bytes) -> str:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """`docs` with its bitmap columns under `_n_lines`, `_n_dropped` and `_keep`."""
-    keys = bitmaps.select(F.col("doc_id").alias("_key_id"), F.col("row_hash").alias("_key_hash"), F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"), F.col("keep").alias("_keep"))
-    same = docs[id_column].cast("long").eqNullSafe(keys["_key_id"]) & (F.xxhash64(whole_text(docs[text_column])) == keys["_key_hash"])
-    return docs.join(keys, same).drop("_key_id", "_key_hash")
+    """row (a struct of all columns of `docs`, whatever their names), n_lines, n_dropped, keep: one row per row of `docs`."""
+    rows = docs.select(nested(docs), F.col(id_column).cast("long").alias("row_id"), F.xxhash64(whole_text(text_column)).alias("text_hash"))
+    keys = bitmaps.select(F.col("doc_id").alias("key_id"), F.col("row_hash").alias("key_hash"), "n_lines", "n_dropped", "keep")
+    return rows.join(keys, F.col("row_id").eqNullSafe(F.col("key_id")) & (F.col("text_hash") == F.col("key_hash"))).select("row", "n_lines", "n_dropped", "keep")
+
+
+def lines_dropped(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, id_column: str = "doc_id", text_column: str = "text", size_column: str = "n_chars") -> DataFrame:
+    """`docs` with the kept lines as text and, if it has that column, their code points as size; null text stays null."""
+    joined = with_bitmaps(docs, keep_bitmaps(docs, least_chars, least_docs, id_column, text_column), id_column, text_column)
+    names, at, schema = docs.columns, docs.columns.index(text_column), docs.schema
+    size_at = names.index(size_column) if size_column in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.column(0).flatten()
+            texts = columns[at].to_pylist()
+            for k in np.flatnonzero(np.asarray(batch.column(2)) > 0):
+                texts[k] = kept_text(texts[k], batch.column(1)[k].as_py(), batch.column(3)[k].as_py())
+            columns[at] = pa.array(texts, columns[at].type)
+            if size_at is not None:
+                columns[size_at] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(columns[size_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(run, schema)

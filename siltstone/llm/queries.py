@@ -66,7 +66,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per copy of a document in the mix: source weights at 95 % of the greatest entropy, every document at least once."""
     copies, _ = source_mix.plan(read(spark, sf_dir, "documents"), source_mix.Target(entropy=0.95), seed=6)
     rows = source_mix.realise(copies, seed=6)
-    return rows.select("doc_id", "source", F.col("mix_n").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copies").alias("copies"), F.col("mix_pass").alias("pass"), F.shiftright("mix_place", 54).cast("int").alias("block"), F.col("mix_place").alias("place"))
+    return rows.select("row.doc_id", "row.source", F.col("mix_n").alias("n_tokens"), F.round("mix_weight", 9).alias("weight"), F.col("mix_copies").alias("copies"), F.col("mix_pass").alias("pass"), F.shiftright("mix_place", 54).cast("int").alias("block"), F.col("mix_place").alias("place"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             digests = [sha256(line_dedup.kept_text(t.as_py() or "", n, k)) for t, n, k in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield batch_of(schema, [batch.column(0), batch.column(2), batch.column(3), digests])
 
-    return map_arrow(joined.select("doc_id", "text", "_n_lines", "_n_dropped", "_keep"), digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return map_arrow(joined.select("row.doc_id", "row.text", "n_lines", "n_dropped", "keep"), digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 OP7_SQL = r"""

@@ -17,7 +17,7 @@ holds the line is split into sub-blocks by the next bits, and so on.  No task ev
 Defined cases: null text has no tokens, so it follows the order but moves no budget; null source is a source of its
 own; rows alike in source, doc_id and text stand at one place in a permutation and are taken together.  A source
 without tokens has weight 0 and, with whole passes only, one pass.  An empty table gives an empty result.  The
-operator's own columns have a prefix, `mix_`, and replace columns of that name.
+operator's own columns stand beside a struct `row` of all input columns, so that no names clash.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, whole_text
+from siltstone.llm.common import cut, nested, whole_text
 
 GRID, ROUNDS = 32, 6
 #: Bits of a permutation's place by level: 63 in all.
@@ -142,14 +142,14 @@ def line_places(docs: DataFrame, quotas: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, target: Target, budget: int | None = None, seed: int = 0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> tuple[DataFrame, DataFrame]:
-    """`docs` with mix_source, mix_n (tokens), mix_copies, and the table of sources behind it.
+    """row (a struct of all columns of `docs`), mix_source, mix_n (tokens), mix_copies and the row's mix_id and mix_text, and the table of sources behind it.
 
     Sources are few; beyond BROADCAST_SOURCES their table is joined by shuffle, with AQE splitting hot sources.
     """
     text = whole_text(text_column)
-    docs = docs.drop(*(c for c in docs.columns if c.startswith("mix_")))
-    rows = docs.select("*", source_key(F.col(source_column)).alias("mix_source"), word_tokens(text).alias("mix_n"))
-    narrow = cut(rows.select("mix_source", "mix_n", F.col(id_column).alias("mix_id"), F.xxhash64(text).alias("mix_text")))
+    keys = [source_key(F.col(source_column)).alias("mix_source"), word_tokens(text).alias("mix_n"), F.col(id_column).alias("mix_id"), F.xxhash64(text).alias("mix_text")]
+    rows = docs.select(nested(docs), *keys)
+    narrow = cut(docs.select(*keys))
     sources = cut(narrow.groupBy("mix_source").agg(F.sum("mix_n").alias("mix_tokens")))
     small = sources.count() <= BROADCAST_SOURCES
     exponent = find_exponent(sources, target)
@@ -161,13 +161,13 @@ def plan(docs: DataFrame, target: Target, budget: int | None = None, seed: int =
     lines = line_places(last_pass, partial)
     table = table.join(lines, "mix_source", "left")
     joined = rows.join(F.broadcast(table) if small else table, "mix_source")
-    here = place(seed, F.col("mix_passes"), F.col(id_column), F.xxhash64(text))
+    here = place(seed, F.col("mix_passes"), F.col("mix_id"), F.col("mix_text"))
     extra = F.coalesce(here <= F.col("mix_line"), F.lit(False)).cast("long")
-    copies = joined.select(*(joined[c] for c in docs.columns), "mix_source", "mix_n", "mix_weight", (F.col("mix_passes") + extra).alias("mix_copies"))
+    copies = joined.select("row", "mix_source", "mix_n", "mix_id", "mix_text", "mix_weight", (F.col("mix_passes") + extra).alias("mix_copies"))
     return copies, table.withColumn("mix_exponent", F.lit(exponent))
 
 
-def realise(copies: DataFrame, seed: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def realise(copies: DataFrame, seed: int = 0) -> DataFrame:
     """One row per copy, with mix_pass and mix_place: ordering by them and the source gives the block permutations."""
     passes = copies.where("mix_copies > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1)).alias("mix_pass"))
-    return passes.withColumn("mix_place", place(seed, F.col("mix_pass"), F.col(id_column), F.xxhash64(whole_text(text_column))))
+    return passes.withColumn("mix_place", place(seed, F.col("mix_pass"), F.col("mix_id"), F.col("mix_text")))

@@ -2,7 +2,7 @@
 
 import random
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, size int, row_hash string, doc string, keep int, spans string, mix_n string, _keep int, label int"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, node long, key string, size int, row_hash string, doc string, keep int, spans string, mix_n string, mix_foo int, _keep int, _n_lines int, _near_node string, row int, label int, score double"
 
 
 def texts(seed=2):
@@ -30,7 +30,7 @@ def rows(seed=2):
     found = [(k, t, "en" if k % 2 else None, None if k % 7 == 0 else f"src{k % 3}", None if t is None else len(t)) for k, t in enumerate(texts(seed))]
     # A repeated row, a tie of doc_id, and rows without doc_id.
     found += [found[15], (20, "another text under an id that exists " * 8, None, "src1", 5), (None, "a text without an id " * 12, "en", "src0", 1), (None, None, None, None, None)]
-    extra = (7, "k", 3, "h", "d", 0, "s", "m", 1, 2)
+    extra = (7, "k", 3, "h", "d", 0, "s", "m", 4, 1, 5, "n", 6, 2, 0.5)
     return [(*r, *extra) for r in found]
 
 

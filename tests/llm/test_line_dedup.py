@@ -20,11 +20,11 @@ def brute(rows, least_chars=20, least_docs=3):
 
 def kept(docs):
     joined = ld.with_bitmaps(docs, ld.keep_bitmaps(docs)).collect()
-    return sorted((float("-inf") if r.doc_id is None else r.doc_id, ld.kept_text(r.text or "", r._n_lines, r._keep)) for r in joined)
+    return sorted((float("-inf") if r.row.doc_id is None else r.row.doc_id, ld.kept_text(r.row.text or "", r.n_lines, r.keep)) for r in joined)
 
 
 def test_equals_brute_force_on_awkward_rows(spark):
-    docs = awkward.documents(spark).drop("_keep")
+    docs = awkward.documents(spark)
     assert kept(docs) == brute([r[:2] for r in awkward.rows()])
     assert any(a != b for a, b in zip(kept(docs), sorted((float("-inf") if r[0] is None else r[0], r[1] or "") for r in awkward.rows()), strict=True))
 

@@ -22,7 +22,7 @@ def mixed(spark, target, budget=None, docs=None):
 @pytest.mark.parametrize(("target", "budget"), [(source_mix.Target(entropy=0.95), None), (source_mix.Target(repetition=1.5), None), (source_mix.Target(entropy=0.99), 9_000)])
 def test_mix_meets_weights(spark, target, budget):
     docs, copies, table = mixed(spark, target, budget)
-    rows = copies.select("mix_source", "mix_n", "mix_copies", source_mix.place(3, F.lit(0), F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("p"), "doc_id", "text").collect()
+    rows = copies.select("mix_source", "mix_n", "mix_copies", source_mix.place(3, F.lit(0), F.col("mix_id"), F.col("mix_text")).alias("p"), "row.doc_id", "row.text").collect()
     assert len(rows) == docs.count()
     total = {s: sum(r.mix_n for r in rows if r.mix_source == s) for s in table}
     a = next(iter(table.values())).mix_exponent
@@ -47,7 +47,7 @@ def test_mix_meets_weights(spark, target, budget):
 def test_partial_pass_is_a_prefix_of_the_permutation(spark):
     docs, copies, table = mixed(spark, source_mix.Target(entropy=0.99), 9_000)
     for s, t in table.items():
-        here = source_mix.place(3, F.lit(t.mix_passes), F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))))
+        here = source_mix.place(3, F.lit(t.mix_passes), F.col("mix_id"), F.col("mix_text"))
         rows = sorted((r.p, r.mix_n, r.mix_copies) for r in copies.where(F.col("mix_source") == s).select(here.alias("p"), "mix_n", "mix_copies").collect())
         taken, sums = [c > t.mix_passes for _, _, c in rows], 0
         for (place, n, _), extra in zip(rows, taken, strict=True):
@@ -61,7 +61,7 @@ def test_realised_rows_and_columns(spark):
     rows = source_mix.realise(copies, seed=3)
     assert rows.count() == copies.agg(F.sum("mix_copies")).first()[0] >= docs.count()
     assert copies.agg(F.min("mix_copies")).first()[0] >= 1
-    assert set(docs.columns) - {"mix_n"} <= set(rows.columns)
+    assert rows.select("row.*").columns == docs.columns and rows.select("row.mix_n").distinct().first()[0] == "m"
     copies, _ = source_mix.plan(awkward.empty(spark), source_mix.Target(entropy=0.95))
     assert source_mix.realise(copies).count() == 0
     with pytest.raises(ValueError):
@@ -117,6 +117,28 @@ def test_forest_depth_reaches_the_recall():
     assert chance(s.depth()) >= s.recall and (s.depth() == s.label or chance(s.depth() + 1) < s.recall)
 
 
+@pytest.mark.parametrize(("edits", "depth"), [(1, 6), (None, 5)])
+def test_prefixes_are_shortened_until_the_recall_is_measured(spark, edits, depth):
+    """Pairs far above the threshold meet on the whole label; pairs near it need shorter prefixes."""
+    rng, s = random.Random(1), near_join.Settings()
+    docs = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        # 46 to 48 further words leave 196 of 242 to 244 n-grams in common: a similarity of 0.80 to 0.81.
+        other = [*words, *(f"v{rng.randrange(10**6)}" for _ in range(46 + k % 3))] if edits is None else ["edited", *words[1:]]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = docs.select(near_join.node_of().alias("node"), "text")
+    _, rounds = near_join.candidate_clusters(near_join.signatures(rows, s), s)
+    assert rounds[0][0] == s.label and rounds[-1][0] == depth and rounds[-1][1] >= s.recall
+    assert {r.n_links for r in near_join.near_documents(docs, s).collect()} == {1}
+
+
+def test_a_hot_node_of_many_edges(spark):
+    found = components(spark.range(1, 3000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")))
+    assert found.where("root = 0").count() == 2999 == found.count()
+
+
 def test_components(spark):
     rng, n = random.Random(4), 200
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)] + [(500, 500 + k) for k in range(1, 50)]
