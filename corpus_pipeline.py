@@ -1,14 +1,14 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and reread as the next one's input.
 
 A stage takes (spark, docs, sf_dir) and returns all that it keeps, whole, with the columns of `documents`; the last
-returns the digests of the encoded documents.  The stages cannot be stated in SQL (a trained network, a seeded
+returns the digests of the encoded documents.  Every stage takes nulls in any column, repeated rows, ties, an empty
+table and further columns of any name, which it hands on.  The stages cannot be stated in SQL (a trained network, a seeded
 permutation and a tokenizer are among them); tests hold each against a brute-force version.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import bpe_tree, line_dedup, near_join, quality_model, source_mix
@@ -18,45 +18,29 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that the classifier, trained on `labels`, scores under 0.3."""
+    """Rejects documents that the classifier, trained on `labels`, scores under 0.3; null texts are scored as empty ones."""
     pooler, network = quality_model.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_model.keep_good(docs, pooler, network, threshold=0.3)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines of 20 code points or more that three documents hold, but in the largest doc_id; n_chars follows the text."""
-    joined = line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs, least_chars=20, least_docs=3))
-    names = docs.columns
-    schema = docs.schema
-
-    def cut_lines(batches):
-        at = {c: k for k, c in enumerate([*names, "_n_lines", "_n_dropped", "_keep"])}
-        for batch in batches:
-            texts = []
-            for text, n, dropped, keep in zip(batch.column(at["text"]).to_pylist(), batch.column(at["_n_lines"]).to_pylist(), batch.column(at["_n_dropped"]).to_pylist(), batch.column(at["_keep"]).to_pylist(), strict=True):
-                texts.append(line_dedup.kept_text(text, n, keep) if dropped else text)
-            columns = [batch.column(at[c]) for c in names]
-            columns[at["text"]] = pa.array(texts, pa.string())
-            if "n_chars" in at:
-                columns[at["n_chars"]] = pa.array([None if x is None else len(x) for x in texts], pa.int64()).cast(batch.column(at["n_chars"]).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return joined.select(*names, "_n_lines", "_n_dropped", "_keep").mapInArrow(cut_lines, schema)
+    """Removes lines of 20 code points or more that three documents hold, but in the largest doc_id; n_chars follows the text, and null texts stay null."""
+    return line_dedup.lines_dropped(docs, least_chars=20, least_docs=3)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of word 5-gram similarity of 0.8 or more."""
+    """Keeps one document of each class of word 5-gram similarity of 0.8 or more: the least doc_id, null last; null and empty texts are alike."""
     return near_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources until the source weights have 95 % of the greatest entropy; each document stays."""
+    """Repeats documents of small sources until the source weights have 95 % of the greatest entropy; each document stays, and null is a source."""
     copies, _ = source_mix.plan(docs, source_mix.Target(entropy=0.95), seed=6)
-    return source_mix.realise(copies, seed=6).select(*docs.columns)
+    return source_mix.realise(copies, seed=6).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; copies that stand side by side are encoded once."""
     return bpe_tree.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
