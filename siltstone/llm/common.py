@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,11 +55,22 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Drops a query's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes `df` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes `df` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The write's shuffle files go with it, since nothing but the written table is used again.
+    """
     spark = df.sparkSession
-    path = new_folder(spark, label)
-    df.write.parquet(path)
+    path, before = new_folder(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -70,12 +80,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps now rather than at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def nested(docs: DataFrame) -> Column:
     """The whole row as one struct, so that its columns cannot clash with an operator's own beside it."""
     return F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")

@@ -1,25 +1,26 @@
-"""Removal of repeated byte strings by hashes of sampled positions (operator 2), in place of prefix doubling.
+"""Removal of repeated byte strings by prefix doubling over sampled positions (operator 2).
 
 A byte goes if a string of `length` bytes that covers it also starts earlier (smaller document, or same document and
-earlier start).  Ranking all positions by doubling would sort every byte of the corpus several times (its disk is not
-measured); a sampled set of positions settles the same question, without a suffix order, growing offsets or reranking:
+earlier start).  Ranking all positions by doubling would sort every byte of the corpus in each round; a sampled set of
+positions settles the same question:
 
 1. Sampling.  Each window of `length` bytes chooses the `gram`-byte string in it with the least hash (all of them, in a
    tie).  The choice depends on the window's bytes only, so equal windows choose alike: if a string repeats, some
    chosen position repeats with it.  About 2 / (length - gram + 2) of all positions are chosen.
-2. Rank at offset `gram`.  Spark sorts chosen positions by their gram's rank.  Positions whose rank is unique are out.
-3. Rank pairs at the grown offset.  The sort key's second part ranks the whole reach of a position, the bytes that any
-   window with this choice can touch.  Equal pairs form a run: its first position stays as the run's representative,
-   for every other the whole reach is covered.  If a rank holds a single pair, it is settled.
-4. Past the threshold.  Representatives with equal first and different second rank agree on a part of their reach.  They
-   are sorted again by the rank of each `length`-byte window at each distance from the choice; all but the first of
-   equal ones are covered.
-5. Covered windows are joined per document into spans.
-
-Ranks are 64-bit polynomial hashes (odd base, random byte values), compared only under an equal 64-bit gram hash.
-Steps 2 and 3 take one range-partitioned sort by (gram, reach, document, position), so a string that a third of all
-documents hold is dealt over many tasks; the runs at task borders are settled by an aggregate.  In step 4 a gram with
-more than `hot` representatives goes by an aggregate over window rows instead of one task.
+2. Rank pairs.  The windows of a position are a cell of distances from the window's start to the position, at first all
+   of them.  A cell's core is what all its windows share, its reach what any of them touches.  Spark sorts rows by the
+   pair (rank of the core, rank of the reach) and by place.  A row with a core of its own is unique and out.  Rows with
+   equal pairs are equal throughout: the first stays as their representative, for every other the whole reach is
+   covered.  A core with one pair left is settled.
+3. Growing offsets.  Representatives with equal cores and different reaches agree on a part of their windows.  Their
+   cells are split in `split` parts, whose cores are longer, and the rows are ranked again by the pairs of the grown
+   offset: 32, 87, 98 and 100 bytes by default.  Rows go on until they are unique or settled; at a cell of one window
+   the core has reached the threshold, is its own reach, and every row is one or the other.
+4. Covered reaches are joined per document into spans.
+
+Ranks are 64-bit polynomial hashes, of the core and of the reach by different bases; rows count as equal if both agree.
+Each round takes one range-partitioned sort by (core, reach, document, position), so a string that a third of all
+documents hold is dealt over many tasks; the runs at task borders are settled by an aggregate.
 
 Defined cases: null text is the empty text; texts under `length` bytes lose nothing.  Rows are identified by doc_id
 and a hash of their text: rows alike in both are one document and get the same result; among rows with one doc_id the
@@ -36,11 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batch_of, cut, delete_path, free_shuffles, map_arrow, splitmix, staged, task_count, whole_text
-from siltstone.llm.near_join import group_starts, grouped
+from siltstone.llm.common import batch_of, cut, delete_path, map_arrow, splitmix, staged, task_count, whole_text
 
-BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 2**64)
+CORE_BASE, REACH_BASE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 #: Stands for a null doc_id, before all others.
 NO_ID = -(2**63)
 SLICE = 1 << 18
@@ -50,7 +49,7 @@ SLICE = 1 << 18
 class Settings:
     length: int = 100
     gram: int = 32
-    hot: int = 20_000
+    split: int = 5
 
     @property
     def back(self) -> int:
@@ -59,18 +58,19 @@ class Settings:
 
 
 class Powers:
-    """Powers of the base and its inverse, grown on demand; hashes of substrings of a byte array."""
+    """Powers of a base and its inverse, grown on demand; hashes of substrings of a byte array."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.base, self.inverse = base, pow(base, -1, 2**64)
         self.up = self.down = np.ones(1, dtype=np.uint64)
-        self.values = splitmix(np.arange(1, 257))
+        self.values = splitmix(np.arange(1, 257) ^ (base & 0xFFFF))
 
     def grow(self, n: int) -> None:
         if len(self.up) <= n:
             n = max(n + 1, 2 * len(self.up))
             with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.append(np.uint64(1), np.full(n, BASE, dtype=np.uint64)), dtype=np.uint64)
-                self.down = np.cumprod(np.append(np.uint64(1), np.full(n, INVERSE, dtype=np.uint64)), dtype=np.uint64)
+                self.up = np.cumprod(np.append(np.uint64(1), np.full(n, self.base, dtype=np.uint64)), dtype=np.uint64)
+                self.down = np.cumprod(np.append(np.uint64(1), np.full(n, self.inverse, dtype=np.uint64)), dtype=np.uint64)
 
     def sums(self, raw: np.ndarray) -> np.ndarray:
         """sums[b] - sums[a], times the inverse power of a, is the hash of raw[a:b]."""
@@ -93,8 +93,8 @@ def sliding(values: np.ndarray, width: int, function) -> np.ndarray:
     return out
 
 
-def chosen(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, powers: Powers, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chosen positions in texts raw[begins[k]:ends[k]], their gram hashes, and the sums of raw."""
+def chosen(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, powers: Powers, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen positions in texts raw[begins[k]:ends[k]] and their gram hashes."""
     sums = powers.sums(raw)
     at = np.arange(len(raw) - s.gram + 1)
     grams = splitmix(powers.hashes(sums, at, at + s.gram))
@@ -110,18 +110,18 @@ def chosen(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, powers: Powers
     pad = np.zeros(per_window - 1, dtype=np.uint64)
     greatest = sliding(np.concatenate([pad, least, pad]), per_window, np.maximum)
     position = np.flatnonzero((greatest[: len(grams)] == grams) & (grams > 0))
-    return position, grams[position], sums
+    return position, grams[position]
 
 
-_CHOSEN = pa.schema([("gram", pa.int64()), ("reach", pa.int64()), ("doc", pa.int64()), ("row_hash", pa.int64()), ("pos", pa.int32()), ("ahead", pa.int32())])
-CHOSEN = "gram long, reach long, doc long, row_hash long, pos int, ahead int"
+_CHOSEN = pa.schema([("core", pa.int64()), ("reach", pa.int64()), ("doc", pa.int64()), ("row_hash", pa.int64()), ("pos", pa.int32()), ("ahead", pa.int32())])
+CHOSEN = "core long, reach long, doc long, row_hash long, pos int, ahead int"
 
 
 def chosen_positions(rows: DataFrame, s: Settings) -> DataFrame:
     """A row per chosen position: rank of its gram, rank of its reach, its place, and the bytes of its reach from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        cores, reaches = Powers(CORE_BASE), Powers(REACH_BASE)
         for batch in batches:
             docs, hashes = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             raws = [x.as_py().encode("utf-8", "surrogatepass") for x in batch.column(2)]
@@ -137,177 +137,149 @@ def chosen_positions(rows: DataFrame, s: Settings) -> DataFrame:
                 raw = np.frombuffer(b"".join(raws[first:k]), dtype=np.uint8)
                 ends = np.cumsum(sizes)
                 begins = ends - sizes
-                position, gram, sums = chosen(raw, begins, ends, powers, s)
+                position, gram = chosen(raw, begins, ends, cores, s)
                 text = np.searchsorted(ends, position, side="right")
                 low = np.maximum(begins[text], position - s.back)
                 high = np.minimum(ends[text], position + s.length)
-                reach = splitmix(powers.hashes(sums, low, high) ^ splitmix((position - low) * 1024 + (high - position)))
+                reach = splitmix(reaches.hashes(reaches.sums(raw), low, high) ^ splitmix((position - low) * 1024 + (high - position)))
                 yield batch_of(_CHOSEN, [gram.view(np.int64), reach.view(np.int64), docs[first + text], hashes[first + text], (position - begins[text]).astype(np.int32), (high - position).astype(np.int32)])
 
     return map_arrow(rows, run, CHOSEN)
 
 
-#: kind 0: covered; 1: to settle with other tasks; 2: representative under a gram with several; 3: a gram at a task's border.
-_RANKED = pa.schema([*_CHOSEN, ("kind", pa.int32())])
+def _ranking(schema: pa.Schema):
+    """Streams rows sorted by (core, reach, doc, row_hash, pos); adds `kind`.  State: the last row and the core's first representative.
 
-
-def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by (gram, reach, doc, row_hash, pos).  State: the last row and the gram's first representative."""
-    last, first_gram, waiting = None, None, None
+    kind 0: covered; 1: to settle with other tasks; 2: representative under a core with several; 3: a core at a task's border.
+    """
+    out_schema = schema.append(pa.field("kind", pa.int32()))
 
     def rows(table: pa.RecordBatch, at: np.ndarray, kind: int) -> pa.RecordBatch:
         taken = table.take(pa.array(at))
         # A covered row needs its place only; equal ranks take no room in the written table.
         none = pa.array(np.zeros(len(at), dtype=np.int64))
         ranks = [none, none] if kind == 0 else taken.columns[:2]
-        return pa.RecordBatch.from_arrays([*ranks, *taken.columns[2:], pa.array(np.full(len(at), kind, dtype=np.int32))], schema=_RANKED)
-
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        values = [np.asarray(c) for c in batch.columns[:5]]
-        same = np.ones((5, n), dtype=bool)
-        for k, v in enumerate(values):
-            same[k, 1:] = v[1:] == v[:-1]
-            same[k, 0] = last is not None and v[0] == last[k]
-        same = np.logical_and.accumulate(same, axis=0)
-        new_gram, new_reach, repeated = ~same[0], ~same[1], same[4]
-        if first_gram is None:
-            first_gram = values[0][0]
-            yield rows(batch, np.array([0]), 3)
-        at_border = values[0] == first_gram
-        # A task's first row of a pair may have an earlier one elsewhere; the pair's other rows have it here.
-        yield rows(batch, np.flatnonzero(at_border & new_reach), 1)
-        yield rows(batch, np.flatnonzero(~new_reach & ~repeated), 0)
-        # A second reach under a gram makes both it and the gram's first one representatives.
-        heads = np.flatnonzero(new_gram)
-        more = np.flatnonzero(new_reach & ~new_gram & ~at_border)
-        head = np.searchsorted(heads, more, side="right") - 1
-        if (head < 0).any() and waiting is not None:
-            yield waiting
-            waiting = None
-        yield rows(batch, np.union1d(more, heads[np.unique(head[head >= 0])]), 2)
-        if len(heads):
-            h = heads[-1]
-            waiting = None if at_border[h] or (len(more) and more[-1] > h) else rows(batch, np.array([h]), 2)
-        last = [v[-1] for v in values]
-        tail = batch.slice(n - 1)
-    if last is not None:
-        yield rows(tail, np.array([0]), 3)
-        if waiting is not None:
-            yield pa.RecordBatch.from_arrays([*waiting.columns[:-1], pa.array([1], pa.int32())], schema=_RANKED)
-
-
-_SPAN = pa.schema([("doc", pa.int64()), ("row_hash", pa.int64()), ("begin", pa.int32()), ("end", pa.int32())])
-SPAN = "doc long, row_hash long, begin int, end int"
-
-
-def whole_reach(rows: DataFrame, s: Settings) -> DataFrame:
-    return rows.select("doc", "row_hash", F.greatest(F.col("pos") - s.back, F.lit(0)).alias("begin"), (F.col("pos") + F.col("ahead")).alias("end"))
-
-
-def rank_table(rows: DataFrame, s: Settings, tasks: int) -> tuple[DataFrame, str]:
-    """The one large sort, written."""
-    order = ["gram", "reach", "doc", "row_hash", "pos"]
-    dealt = chosen_positions(rows, s).repartitionByRange(tasks, "gram", "reach", "doc").sortWithinPartitions(*order)
-    return staged(map_arrow(dealt, _rank, CHOSEN + ", kind int"), "repeat-ranks")
+        return pa.RecordBatch.from_arrays([*ranks, *taken.columns[2:], pa.array(np.full(len(at), kind, dtype=np.int32))], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first_core, waiting, tail = None, None, None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            values = [np.asarray(c) for c in batch.columns[:5]]
+            same = np.ones((5, n), dtype=bool)
+            for k, v in enumerate(values):
+                same[k, 1:] = v[1:] == v[:-1]
+                same[k, 0] = last is not None and v[0] == last[k]
+            same = np.logical_and.accumulate(same, axis=0)
+            new_core, new_reach, repeated = ~same[0], ~same[1], same[4]
+            if first_core is None:
+                first_core = values[0][0]
+                yield rows(batch, np.array([0]), 3)
+            at_border = values[0] == first_core
+            # A task's first row of a pair may have an earlier one elsewhere; the pair's other rows have it here.
+            yield rows(batch, np.flatnonzero(at_border & new_reach), 1)
+            yield rows(batch, np.flatnonzero(~new_reach & ~repeated), 0)
+            # A second reach under a core makes both it and the core's first one representatives.
+            heads = np.flatnonzero(new_core)
+            more = np.flatnonzero(new_reach & ~new_core & ~at_border)
+            head = np.searchsorted(heads, more, side="right") - 1
+            if (head < 0).any() and waiting is not None:
+                yield waiting
+                waiting = None
+            yield rows(batch, np.union1d(more, heads[np.unique(head[head >= 0])]), 2)
+            if len(heads):
+                h = heads[-1]
+                waiting = None if at_border[h] or (len(more) and more[-1] > h) else rows(batch, np.array([h]), 2)
+            last = [v[-1] for v in values]
+            tail = batch.slice(n - 1)
+        if last is not None:
+            yield rows(tail, np.array([0]), 3)
+            if waiting is not None:
+                yield pa.RecordBatch.from_arrays([*waiting.columns[:-1], pa.array([1], pa.int32())], schema=out_schema)
+
+    return run
+
+
+def rank_table(rows: DataFrame, schema: pa.Schema, ddl: str, tasks: int) -> tuple[DataFrame, str]:
+    """One round's sort of rank pairs, written."""
+    dealt = rows.repartitionByRange(tasks, "core", "reach", "doc").sortWithinPartitions("core", "reach", "doc", "row_hash", "pos")
+    return staged(map_arrow(dealt, _ranking(schema), ddl + ", kind int"), "repeat-ranks")
+
+
+def covered_reach(rows: DataFrame, s: Settings) -> DataFrame:
+    """doc, row_hash, begin, end: what the windows of a row's cell touch, from pos, ahead, low and high."""
+    begin = F.col("pos") - F.least("high", "pos")
+    end = F.col("pos") - F.greatest(F.col("low"), F.lit(s.length) - F.col("ahead")) + s.length
+    return rows.select("doc", "row_hash", begin.alias("begin"), end.alias("end"))
 
 
 def ranked(found: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """Steps 2 and 3 from the written table: covered spans, and representatives that step 4 has to compare."""
-    # Two rows a task, whatever the data hold.
-    border = F.broadcast(found.where("kind = 3").select("gram").distinct())
+    """From a round's table: covered spans, and the representatives that stay open (doc, row_hash, pos, ahead, low, high)."""
+    # Two rows a task, whatever the data hold; every core of kind 1 is among them.
+    border = F.broadcast(found.where("kind = 3").select("core").distinct())
     several = found.where("kind = 2").drop("kind")
-    open_rows = found.where("kind = 1").drop("kind").unionByName(several.join(border, "gram", "left_semi"))
-    place = F.struct("doc", "row_hash", "pos", "ahead")
-    firsts = open_rows.groupBy("gram", "reach").agg(F.min(place).alias("first"))
-    later = open_rows.join(firsts, ["gram", "reach"]).where(place != F.col("first")).select("doc", "row_hash", "pos", "ahead")
-    covered = whole_reach(found.where("kind = 0"), s).unionByName(whole_reach(later, s))
-    many = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    more = firsts.join(many, "gram").select("gram", "first.*")
-    left = several.join(border, "gram", "left_anti").select("gram", "doc", "row_hash", "pos", "ahead").unionByName(more)
-    return covered, left
+    open_rows = found.where("kind = 1").drop("kind").unionByName(several.join(border, "core", "left_semi"))
+    place = F.struct("doc", "row_hash", "pos", "ahead", "low", "high")
+    firsts = open_rows.groupBy("core", "reach").agg(F.min(place).alias("first"))
+    later = open_rows.join(firsts, ["core", "reach"]).where(place != F.col("first"))
+    covered = covered_reach(found.where("kind = 0"), s).unionByName(covered_reach(later, s))
+    many = firsts.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    more = firsts.join(F.broadcast(many), "core").select("first.*")
+    return covered, several.join(border, "core", "left_anti").select("doc", "row_hash", "pos", "ahead", "low", "high").unionByName(more)
 
 
-_REACH = pa.schema([("gram", pa.int64()), ("doc", pa.int64()), ("row_hash", pa.int64()), ("pos", pa.int32()), ("bytes", pa.binary())])
+_REACH = pa.schema([("doc", pa.int64()), ("row_hash", pa.int64()), ("pos", pa.int32()), ("bytes", pa.binary())])
 
 
-def reaches(rows: DataFrame, left: DataFrame, s: Settings) -> DataFrame:
-    """Representatives with the bytes of their reach."""
-    per_doc = left.groupBy("doc", "row_hash").agg(F.collect_list(F.struct("gram", "pos", "ahead")).alias("at"))
+def reach_bytes(rows: DataFrame, left: DataFrame, s: Settings) -> DataFrame:
+    """doc, row_hash, pos, bytes: the whole reach of each open representative."""
+    per_doc = left.groupBy("doc", "row_hash").agg(F.collect_set(F.struct("pos", "ahead")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, row_hash, text, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
-                out.extend((x["gram"], doc, row_hash, x["pos"], raw[max(0, x["pos"] - s.back) : x["pos"] + x["ahead"]]) for x in at)
+                out.extend((doc, row_hash, x["pos"], raw[max(0, x["pos"] - s.back) : x["pos"] + x["ahead"]]) for x in at)
             if out:
                 yield batch_of(_REACH, list(zip(*out, strict=True)))
 
     joined = rows.join(per_doc, ["doc", "row_hash"]).select("doc", "row_hash", "text", "at")
-    return map_arrow(joined, run, "gram long, doc long, row_hash long, pos int, bytes binary").distinct()
+    return map_arrow(joined, run, "doc long, row_hash long, pos int, bytes binary").distinct()
 
 
-def windows_of(table: pa.Table, powers: Powers, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each window of each reach: the row it belongs to, its distance before the chosen position, its hash."""
-    parts = table.column("bytes").to_pylist()
-    sizes = np.array([len(x) for x in parts])
-    begins = np.cumsum(sizes) - sizes
-    sums = powers.sums(np.frombuffer(b"".join(parts), dtype=np.uint8))
-    pos = table.column("pos").to_numpy()
-    back = np.minimum(pos, s.back)
-    # Windows start at the reach's first byte up to the chosen position, as far as the reach's end allows.
-    count = np.maximum(np.minimum(back, sizes - s.length) + 1, 0)
-    row = np.repeat(np.arange(len(parts)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    start = begins[row] + nth
-    return row, back[row] - nth, powers.hashes(sums, start, start + s.length)
+_CELL = pa.schema([*_CHOSEN, ("low", pa.int32()), ("high", pa.int32())])
+CELL = CHOSEN + ", low int, high int"
 
 
-def window_spans(found: DataFrame, s: Settings, tasks: int) -> DataFrame:
-    """Step 4 for grams of few representatives: spans of windows that an earlier representative holds too."""
-    dealt = found.repartition(tasks, "gram").sortWithinPartitions("gram", "doc", "row_hash", "pos")
+def cell_rows(open_rows: DataFrame, held: DataFrame, width: int, s: Settings) -> DataFrame:
+    """Rank pairs of the open cells' parts of `width` distances; a part without a window inside the text has no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for table in grouped(batches, 1):
-            starts = group_starts(table, 1)
-            group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            row, distance, window = windows_of(table, powers, s)
-            # Rows are in the order of documents and positions, so the first of equal windows is the earliest.
-            order = np.lexsort((row, window, distance, group[row]))
-            a, b = order[:-1], order[1:]
-            later = (group[row[a]] == group[row[b]]) & (distance[a] == distance[b]) & (window[a] == window[b])
-            hit = np.sort(b[later])
-            begin = table.column("pos").to_numpy()[row[hit]] - distance[hit]
-            run_start = np.flatnonzero(np.append(True, (row[hit][1:] != row[hit][:-1]) | (begin[1:] != begin[:-1] + 1))) if len(hit) else np.zeros(0, dtype=int)
-            run_end = np.append(run_start[1:], len(hit)) - 1 if len(hit) else run_start
-            at = row[hit[run_start]]
-            yield batch_of(_SPAN, [table.column("doc").to_numpy()[at], table.column("row_hash").to_numpy()[at], begin[run_start].astype(np.int32), (begin[run_end] + s.length).astype(np.int32)])
-
-    return map_arrow(dealt, run, SPAN)
-
-
-_WINDOW = pa.schema([("gram", pa.int64()), ("distance", pa.int32()), ("window", pa.int64()), ("doc", pa.int64()), ("row_hash", pa.int64()), ("pos", pa.int32())])
-
-
-def hot_window_spans(found: DataFrame, s: Settings) -> DataFrame:
-    """Step 4 for grams of very many representatives: one row a window and an aggregate that combines before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        cores, reaches = Powers(CORE_BASE), Powers(REACH_BASE)
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            row, distance, window = windows_of(table, powers, s)
-            yield batch_of(_WINDOW, [table.column("gram").to_numpy()[row], distance.astype(np.int32), window.view(np.int64), table.column("doc").to_numpy()[row], table.column("row_hash").to_numpy()[row], table.column("pos").to_numpy()[row]])
-
-    windows = map_arrow(found, run, "gram long, distance int, window long, doc long, row_hash long, pos int")
-    place = F.struct("doc", "row_hash", "pos")
-    firsts = windows.groupBy("gram", "distance", "window").agg(F.min(place).alias("first"))
-    later = windows.join(firsts, ["gram", "distance", "window"]).where(place != F.col("first"))
-    return later.select("doc", "row_hash", (F.col("pos") - F.col("distance")).alias("begin"), (F.col("pos") - F.col("distance") + s.length).alias("end"))
+            doc, row_hash, pos, low, high = (np.asarray(batch.column(k)) for k in range(5))
+            parts = batch.column(5).to_pylist()
+            sizes = np.array([len(x) for x in parts], dtype=np.int64)
+            raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
+            core_sums, reach_sums = cores.sums(raw), reaches.sums(raw)
+            back = np.minimum(pos, s.back).astype(np.int64)
+            ahead = sizes - back
+            anchor = np.cumsum(sizes) - sizes + back
+            for k in range(s.split):
+                a = low.astype(np.int64) + k * width
+                b = np.minimum(a + width - 1, high)
+                nearest, farthest = np.maximum(a, s.length - ahead), np.minimum(b, back)
+                at = np.flatnonzero((a <= b) & (nearest <= farthest))
+                a, b, nearest, farthest, here = a[at], b[at], nearest[at], farthest[at], anchor[at]
+                core = splitmix(cores.hashes(core_sums, here - a, here - b + s.length) ^ splitmix(a * 1024 + b))
+                reach = splitmix(reaches.hashes(reach_sums, here - farthest, here - nearest + s.length) ^ splitmix(farthest * 1024 + nearest))
+                yield batch_of(_CELL, [core.view(np.int64), reach.view(np.int64), doc[at], row_hash[at], pos[at], ahead[at].astype(np.int32), a.astype(np.int32), b.astype(np.int32)])
+
+    joined = open_rows.join(held, ["doc", "row_hash", "pos"]).select("doc", "row_hash", "pos", "low", "high", "bytes")
+    return map_arrow(joined, run, CELL)
 
 
 def merged(spans: list) -> list[tuple[int, int]]:
@@ -326,35 +298,31 @@ def identified(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
 
-def span_table(rows: DataFrame, found: DataFrame, s: Settings, tasks: int) -> tuple[DataFrame, list[str]]:
-    """Steps 3 to 5: the written spans, and the folders of what they were made from."""
-    spark = rows.sparkSession
-    covered, left = ranked(found, s)
-    held, held_path = staged(reaches(rows, left, s), "repeat-reaches")
-    free_shuffles(spark)
-    hot = cut(held.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > s.hot).select("gram"))
-    if hot.isEmpty():
-        spans = covered.unionByName(window_spans(held, s, tasks))
-    else:
-        spans = covered.unionByName(window_spans(held.join(hot, "gram", "left_anti"), s, tasks)).unionByName(hot_window_spans(held.join(hot, "gram", "left_semi"), s))
-    # A document's own spans, as many as its bytes at most.
-    per_doc = spans.groupBy("doc", "row_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    return staged(per_doc, "repeat-spans")[0], [held_path]
-
-
 def repeated_spans(docs: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc (NO_ID for null), row_hash, spans array<struct<begin, end>>: byte spans covered by earlier strings, not yet joined; only documents with some.
 
-    Tables and shuffles of a step go once the next one is written.
+    Tables of the rounds go once the spans are written.
     """
     spark, tasks = docs.sparkSession, task_count(docs.sparkSession)
     rows = identified(docs, id_column, text_column)
-    found, path = rank_table(rows, settings, tasks)
-    free_shuffles(spark)
-    out, used = span_table(rows, found, settings, tasks)
-    for folder in [path, *used]:
+    found, path = rank_table(chosen_positions(rows, settings), _CHOSEN, CHOSEN, tasks)
+    width, used = settings.back + 1, [path]
+    covered, left = ranked(found.withColumns({"low": F.lit(0), "high": F.lit(settings.back)}), settings)
+    left = cut(left.distinct())
+    held, path = staged(reach_bytes(rows, left, settings), "repeat-reaches")
+    used.append(path)
+    while width > 1 and not left.isEmpty():
+        width = -(-width // settings.split)
+        found, path = rank_table(cell_rows(left.select("doc", "row_hash", "pos", "low", "high"), held, width, settings), _CELL, CELL, tasks)
+        used.append(path)
+        more, left = ranked(found, settings)
+        covered = covered.unionByName(more)
+        left = cut(left.distinct())
+        # A document's own spans, as many as its bytes at most.
+    per_doc = covered.groupBy("doc", "row_hash").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    out, _ = staged(per_doc, "repeat-spans")
+    for folder in used:
         delete_path(spark, folder)
-    free_shuffles(spark)
     return out
 
 

@@ -40,9 +40,9 @@ def check(spark, docs, settings):
     assert spans_of(docs, settings) == {k: v for k, v in expected.items() if v}
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_equals_brute_force_on_awkward_rows(spark, hot):
-    check(spark, awkward.documents(spark), sd.Settings(hot=hot))
+@pytest.mark.parametrize("split", [5, 2])
+def test_equals_brute_force_on_awkward_rows(spark, split):
+    check(spark, awkward.documents(spark), sd.Settings(split=split))
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -54,6 +54,16 @@ def test_equals_brute_force_on_short_windows(spark, seed):
     check(spark, docs, sd.Settings(length=20, gram=8))
 
 
+def test_reaches_that_differ_by_one_byte_are_settled_by_growing_offsets(spark):
+    """Copies of a passage with one byte changed at every place: each round's cores decide some of the windows."""
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdef ") for _ in range(260))
+    texts = [passage[:k] + "#" + passage[k + 1 :] for k in range(0, 260, 3)] + [passage[40:], passage[:-33]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    check(spark, docs, sd.Settings())
+    check(spark, docs, sd.Settings(split=2))
+
+
 def test_a_string_of_all_documents_is_settled_over_many_tasks(spark):
     """One passage everywhere, more tasks than the passage has chosen positions."""
     rng = random.Random(5)
