@@ -1,10 +1,11 @@
 """Near-duplicate join on word n-grams by a MinHash LSH forest with exact verification (operator 8).
 
 1. Equal texts are one node (a 64-bit hash); everything below is per node, so copies never meet each other.
-2. A node has one label in each of `trees` trees: `label` minimum hashes of BITS bits in one integer, the first hash in
-   the top bits.  Labels in their order are the tree's trie, and a prefix of d hashes is the label shifted right.
+2. A node has one label in each of `trees` trees: the tree's number and `label` minimum hashes of BITS bits in one
+   integer, the first hash above the others.  Sorted labels are the tries of all trees, and a prefix is a label shifted
+   right.
 3. Nodes meet on the longest prefix first.  Nodes under one trie node form a bucket, which is worked off in blocks of
-   `block` nodes, each pair of blocks a group of its own and in the order of labels, so a hot bucket is dealt over many
+   `block` nodes, each pair of blocks a group of its own and groups in the order of the trie, so a hot bucket is dealt over many
    tasks and none holds more than two blocks.  A group compares signatures and returns a spanning forest of the pairs
    that may reach the threshold, never all pairs.
 4. Recall is measured on the pairs met: a pair of similarity s meets at depth d with the chance 1 - (1 - s**d)**trees, so
@@ -41,8 +42,8 @@ from siltstone.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of a hash in a label: other hashes agree on them once in 1,024, which lengthens no bucket worth mention.
-BITS = 10
+#: Bits of a hash in a label: other hashes agree on them once in 512, which lengthens no bucket worth mention.
+BITS = 9
 
 
 @dataclass(frozen=True)
@@ -109,7 +110,7 @@ _SIGNED = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("labels"
 
 def signatures(rows: DataFrame, settings: Settings) -> DataFrame:
     """node, signature (a byte of each hash), labels (one a tree); texts without n-grams have no row."""
-    if settings.label * BITS > 63:
+    if settings.label * BITS + settings.trees.bit_length() > 63:
         raise ValueError("a label has 63 bits at most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,17 +118,18 @@ def signatures(rows: DataFrame, settings: Settings) -> DataFrame:
         n = settings.trees * settings.label
         factors, offsets = rng.integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, n, dtype=np.uint64)
         place, hashes = np.uint64(BITS) * np.arange(settings.label - 1, -1, -1, dtype=np.uint64), WordHashes()
+        tree = np.arange(settings.trees, dtype=np.uint64) << np.uint64(settings.label * BITS)
         for batch in batches:
             nodes, signed, labels = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grams = ngrams(text.as_py(), settings.words, hashes)
                 if len(grams):
                     least = minimum_hashes(grams, factors, offsets)
-                    # The signature has other bits than the labels.
-                    parts = (least >> np.uint32(32 - BITS)).reshape(settings.trees, settings.label).astype(np.uint64)
+                    # Minima are small numbers, so their bits are mixed first.
+                    parts = (splitmix(least) >> np.uint64(64 - BITS)).reshape(settings.trees, settings.label)
                     nodes.append(node)
                     signed.append((least & 0xFF).astype(np.uint8).tobytes())
-                    labels.append((parts << place).sum(axis=1).view(np.int64))
+                    labels.append((tree + (parts << place).sum(axis=1, dtype=np.uint64)).view(np.int64))
             yield batch_of(_SIGNED, [nodes, signed, labels])
 
     return map_arrow(rows, run, "node long, signature binary, labels array<long>")
@@ -204,13 +206,14 @@ _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("same", pa.int32())])
 def candidate_forest(signed: DataFrame, settings: Settings, depth: int) -> DataFrame:
     """u, v, same (equal bytes of their signatures): spanning forests, by bucket, of the pairs whose signatures may reach the threshold.
 
-    `signed` has node, signature, labels and cluster; a bucket within one cluster has nothing to join.
+    `signed` has node, signature, labels and, after the first round, cluster; a bucket within one cluster has nothing to join.
     """
-    prefix = F.shiftright("label", BITS * (settings.label - depth))
-    rows = signed.select("node", "cluster", F.posexplode("labels").alias("tree", "label")).select("node", "cluster", "label", F.xxhash64("tree", prefix).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("key", "size")
-    dealt = in_blocks(rows, "key", sizes, settings.block).join(signed.select("node", "signature"), "node").select("key", "a", "b", "label", "node", "signature")
-    dealt = dealt.repartition(task_count(signed.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b", "label", "node").drop("label")
+    key = F.shiftright("label", BITS * (settings.label - depth)).alias("key")
+    own = "cluster" if "cluster" in signed.columns else "node"
+    rows = signed.select(*dict.fromkeys(["node", own]), F.explode("labels").alias("label")).select(*dict.fromkeys(["node", own]), key)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("key", "size")
+    dealt = in_blocks(rows.select("node", "key"), "key", sizes, settings.block).join(signed.select("node", "signature"), "node").select("key", "a", "b", "node", "signature")
+    dealt = dealt.repartition(task_count(signed.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
     least, few = settings.least_equal(), 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,10 +254,7 @@ def candidate_clusters(signed: DataFrame, settings: Settings) -> tuple[DataFrame
     """node, cluster of the nodes that met another, and (depth, measured recall) of every round."""
     edges, clusters, rounds = None, None, []
     for depth in range(settings.label, 0, -1):
-        if clusters is None:
-            known = signed.withColumn("cluster", F.col("node"))
-        else:
-            known = signed.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+        known = signed if clusters is None else signed.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
         found = candidate_forest(known, settings, depth)
         edges = cut(found if edges is None else edges.unionByName(found.join(edges.select("u", "v"), ["u", "v"], "left_anti")))
         roots = components(edges.select("u", "v"))
