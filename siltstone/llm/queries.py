@@ -35,8 +35,8 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw, spans = text.as_py().encode("utf-8", "surrogatepass"), suffix_dedup.merged([(x["begin"], x["end"]) for x in found or []])
+            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), suffix_dedup.batch_spans(batch.column(2)), strict=True):
+                raw = text.as_py().encode("utf-8", "surrogatepass")
                 out.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), sha256(suffix_dedup.kept_bytes(raw, spans))))
             if out:
                 yield batch_of(schema, list(zip(*out, strict=True)))

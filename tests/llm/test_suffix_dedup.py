@@ -1,5 +1,8 @@
+import ast
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,7 +34,12 @@ def brute(rows, length):
 
 
 def spans_of(docs, settings):
-    return {(r.doc, r.row_hash): sd.merged([(x.begin, x.end) for x in r.spans]) for r in sd.repeated_spans(docs, settings).collect()}
+    def join(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([str(x) for x in sd.batch_spans(batch.column(2))], pa.string())], names=["doc", "row_hash", "spans"])
+
+    found = sd.repeated_spans(docs, settings).mapInArrow(join, "doc long, row_hash long, spans string")
+    return {(r.doc, r.row_hash): ast.literal_eval(r.spans) for r in found.collect()}
 
 
 def check(spark, docs, settings):
@@ -85,6 +93,16 @@ def test_spans_join_every_row(spark):
     assert sd.with_spans(awkward.empty(spark), sd.repeated_spans(awkward.empty(spark))).count() == 0
 
 
+def test_parts_follow_the_order_of_split_points():
+    rng = np.random.default_rng(3)
+    keys = tuple(rng.integers(0, 4, 500) for _ in range(3))
+    points = np.array(sorted(set(zip(*(rng.integers(0, 4, 20).tolist() for _ in range(3)), strict=True))))
+    assert sd.part_of(keys, points).tolist() == [sum(tuple(p) <= row for p in points.tolist()) for row in zip(*(k.tolist() for k in keys), strict=True)]
+    assert sd.part_of(keys, np.zeros((0, 3), dtype=np.int64)).tolist() == [0] * 500
+
+
 def test_kept_bytes():
-    assert sd.merged([(5, 9), (0, 2), (8, 12), (2, 3)]) == [(0, 3), (5, 12)]
+    spans = pa.array([[(5, 9), (0, 2), (8, 12), (2, 3)], None, [], [(0, 5), (1, 2), (7, 8)]], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+    assert sd.batch_spans(spans) == [[(0, 3), (5, 12)], [], [], [(0, 5), (7, 8)]]
+    assert sd.batch_spans(spans.slice(3)) == [[(0, 5), (7, 8)]]
     assert sd.kept_bytes(b"0123456789", [(0, 3), (5, 7)]) == b"34789"
