@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,25 +60,31 @@ def new_folder(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes `df` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors.
-
-    The write's shuffle files go with it, since nothing but the written table is used again.
-    """
-    spark = df.sparkSession
-    path, before = new_folder(spark, label), spark.conf.get(CLEANUP, "false")
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in a written table: nothing but that table is used again, so their shuffle files go at once."""
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Writes `df` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for narrow tables; Spark removes its files when the table is no longer referenced."""
     work_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_dropped(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def nested(docs: DataFrame) -> Column:
