@@ -26,11 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batch_of, map_arrow, splitmix, task_count, whole_text
+from siltstone.llm.common import batch_of, cut, map_arrow, splitmix, task_count, whole_text
 
 #: Rates of the subsets, 1 in so many terms.
 RATES = (2, 2, 8, 8, *[32] * 4, *[128] * 16, *[256] * 40)
@@ -54,8 +53,11 @@ class Terms(dict):
         return np.unique(np.fromiter(map(self.__getitem__, set(text.split())), dtype=np.uint64))
 
 
-def lexicon(docs: DataFrame, low: float = 3.0, high: float = 6.2, text_column: str = "text") -> np.ndarray:
-    """Sorted hashes of the terms whose inverse document frequency is in [low, high], over all documents."""
+def lexicon(docs: DataFrame, low: float = 3.0, high: float = 6.2, text_column: str = "text", most_terms: int = 20_000_000) -> np.ndarray:
+    """Sorted hashes of the terms whose inverse document frequency is in [low, high], over all documents.
+
+    They are counted before they come to the driver: over `most_terms` is an error that asks for a lower `high`.
+    """
     schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +80,10 @@ def lexicon(docs: DataFrame, low: float = 3.0, high: float = 6.2, text_column: s
     n_docs = docs.count()
     counts = map_arrow(docs.select(whole_text(text_column).alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     idf = F.log(F.lit(float(max(n_docs, 1))) / F.col("n"))
-    found = counts.where((idf >= low) & (idf <= high)).select("term").toPandas()["term"].to_numpy(dtype=np.int64)
+    found = cut(counts.where((idf >= low) & (idf <= high)).select("term"))
+    if (n := found.count()) > most_terms:
+        raise ValueError(f"{n} terms have an inverse document frequency up to {high}; {most_terms} may be held by every task")
+    found = found.toPandas()["term"].to_numpy(dtype=np.int64)
     return np.sort(found.view(np.uint64))
 
 
@@ -138,56 +143,55 @@ def fingerprint_rows(docs: DataFrame, words: np.ndarray, id_column: str = "doc_i
     return map_arrow(docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")), run, "doc_id long, fingerprint string")
 
 
+def in_parts(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows with a part, the range of their doc_id (null is in the first), and each range's first row once more, at the end of the range before it.
+
+    Ranges are cut at sampled doc_ids; a row's range is a function of its doc_id alone, so nothing hangs on how an
+    exchange is made or reused.  The first row of all ends the last range.  `guest` marks the added rows.
+    """
+    share = min(1.0, 100 * tasks / max(rows.count(), 1))
+    sampled = sorted({r[0] for r in rows.select("doc_id").where("doc_id is not null").sample(share, 1).collect()})
+    # At most some 100 sampled ids a task come to the driver, and a split point a task goes to the rows.
+    points = sorted({sampled[k * len(sampled) // tasks] for k in range(1, tasks)}) if sampled else []
+    part = F.lit(0)
+    if points:
+        edges = F.array(*(F.lit(x).cast("long") for x in points))
+        part = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(0))
+    placed = rows.select(part.alias("part"), F.lit(0).alias("guest"), "doc_id", "text")
+    # One narrow row a range; then the least text of the few rows that share a range's least doc_id.
+    ranges = cut(placed.groupBy("part").agg(F.max(F.col("doc_id").isNull()).alias("absent"), F.min("doc_id").alias("least")))
+    order = Window.orderBy("part")
+    before = F.coalesce(F.lag("part").over(order), F.last("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = ranges.select(F.col("part").alias("own"), F.when(~F.col("absent"), F.col("least")).alias("head"), before.alias("previous"))
+    first = placed.join(F.broadcast(heads), (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    firsts = first.groupBy("previous", "doc_id").agg(F.min("text").alias("text"))
+    return placed.unionByName(firsts.select(F.col("previous").alias("part"), F.lit(1).alias("guest"), "doc_id", "text"))
+
+
 def compare_with_next(docs: DataFrame, words: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Each text's fingerprint, that of its edited text, and its likeness to both that and the next document's.
 
-    Rows are range-partitioned by doc_id and streamed in order, holding two texts at a time.  A task's last row needs
-    the first text of the next task that has rows: a second light pass over the same exchange takes each task's first
-    and last row, one row a task, and a window over those joins them.
+    Ranges of doc_id are streamed in order, holding two texts at a time; the first row of the next range stands at the
+    end of each (see in_parts), so one exchange settles every row.
     """
 
-    def compared(make: Fingerprinter, rows: list) -> pa.RecordBatch:
-        out = []
-        for doc, text, print_, following, next_print in rows:
-            other = edited(text, following)
-            other_print = make(other)
-            out.append((doc, len(text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), print_, other_print, likeness(print_, other_print), likeness(print_, next_print)))
-        return batch_of(_ROW, list(zip(*out, strict=True)))
-
-    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, before = Fingerprinter(words), None
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out = []
+            for part, guest, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 text = text.as_py()
                 print_ = make(text)
-                if before is not None:
-                    rows.append((*before, text, print_))
-                before = (doc, text, print_)
-            if rows:
-                yield compared(make, rows)
-
-    ends_schema = pa.schema([("part", pa.int32()), ("first_text", pa.string()), ("last_id", pa.int64()), ("last_text", pa.string())])
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = None, None
-        for batch in batches:
-            if batch.num_rows:
-                if first is None:
-                    first = batch.column(1)[0].as_py()
-                last = (batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py())
-        if last is not None:
-            yield batch_of(ends_schema, [[TaskContext.get().partitionId()], [first], [last[0]], [last[1]]])
-
-    def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Fingerprinter(words)
-        for batch in batches:
-            rows = [(d, t, make(t), f, make(f)) for d, t, f in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            if rows:
-                yield compared(make, rows)
+                if before is not None and before[0] == part:
+                    _, last_doc, last_text, last_print = before
+                    other = edited(last_text, text)
+                    other_print = make(other)
+                    out.append((last_doc, len(last_text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), last_print, other_print, likeness(last_print, other_print), likeness(last_print, print_)))
+                before = None if guest else (part, doc, text, print_)
+            if out:
+                yield batch_of(_ROW, list(zip(*out, strict=True)))
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    dealt = rows.repartitionByRange(task_count(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    order = Window.orderBy("part")
-    last_rows = map_arrow(dealt, ends, "part int, first_text string, last_id long, last_text string").select("last_id", "last_text", F.coalesce(F.lead("first_text").over(order), F.first("first_text").over(order)).alias("following"))
-    return map_arrow(dealt, inner, ROW).unionByName(map_arrow(last_rows, border, ROW))
+    tasks = task_count(docs.sparkSession)
+    dealt = in_parts(rows, tasks).repartitionById(tasks, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    return map_arrow(dealt, run, ROW)

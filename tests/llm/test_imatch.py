@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pytest
+import xxhash
 
 from siltstone.llm import imatch
 from tests.llm import awkward
@@ -32,6 +34,34 @@ def test_lexicon_is_the_band_of_all_documents(spark):
     assert imatch.lexicon(awkward.unique(spark), low=0.5, high=3.0).tolist() == expected
 
 
+def test_fingerprints_equal_their_definition(spark):
+    """Every subset's signature from plain sets, and likeness by counting."""
+    docs, rows = awkward.unique(spark), awkward.unique_rows()
+    words = set(imatch.lexicon(docs, low=0.5, high=5.0).tolist())
+    mix = lambda x: int(imatch.splitmix(np.uint64(x)))
+
+    def naive(text):
+        held = sorted({xxhash.xxh3_64_intdigest(w.lower().encode()) for w in text.split()} & words)
+        out = []
+        for k, rate in enumerate(imatch.RATES, 1):
+            chosen = [h for h in held if mix(h ^ mix(k)) % rate == 0]
+            out.append(xxhash.xxh32_hexdigest(b"".join(h.to_bytes(8, "little") for h in chosen)) if chosen else "")
+        return ".".join(out) if any(out) else "=" + xxhash.xxh3_128_hexdigest(text.encode())
+
+    found = {r.doc_id: r for r in imatch.compare_with_next(docs, np.array(sorted(words), dtype=np.uint64)).collect()}
+    prints = [naive(text) for _, text in rows]
+    for k, (doc, _) in enumerate(rows):
+        a, b = prints[k], prints[(k + 1) % len(rows)]
+        assert found[doc].fingerprint == a
+        pairs = [(x, y) for x, y in zip(a.split("."), b.split("."), strict=False) if x or y]
+        assert found[doc].near_next == (1.0 if a == b else 0.0 if "=" in (a[:1], b[:1]) else sum(x == y for x, y in pairs) / len(pairs))
+
+
+def test_too_large_a_lexicon_is_an_error(spark):
+    with pytest.raises(ValueError, match="terms"):
+        imatch.lexicon(awkward.unique(spark), low=0.5, high=5.0, most_terms=3)
+
+
 def test_likeness_follows_shared_terms(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = imatch.compare_with_next(docs, imatch.lexicon(docs)).toPandas()
