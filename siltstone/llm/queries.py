@@ -116,7 +116,8 @@ from documents d join t on coalesce(d.text, '') = t.text left join c on c.node =
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(read(spark, sf_dir, "documents"), secret_scan.train())
+    dictionary = secret_scan.Dictionary.from_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    return secret_scan.scan(read(spark, sf_dir, "documents"), secret_scan.train(dictionary=dictionary))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

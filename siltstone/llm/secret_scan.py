@@ -4,8 +4,11 @@ Candidates are runs of 16 or more key characters; quoted or bare values of 8 or
 name, up to the first white space, quote or angle bracket, however long; and what stands without an assignment in a
 known form: keys with a provider's prefix and JSON web tokens, tokens of an Authorization or Bearer header, passwords
 in URLs, and bodies of PEM private keys, all lines as one.  A forest over each candidate's length, character classes and
-transitions between them, entropy, dictionary coverage, path signs, neighbouring words and known forms decides which
-are secrets.
+transitions between them, likelihood of its letter pairs, entropy, coverage by a dictionary, path signs, neighbouring
+words on both sides and known forms decides which are secrets.
+
+The dictionary holds the whole words of a vocabulary file (`Dictionary.from_vocabulary`); the letter pairs' chances come
+from the same words.
 
 The forest learns from labelled findings: rows (before, candidate, after, label).  `example_findings` makes such rows
 from a seed, for lack of a labelled table; callers may pass their own.  Training is bounded by `max_rows` rows.
@@ -18,6 +21,7 @@ only where they are and a hash of them.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -36,7 +40,7 @@ from siltstone.llm.common import batch_of, map_arrow, whole_text
 #: Names that announce a secret, and names that announce something that looks like one.
 TELLING = ("api", "apikey", "auth", "authorization", "bearer", "client_secret", "credential", "key", "passphrase", "passwd", "password", "private", "pwd", "secret", "token")
 HARMLESS = ("build", "checksum", "commit", "digest", "etag", "example", "fingerprint", "guid", "hash", "id", "image", "integrity", "md5", "placeholder", "revision", "sha", "sha1", "sha256", "sha512", "uuid", "version")
-#: Common words for the coverage of a candidate by words.
+#: Common words of names and identifiers in the made examples, and the dictionary where no vocabulary is given.
 WORDS = ("access", "account", "admin", "application", "base", "build", "change", "client", "code", "config", "content", "data", "default", "demo", "document", "dummy", "error", "example", "file", "handler", "image", "index", "info", "insert", "item", "list", "main", "manager", "message", "model", "name", "node", "object", "page", "password", "path", "project", "public", "request", "response", "sample", "secret", "server", "service", "session", "source", "state", "string", "system", "table", "test", "text", "token", "type", "user", "value", "version", "your")
 
 LEAST = 16
@@ -52,7 +56,10 @@ PEM = re.compile(rf"PRIVATE KEY(?: BLOCK)?-----{_GAP}((?:[A-Za-z][A-Za-z0-9\-]*:
 AFTER_SCHEME, AFTER_USER, AFTER_PEM = re.compile(rf"(?i){_SCHEME}$"), re.compile(r"(?:://|^)[^\s/?#:@\"'<>]*:$"), re.compile(rf"PRIVATE KEY(?: BLOCK)?-----{_GAP}$")
 NEIGHBOUR = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 CONTEXT = 40
-FEATURES = ("length", "lower", "upper", "digit", "other", "turns", "entropy", "hex", "longest_letters", "coverage", "slashes", "path_before", "telling", "harmless", "assigned", "quoted", "uuid", "repeats", "ordered", "provider", "header", "url", "pem")
+#: Kinds of characters that follow each other: small, capital, digit, other.
+STEPS = ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1), (0, 3), (3, 0), (2, 3), (3, 2))
+#: A file name's end behind a candidate.
+EXTENSION = re.compile(r"\.[A-Za-z]{1,4}[0-9]?(?![A-Za-z0-9_])")
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
@@ -80,31 +87,75 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(before: str, value: str, after: str) -> list[float]:
+@dataclass
+class Dictionary:
+    """Whole words of four letters or more, and the log chances of letter pairs in them."""
+
+    words: frozenset[str]
+
+    def __post_init__(self) -> None:
+        pairs = Counter(p for w in self.words for p in zip(w, w[1:], strict=False))
+        starts = Counter()
+        for (a, _), n in pairs.items():
+            starts[a] += n
+        letters = string.ascii_lowercase
+        # One is added to each count, so that a pair that no word has is only unlikely.
+        self.pairs = {a + b: math.log((pairs[a, b] + 1) / (starts[a] + len(letters))) for a in letters for b in letters}
+        self.longest = max(map(len, self.words), default=0)
+
+    @classmethod
+    def from_vocabulary(cls, path: str, end: str = "</w>", least: int = 4, most: int = 14) -> Dictionary:
+        """ASCII words among a tokenizer file's entries that end a word."""
+        with open(path, encoding="utf-8") as file:
+            entries = json.load(file)["model"]["vocab"]
+        found = (x[: -len(end)].lower() for x in entries if x.endswith(end))
+        return cls(frozenset(w for w in found if least <= len(w) <= most and w.isascii() and w.isalpha()))
+
+    def covered(self, lowered: str) -> int:
+        """Characters under words, longest first from the left."""
+        n = at = 0
+        while at < len(lowered):
+            size = next((k for k in range(min(self.longest, len(lowered) - at), 3, -1) if lowered[at : at + k] in self.words), 0)
+            n += size
+            at += size or 1
+        return n
+
+    def likelihood(self, lowered: str) -> float:
+        """Mean log chance of the letter pairs; 0 without any."""
+        found = [self.pairs[p] for p in map("".join, zip(lowered, lowered[1:], strict=False)) if p in self.pairs]
+        return sum(found) / len(found) if found else 0.0
+
+
+def name_signs(text: str) -> list[float]:
+    """Whether the nearest four names hold a telling and a harmless word."""
+    parts = {p for w in text for p in [w, *w.split("_")]}
+    return [float(any(t in parts for t in TELLING)), float(any(t in parts for t in HARMLESS))]
+
+
+def features(before: str, value: str, after: str, dictionary: Dictionary) -> list[float]:
     n = len(value)
     kinds = [_kind(c) for c in value]
     count = Counter(value)
     entropy = -sum(k / n * math.log2(k / n) for k in count.values())
     lowered = value.lower()
-    covered, at = 0, 0
-    while at < n:
-        word = max((w for w in WORDS if lowered.startswith(w, at)), key=len, default="")
-        covered += len(word)
-        at += len(word) or 1
-    near = [w.lower() for w in NEIGHBOUR.findall(before)][-4:]
-    parts = {p for w in near for p in [w, *w.split("_")]}
+    steps = Counter(zip(kinds, kinds[1:], strict=False))
+    near, behind = ([w.lower() for w in NEIGHBOUR.findall(x)] for x in (before, after))
+    segments = [x for x in re.split(r"[/\\.]", lowered) if x]
     return [
         n,
         *(kinds.count(k) / n for k in range(4)),
-        sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(n - 1, 1),
+        *(steps[a, b] / max(n - 1, 1) for a, b in STEPS),
+        dictionary.likelihood(lowered),
         entropy,
         sum(c in "0123456789abcdefABCDEF" for c in value) / n,
         max((len(x) for x in re.findall("[A-Za-z]+", value)), default=0),
-        covered / n,
+        dictionary.covered(lowered) / n,
         value.count("/"),
+        sum(dictionary.covered(x) >= 0.8 * len(x) for x in segments) / max(len(segments), 1),
         float(before[-1:] in ("/", "\\", ".") or after[:1] in ("/", "\\")),
-        float(any(t in parts for t in TELLING)),
-        float(any(t in parts for t in HARMLESS)),
+        float(bool(EXTENSION.match(after))),
+        *name_signs(near[-4:]),
+        name_signs(behind[:2])[1],
         float(bool(re.search(r"[:=]\s*[\"']?$", before))),
         float(before[-1:] in "\"'" and before != "" and after[:1] in "\"'" and after != ""),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", value))),
@@ -164,7 +215,9 @@ def example_findings(n: int = 4000, seed: int = 9) -> list[tuple[str, str, str,
         if k % 2:
             value = rng.choice([lambda: of(hexes, rng.choice([32, 40, 48, 64])), lambda: of(mixed, rng.randint(20, 64)), lambda: of(string.ascii_letters, rng.randint(20, 64)), lambda: of(mixed + "+/", rng.choice([40, 44, 88])) + rng.choice(["", "=", "=="]), lambda: of(mixed + "!@#%^&", rng.randint(10, 24)) + of(string.digits, 2)])()
             aside = rng.choice(["", "", f"{rng.choice(HARMLESS)}.com ", f"{rng.choice(HARMLESS)} of "])
-            out.append((f"{lead} {aside}{rng.choice(['', 'my_', 'aws_', 'db_', 'x-'])}{rng.choice(TELLING)}{link}{quote}", value, quote + " " + prose(), 1))
+            # A fifth of the names are none of the telling ones, so that the value itself has to tell.
+            name = of(string.ascii_lowercase, rng.randint(4, 9)) + rng.choice(["", "_key"]) if rng.random() < 0.2 and len(value) >= 32 else rng.choice(["", "my_", "aws_", "db_", "x-"]) + rng.choice(TELLING)
+            out.append((f"{lead} {aside}{name}{link}{quote}", value, quote + " " + prose(), 1))
             continue
         shape = rng.randrange(7)
         if shape == 0:
@@ -241,20 +294,22 @@ def grow(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int, lea
 @dataclass
 class Forest:
     trees: list[Tree]
+    dictionary: Dictionary
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return np.mean([t(x) for t in self.trees], axis=0) if len(x) else np.zeros(0)
 
 
-def train(findings: list[tuple[str, str, str, int]] | None = None, trees: int = 24, depth: int = 9, least: int = 3, max_rows: int = 20_000, seed: int = 4) -> Forest:
-    """A forest from labelled findings, at most `max_rows` of them; `example_findings` without any."""
+def train(findings: list[tuple[str, str, str, int]] | None = None, dictionary: Dictionary | None = None, trees: int = 24, depth: int = 9, least: int = 3, max_rows: int = 20_000, seed: int = 4) -> Forest:
+    """A forest from labelled findings, at most `max_rows` of them; `example_findings` without any, and a dictionary of WORDS."""
+    dictionary = dictionary or Dictionary(frozenset(WORDS))
     rows = (findings if findings is not None else example_findings())[:max_rows]
     if not rows:
         raise ValueError("no labelled findings")
-    x = np.array([features(b, v, a) for b, v, a, _ in rows])
+    x = np.array([features(b, v, a, dictionary) for b, v, a, _ in rows])
     y = np.array([label for *_, label in rows], dtype=float)
     rng = np.random.default_rng(seed)
-    return Forest([grow(x, y, rng, depth, least, max(1, int(x.shape[1] ** 0.5))) for _ in range(trees)])
+    return Forest([grow(x, y, rng, depth, least, max(1, int(x.shape[1] ** 0.5))) for _ in range(trees)], dictionary)
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_candidates", pa.int64()), ("n_secrets", pa.int64()), ("secrets", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("sha256", pa.string())])))])
@@ -270,7 +325,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_column: str
             for i, item in enumerate(batch.column(1)):
                 text = item.as_py()
                 for begin, end in candidates(text):
-                    rows.append(features(text[max(0, begin - CONTEXT) : begin], text[begin:end], text[end : end + CONTEXT]))
+                    rows.append(features(text[max(0, begin - CONTEXT) : begin], text[begin:end], text[end : end + CONTEXT], forest.dictionary))
                     spans.append((begin, end, hashlib.sha256(text[begin:end].encode("utf-8", "surrogatepass")).hexdigest()))
                     owner.append(i)
             score = forest(np.array(rows)) if rows else np.zeros(0)

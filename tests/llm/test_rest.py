@@ -160,7 +160,7 @@ def test_components(spark):
 def test_secrets(spark):
     forest = secret_scan.train()
     rows = secret_scan.example_findings(1500, seed=123)
-    score = forest(np.array([secret_scan.features(b, v, a) for b, v, a, _ in rows]))
+    score = forest(np.array([secret_scan.features(b, v, a, forest.dictionary) for b, v, a, _ in rows]))
     label = np.array([r[3] for r in rows])
     assert ((score >= 0.5) == label).mean() > 0.97
     secret = "0f3a9c27d1e84b5566aa90cc12ef7b3d44e1a802"

@@ -1,12 +1,15 @@
 """Secrets that the scan must find whole, and look-alikes that it must leave."""
 
 import random
+import re
 import string
 
+import public_tokenizers
 import pytest
 
 from siltstone.llm import secret_scan
 
+DICTIONARY = secret_scan.Dictionary.from_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
 MIXED = string.ascii_letters + string.digits
 
 
@@ -21,7 +24,7 @@ def jwt(size, seed=2):
 
 @pytest.fixture(scope="module")
 def found(spark):
-    forest = secret_scan.train()
+    forest = secret_scan.train(dictionary=DICTIONARY)
 
     def scan(texts):
         rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).collect()
@@ -66,6 +69,19 @@ def test_look_alikes_of_the_bare_forms_are_left(found):
     assert found(texts) == [[]] * len(texts)
 
 
+def test_planted_tokens_are_found_and_nothing_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = secret_scan.scan(docs, secret_scan.train(dictionary=DICTIONARY)).join(docs.select("doc_id", "text"), "doc_id").collect()
+    planted = [(r.doc_id, m[1]) for r in rows for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text)]
+    assert len(planted) >= 13 and sorted((r.doc_id, r.text[x.begin : x.end]) for r in rows for x in r.secrets) == sorted(planted)
+
+
+def test_dictionary_signs():
+    words = secret_scan.Dictionary(frozenset({"pass", "word", "password", "file"}))
+    assert words.covered("mypasswordfile") == 12 and words.covered("pasword") == 4 and words.covered("") == 0
+    assert words.likelihood("password") > words.likelihood("xqzvkjwp") and words.likelihood("12") == 0.0
+
+
 def test_runs_without_a_digit_are_candidates():
     assert secret_scan.candidates(f"so {LETTERS} here") == [(3, 43)]
 
