@@ -104,10 +104,13 @@ class Fingerprinter:
         at = np.searchsorted(self.words, mine)
         hit = at[(at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == mine)] if len(self.words) else at[:0]
         held = self.words[hit]
-        member = self.member[:, hit]
-        signatures = [xxhash.xxh32_hexdigest(held[row].tobytes()) if row.any() else "" for row in member]
-        if not any(signatures):
+        # The members of all subsets, one subset after the other, each in the order of terms.
+        subset, term = np.nonzero(self.member[:, hit])
+        if not len(subset):
             return "=" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+        raw = held[term].tobytes()
+        ends = (np.cumsum(np.bincount(subset, minlength=len(RATES))) * held.itemsize).tolist()
+        signatures = [xxhash.xxh32_hexdigest(raw[a:b]) if b > a else "" for a, b in zip([0, *ends], ends, strict=False)]
         return ".".join(signatures)
 
 
