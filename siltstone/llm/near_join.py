@@ -10,8 +10,8 @@
    that may reach the threshold, never all pairs.
 4. Recall is measured on the pairs met: a pair of similarity s meets at depth d with the chance 1 - (1 - s**d)**trees, so
    the pairs met stand for the sum of their inverse chances.  While they are a smaller share of it than `recall`, all
-   prefixes are shortened by a hash, and the buckets that hold nodes of different clusters are worked off again.  At
-   the longest prefix under which even pairs at the threshold reach the recall, `depth()`, it always ends.
+   prefixes are shortened by a hash and their buckets worked off.  At the longest prefix under which even pairs at the
+   threshold reach the recall, `depth()`, it always ends.
 5. Forests joined over all buckets give clusters.  A cluster is verified in blocks in the same way, on the whole sets
    of n-gram hashes: each node gets its number of verified links, and a forest of them.
 6. Forests joined over all groups give the classes.
@@ -204,15 +204,10 @@ _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("same", pa.int32())])
 
 
 def candidate_forest(signed: DataFrame, settings: Settings, depth: int) -> DataFrame:
-    """u, v, same (equal bytes of their signatures): spanning forests, by bucket, of the pairs whose signatures may reach the threshold.
-
-    `signed` has node, signature, labels and, after the first round, cluster; a bucket within one cluster has nothing to join.
-    """
-    key = F.shiftright("label", BITS * (settings.label - depth)).alias("key")
-    own = "cluster" if "cluster" in signed.columns else "node"
-    rows = signed.select(*dict.fromkeys(["node", own]), F.explode("labels").alias("label")).select(*dict.fromkeys(["node", own]), key)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("key", "size")
-    dealt = in_blocks(rows.select("node", "key"), "key", sizes, settings.block).join(signed.select("node", "signature"), "node").select("key", "a", "b", "node", "signature")
+    """u, v, same (equal bytes of their signatures): spanning forests, by bucket, of the pairs whose signatures may reach the threshold."""
+    rows = signed.select("node", F.explode("labels").alias("label")).select("node", F.shiftright("label", BITS * (settings.label - depth)).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = in_blocks(rows, "key", sizes, settings.block).join(signed.select("node", "signature"), "node").select("key", "a", "b", "node", "signature")
     dealt = dealt.repartition(task_count(signed.sparkSession), "key", "a", "b").sortWithinPartitions("key", "a", "b", "node")
     least, few = settings.least_equal(), 8
 
@@ -252,17 +247,16 @@ def measured_recall(edges: DataFrame, settings: Settings, depth: int) -> float |
 
 def candidate_clusters(signed: DataFrame, settings: Settings) -> tuple[DataFrame, list[tuple[int, float | None]]]:
     """node, cluster of the nodes that met another, and (depth, measured recall) of every round."""
-    edges, clusters, rounds = None, None, []
+    rounds = []
     for depth in range(settings.label, 0, -1):
-        known = signed if clusters is None else signed.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
-        found = candidate_forest(known, settings, depth)
-        edges = cut(found if edges is None else edges.unionByName(found.join(edges.select("u", "v"), ["u", "v"], "left_anti")))
-        roots = components(edges.select("u", "v"))
-        clusters = cut(roots.select("node", F.col("root").alias("cluster")).unionByName(roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()))
+        # Buckets of a shorter prefix hold those of a longer one, so the last round's forests join all that met.
+        edges = cut(candidate_forest(signed, settings, depth))
         rounds.append((depth, measured_recall(edges, settings, depth)))
         if depth <= settings.depth() or (rounds[-1][1] or 0.0) >= settings.recall:
             break
-    return clusters, rounds
+    roots = components(edges.select("u", "v"))
+    heads = roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()
+    return cut(roots.select("node", F.col("root").alias("cluster")).unionByName(heads)), rounds
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:

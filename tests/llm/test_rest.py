@@ -139,7 +139,8 @@ def test_a_hot_node_of_many_edges(spark):
     assert found.where("root = 0").count() == 2999 == found.count()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot_degree", [1_000, 2])
+def test_components(spark, hot_degree):
     rng, n = random.Random(4), 200
     edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(150)] + [(k, k + 1) for k in range(300, 360)] + [(500, 500 + k) for k in range(1, 50)]
     parent = {x: x for e in edges for x in e}
@@ -152,7 +153,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), hot_degree).collect()}
     assert found == {x: root(x) for x in parent if root(x) != x}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
