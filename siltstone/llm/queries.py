@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, near_join, quality_model, quality_rules, secret_scan, source_mix, suffix_dedup
+from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, near_join, quality_model, quality_rules, secret_scan, simhash, source_mix, suffix_dedup
 from siltstone.llm.common import batch_of, map_arrow
 
 
@@ -124,8 +124,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(read(spark, sf_dir, "documents"), simhash.Settings(words=4, seed=42, distance=4))
+    return found.select("doc_id", simhash.as_hex("node").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op8_near_join": op8_near_join, "op9_secret_scan": op9_secret_scan, "op10_quality_rules": op10_quality_rules}
+    return {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op8_near_join": op8_near_join, "op9_secret_scan": op9_secret_scan, "op10_quality_rules": op10_quality_rules, "op12_simhash": op12_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
