@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, near_join, quality_model, quality_rules, secret_scan, simhash, source_mix, suffix_dedup
-from siltstone.llm.common import batch_of, map_arrow
+from siltstone.llm import bpe_tree, id_shards, imatch, line_dedup, near_join, phrases, quality_model, quality_rules, secret_scan, simhash, source_mix, suffix_dedup, trie
+from siltstone.llm.common import batch_of, cut, map_arrow
 
 
 def sha256(text: str | bytes) -> str:
@@ -124,14 +124,83 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), phrases.Settings(least=10, covered=50, top=2000))
+
+
+OP11_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as words from documents),
+g as (select lang, k, array_to_string(words[i:i + k - 1], ' ') as phrase from (
+  select lang, words, k, unnest(range(1, len(words) - k + 2)) as i from p, (values (1), (2), (3)) as sizes(k) where len(words) >= k)),
+f as (select lang, k, phrase, count(*)::hugeint as f from g group by lang, k, phrase),
+w as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as words from f where k > 1 and f >= 10),
+o as (select distinct s.lang, s.phrase from c s join (select lang, f, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) as phrase from c where k = 3) b
+  on s.lang = b.lang and s.phrase = b.phrase where s.k = 2 and 100 * b.f >= 50 * s.f),
+s as (select c.lang, c.phrase, c.f as a, cut, x.f as l, y.f as r, (1000000::hugeint * c.f * c.f) // (x.f * y.f) as score
+  from c, (values (1), (2)) as cuts(cut), f x, f y
+  where cut < c.k and x.lang = c.lang and x.phrase = array_to_string(c.words[1:cut], ' ') and y.lang = c.lang and y.phrase = array_to_string(c.words[cut + 1:], ' ')
+    and not exists (from o where o.lang = c.lang and o.phrase = c.phrase)),
+b as (select *, row_number() over (partition by lang, phrase order by score, cut) as best from s),
+t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b where best = 1)
+select t.lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from t join w on t.lang = w.lang where rank <= 2000
+"""
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(read(spark, sf_dir, "documents"), simhash.Settings(words=4, seed=42, distance=4))
     return found.select("doc_id", simhash.as_hex("node").alias("fingerprint"), "component_id")
 
 
+def rebuilt_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns of the rebuilt conversations, in their order p, and all conv_ids.
+
+    A conversation c takes the first h turns of c - c % 5 and its own turns after the first h.  At most eight turns are
+    taken over, and at most nine conversations take them, so no key of these joins grows with the table.
+    """
+    turns = trie.numbered(read(spark, sf_dir, "conversations"))
+    h = F.crc32(F.col("conv_id").cast("string")) % 9
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    convs = cut(turns.select("conv_id").distinct())
+    heads = turns.where((F.col("p") <= 8) & (F.col("conv_id") % 5 == 0)).withColumnRenamed("conv_id", "base")
+    taken = convs.select("conv_id", base.alias("base"), h.alias("h")).join(heads, "base").where("p <= h").select(*turns.columns)
+    return taken.unionByName(turns.where(F.col("p") > h)), convs
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = trie.trie(*rebuilt_turns(spark, sf_dir))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OP13_SQL = r"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p
+  from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 5 as base,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(conv_id::varchar) + 1), lambda i: ascii(substr(conv_id::varchar, i, 1))::bigint)),
+      lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 9 as h
+  from (select distinct conv_id from t)),
+r as (select c.conv_id, p, role, text from c join t on t.conv_id = c.base where p <= h
+  union all select t.conv_id, p, role, text from t join c on t.conv_id = c.conv_id where p > h),
+o as (select conv_id, row_number() over (partition by conv_id order by p) as depth, strlen(text) as bytes, sha256(length(role) || ':' || role || text) as m from r),
+k as (select conv_id, depth, bytes, string_agg(m, ',') over (partition by conv_id order by depth) as key from o
+  union all select conv_id, 0, 0, '' from c),
+n as (select depth, key, min(conv_id) as conv_id, count(*) as n_convs, any_value(bytes) as bytes from k group by depth, key),
+e as (select n.depth, n.key, p.depth as parent_depth, p.key as parent_key, p.conv_id as parent_conv_id
+  from n join k on k.conv_id = n.conv_id and k.depth = n.depth - 1 join n p on p.depth = k.depth and p.key = k.key),
+b as (select parent_depth as depth, parent_key as key, count(*) as n_children from e group by 1, 2),
+v as (select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * bytes as saved from n left join b on n.depth = b.depth and n.key = b.key),
+s as (select k.depth, k.key, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens
+  from v join k on k.conv_id = v.conv_id and k.depth <= v.depth group by 1, 2),
+f as (select depth, key, string_agg(conv_id::varchar, ',' order by conv_id) as ids from (select *, max(depth) over (partition by conv_id) as last from k) where depth = last group by 1, 2)
+select v.conv_id, v.depth::bigint as depth, e.parent_conv_id, v.n_convs::bigint as n_convs, v.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, sha256(coalesce(f.ids, '')) as ends_sha256
+from v join s on s.depth = v.depth and s.key = v.key left join e on e.depth = v.depth and e.key = v.key left join f on f.depth = v.depth and f.key = v.key
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op8_near_join": op8_near_join, "op9_secret_scan": op9_secret_scan, "op10_quality_rules": op10_quality_rules, "op12_simhash": op12_simhash}
+    return {"op1_bpe": op1_bpe, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_imatch": op4_imatch, "op5_id_shards": op5_id_shards, "op6_source_mix": op6_source_mix, "op7_line_dedup": op7_line_dedup, "op8_near_join": op8_near_join, "op9_secret_scan": op9_secret_scan, "op10_quality_rules": op10_quality_rules, "op11_phrases": op11_phrases, "op12_simhash": op12_simhash, "op13_trie": op13_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL, "op8_near_join": OP8_SQL, "op10_quality_rules": quality_rules.ORACLE}
+    return {"op7_line_dedup": OP7_SQL, "op8_near_join": OP8_SQL, "op10_quality_rules": quality_rules.ORACLE, "op11_phrases": OP11_SQL, "op13_trie": OP13_SQL}
