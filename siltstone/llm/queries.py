@@ -137,10 +137,9 @@ w as (select lang, sum(f) as n from f where k = 1 group by lang),
 c as (select *, string_split(phrase, ' ') as words from f where k > 1 and f >= 10),
 o as (select distinct s.lang, s.phrase from c s join (select lang, f, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) as phrase from c where k = 3) b
   on s.lang = b.lang and s.phrase = b.phrase where s.k = 2 and 100 * b.f >= 50 * s.f),
-s as (select c.lang, c.phrase, c.f as a, cut, x.f as l, y.f as r, (1000000::hugeint * c.f * c.f) // (x.f * y.f) as score
-  from c, (values (1), (2)) as cuts(cut), f x, f y
-  where cut < c.k and x.lang = c.lang and x.phrase = array_to_string(c.words[1:cut], ' ') and y.lang = c.lang and y.phrase = array_to_string(c.words[cut + 1:], ' ')
-    and not exists (from o where o.lang = c.lang and o.phrase = c.phrase)),
+q as (select lang, phrase, f as a, cut, array_to_string(words[1:cut], ' ') as head, array_to_string(words[cut + 1:], ' ') as rest from c, (values (1), (2)) as cuts(cut) where cut < k),
+s as (select q.lang, q.phrase, a, cut, x.f as l, y.f as r, (1000000::hugeint * a * a) // (x.f * y.f) as score
+  from q join f x on x.lang = q.lang and x.phrase = q.head join f y on y.lang = q.lang and y.phrase = q.rest left join o on o.lang = q.lang and o.phrase = q.phrase where o.phrase is null),
 b as (select *, row_number() over (partition by lang, phrase order by score, cut) as best from s),
 t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b where best = 1)
 select t.lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from t join w on t.lang = w.lang where rank <= 2000
