@@ -1,7 +1,14 @@
-"""Packing token sequences into records of fixed length, next-fit (O-53 to O-56)."""
+"""Packing token sequences into records of fixed length, next-fit (O-53 to O-56).
+
+Next-fit is sequential: where a record ends depends on all before it.  What a range of documents does to the open record
+is a function, though, from the fill at its start to the records it closes and the fill at its end, and functions compose.
+So every range's function is computed at once, one small table a range is composed in order, and every range packs from
+the fill that the ranges before it leave.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +19,8 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import fim
 from siltstone.functions import text as tx
-from siltstone.functions.tokens import Tokenizer
+from siltstone.functions.tokens import BYTES, Tokenizer, byte_token_count
+from siltstone.operators.shared import cut, tasks
 
 #: Fixed value: the label that a loss ignores.
 IGNORED = -100
@@ -32,13 +40,116 @@ def next_fit(sizes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+class FillMap:
+    """What a run of documents does to the open record, for every fill 0 to length - 1 at its start.
+
+    `closed` is the number of records that it closes.  `fill` is the fill at its end; where nothing is closed, it is the
+    fill at the start and `total` more.
+    """
+
+    def __init__(self, length: int, closed: np.ndarray | None = None, fill: np.ndarray | None = None):
+        self.length = length
+        self.closed = np.zeros(length, dtype=np.int64) if closed is None else closed
+        self.fill = np.arange(length, dtype=np.int64) if fill is None else fill
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, length: int) -> FillMap:
+        """The map of one run; sizes are at most `length`."""
+        n, ends = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+
+        def opened(room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The document that begins the next record where the sum may reach `room`, and whether one begins in the run."""
+            exact = np.minimum(np.searchsorted(ends, room, side="left"), n)
+            full = ends[exact] == room
+            at = np.where(full, exact, np.searchsorted(ends, room, side="right") - 1)
+            return at, full | (at < n)
+
+        # A record that begins at document k: those it is followed by and the fill at the end, from the last document back.
+        at, begins = opened(ends[:-1] + length)
+        left = (ends[-1] - ends).tolist()
+        count = [0] * (n + 1)
+        for k, (b, more) in enumerate(zip(at[::-1].tolist(), begins[::-1].tolist(), strict=True)):
+            k = n - 1 - k
+            if more:
+                count[k], left[k] = count[b] + 1, left[b]
+        count, left = np.array(count, dtype=np.int64), np.array(left, dtype=np.int64)
+        start = np.arange(length)
+        at, begins = opened(length - start)
+        return cls(length, np.where(begins, count[at] + 1, 0), np.where(begins, left[at], start + ends[-1]))
+
+    def then(self, later: FillMap) -> FillMap:
+        return FillMap(self.length, self.closed + later.closed[self.fill], later.fill[self.fill])
+
+    def steps(self) -> tuple[list[int], list[int], list[int]]:
+        """Fills at which closed or the end (less the start, where nothing is closed) change, with both: a few, since runs that close records forget their start."""
+        end = np.where(self.closed == 0, self.fill - np.arange(self.length), self.fill)
+        change = np.ones(self.length, dtype=bool)
+        change[1:] = (self.closed[1:] != self.closed[:-1]) | (end[1:] != end[:-1])
+        at = np.flatnonzero(change)
+        return at.tolist(), self.closed[at].tolist(), end[at].tolist()
+
+
+def filled(fill: int, starts: list[int], closed: list[int], end: list[int]) -> tuple[int, int]:
+    """Records closed and the fill at the end, from the steps of a map."""
+    k = bisect_right(starts, fill) - 1
+    return closed[k], end[k] + (fill if closed[k] == 0 else 0)
+
+
+def stream_sequences(docs: DataFrame, order_key: str, length: int, size_column: str = "tokens") -> DataFrame:
+    """key, tokens (after truncation), seq_no: next-fit over all documents as one stream in the order of `order_key`, which is unique.
+
+    Keys and sizes are written once, in ranges.  A task holds a batch of rows and one map of `length` entries; a few steps a
+    range reach the driver.
+    """
+    narrow = docs.select(F.col(order_key).cast("long").alias("key"), F.col(size_column).cast("long").alias("tokens"))
+    placed = cut(narrow.repartitionByRange(tasks(docs.sparkSession), "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id().cast("long")))
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, part = FillMap(length), None
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column(2)[0].as_py()
+                total = total.then(FillMap.of(np.minimum(batch.column(1).to_numpy(), length), length))
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, *total.steps())], names=["part", "starts", "closed", "ends"])
+
+    begin, fill, seq = {}, 0, 0
+    for r in sorted(placed.mapInArrow(maps, "part long, starts array<long>, closed array<long>, ends array<long>").collect(), key=lambda r: r.part):
+        begin[r.part] = (fill, seq)
+        more, fill = filled(fill, r.starts, r.closed, r.ends)
+        seq += more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = seq = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if used is None:
+                used, seq = begin[batch.column(2)[0].as_py()]
+            sizes = np.minimum(batch.column(1).to_numpy(), length)
+            # The open record counts as one more document in front.
+            place = next_fit(np.concatenate([[used], sizes]), length)
+            last = np.searchsorted(place, place[-1])
+            out = seq + place[1:]
+            # A batch that ends on a full record leaves an empty one.
+            used, seq = int(np.concatenate([[used], sizes])[last:].sum()), seq + int(place[-1])
+            if used >= length:
+                used, seq = 0, seq + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(out)], names=["key", "tokens", "seq_no"])
+
+    return placed.mapInArrow(run, "key long, tokens long, seq_no long")
+
+
 def assign_sequences(docs: DataFrame, order_key: str, length: int, group: Column | None = None, size_column: str = "tokens") -> DataFrame:
     """group, key, tokens (after truncation), seq (in its group).
 
-    A group is packed in order in one task, so it should hold a few thousand documents: state a range of the order key.
-    Groups add at most one partly filled record each; a single group packs as one stream.
+    Without `group`, all documents are one stream, as stream_sequences packs it.  A group is packed in order in one task,
+    so it should hold a few thousand documents: state a range of the order key.  Groups add at most one partly filled record
+    each.
     """
-    narrow = docs.select((group if group is not None else F.lit(0)).cast("long").alias("group"), F.col(order_key).cast("long").alias("key"), F.col(size_column).cast("long").alias("tokens"))
+    if group is None:
+        return stream_sequences(docs, order_key, length, size_column).select(F.lit(0).cast("long").alias("group"), "key", "tokens", F.col("seq_no").alias("seq"))
+    narrow = docs.select(group.cast("long").alias("group"), F.col(order_key).cast("long").alias("key"), F.col(size_column).cast("long").alias("tokens"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable").reset_index(drop=True)
@@ -99,16 +210,78 @@ class Records:
         return pa.RecordBatch.from_arrays(columns, names=["group", "seq", "input_ids", "labels", "attention_mask", "doc_starts"])
 
 
+def bodies(docs: DataFrame, order_key: str, text_column: str, fim_rate: float, code_sources: tuple[str, ...], seed: int, compat: bool) -> Column:
+    """The text that is packed: null as empty, rearranged for fill-in-the-middle for a share of the code rows."""
+    body = F.coalesce(F.col(text_column), F.lit(""))
+    if fim_rate and "source" in docs.columns:
+        body = fim.maybe_fim(body, F.col("source"), F.col(order_key), fim_rate, seed, code_sources, compat)
+    return body
+
+
+def token_counts(tokenizer: Tokenizer, body: Column) -> Column:
+    """Tokens of a body with the end mark, without making them where the tokenizer allows."""
+    if tokenizer is BYTES:
+        return byte_token_count(body)
+    encode = tokenizer.encode
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([len(encode(x or "")) + 1 for x in texts.to_pylist()], pa.int64())
+
+    return run(body)
+
+
+def packed_stream(docs: DataFrame, tokenizer: Tokenizer, order_key: str, length: int, text_column: str = "text", fim_rate: float = 0.0, code_sources: tuple[str, ...] = ("code",), seed: int = 42, compat: bool = False, least_tokens: int = 5, most_records: int | None = None, batch_records: int = 256, group: Column | None = None) -> DataFrame:
+    """The records of packed_dataset with seq from 0 over the whole table: all documents as one stream, or one of each `group`, in order.
+
+    Records are numbered from keys and token counts alone; texts then go to the range of their record, and only those of
+    the first `most_records` are read and encoded.  A task holds one open record and at most `batch_records` closed ones.
+    """
+    part = F.lit(0) if group is None else group
+    rows = docs.select(part.cast("long").alias("group"), F.col(order_key).cast("long").alias("key"), bodies(docs, order_key, text_column, fim_rate, code_sources, seed, compat).alias("body"))
+    counts = rows.select("group", "key", token_counts(tokenizer, F.col("body")).alias("tokens")).where(F.col("tokens") >= least_tokens)
+    numbered = stream_sequences(counts, "key", length) if group is None else global_sequence(cut(assign_sequences(counts, "key", length, F.col("group"))))
+    numbered = numbered.select("key", "seq_no")
+    if most_records is not None:
+        numbered = numbered.where(F.col("seq_no") < most_records)
+    encode, eos, pad = tokenizer.encode, tokenizer.eos, tokenizer.padding
+    dealt = rows.select("key", "body").join(numbered, "key").repartitionByRange(tasks(docs.sparkSession), "seq_no").sortWithinPartitions("seq_no", "key").select("seq_no", "body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held, used, starts, seq = Records(length, pad), np.empty(length, dtype=np.int32), 0, [], None
+        for batch in batches:
+            for number, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if number != seq:
+                    if used:
+                        out.add(0, seq, held[:used].copy(), starts)
+                        if len(out.rows) >= batch_records:
+                            yield out.batch()
+                    used, starts, seq = 0, [], number
+                ids = np.asarray(encode(body.as_py()), dtype=np.int32)
+                n = min(len(ids) + 1, length)
+                starts.append(used)
+                held[used : used + n - 1] = ids[: n - 1]
+                held[used + n - 1] = eos
+                used += n
+        if used:
+            out.add(0, seq, held[:used].copy(), starts)
+        if out.rows:
+            yield out.batch()
+
+    return dealt.mapInArrow(run, PACKED).drop("group")
+
+
 def packed_dataset(docs: DataFrame, tokenizer: Tokenizer, order_key: str, length: int, group: Column | None = None, text_column: str = "text", fim_rate: float = 0.0, code_sources: tuple[str, ...] = ("code",), seed: int = 42, compat: bool = False, least_tokens: int = 5, batch_records: int = 256) -> DataFrame:
     """Packed records of whole documents: FIM for a share of code rows, tokens with end mark, documents under `least_tokens` left out.
 
-    doc_starts lists where documents begin in a record.  `compat` turns FIM off.  Texts, not ids, go through the
+    Without `group`, all documents are one stream (packed_stream); with it, each group is.  doc_starts lists where
+    documents begin in a record.  `compat` turns FIM off.  Texts, not ids, go through the
     exchange; a task holds one open record and at most `batch_records` closed ones.
     """
-    body = F.coalesce(F.col(text_column), F.lit(""))
-    if fim_rate and "source" in docs.columns:
-        body = fim.maybe_fim(body, F.col("source"), F.col(order_key), fim_rate, seed, code_sources, compat)
-    rows = docs.select((group if group is not None else F.lit(0)).cast("long").alias("group"), F.col(order_key).cast("long").alias("key"), body.alias("body"))
+    body = bodies(docs, order_key, text_column, fim_rate, code_sources, seed, compat)
+    if group is None:
+        return packed_stream(docs, tokenizer, order_key, length, text_column, fim_rate, code_sources, seed, compat, least_tokens, None, batch_records).select(F.lit(0).cast("long").alias("group"), "*")
+    rows = docs.select(group.cast("long").alias("group"), F.col(order_key).cast("long").alias("key"), body.alias("body"))
     encode, eos, pad = tokenizer.encode, tokenizer.eos, tokenizer.padding
     dealt = rows.repartition("group").sortWithinPartitions("group", "key").select("group", "body")
 

@@ -111,6 +111,11 @@ def skip_and_limit(rows: DataFrame, order_key: str, skip: int, limit: int | None
     return rows.join(kept.select(F.col(order_key).alias("_key")), F.col(order_key) == F.col("_key"), "left_semi")
 
 
+def sequences_to(length: int, target_tokens: int) -> int:
+    """Sequences up to the one that brings their number times `length` to the target."""
+    return -(-target_tokens // length)
+
+
 def until_target(sequences: DataFrame, length: int, target_tokens: int) -> DataFrame:
     """Sequences up to the one that brings (seq_no + 1) x length to the target."""
-    return sequences.where(F.col("seq_no") < -(-target_tokens // length))
+    return sequences.where(F.col("seq_no") < sequences_to(length, target_tokens))

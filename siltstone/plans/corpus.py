@@ -16,13 +16,13 @@ from siltstone.operators.shared import cut
 
 @dataclass(frozen=True)
 class CorpusPlan:
-    """kinds: source name -> filter kind.  group_rows: order keys of one packing group.  tokens: text -> its token count."""
+    """kinds: source name -> filter kind.  group_rows: order keys of one packing group; without, all rows are one stream.  tokens: text -> its token count."""
 
     kinds: dict[str, str]
     proportions: dict[str, float]
     total_tokens: int
     length: int = 4096
-    group_rows: int = 4096
+    group_rows: int | None = None
     fim_rate: float = 0.0
     code_sources: tuple[str, ...] = ("code",)
     minhash: bool = False
@@ -82,11 +82,11 @@ def rejection_alerts(reasons: DataFrame, order_key: str = "order_key", limit: in
 
 
 def packed_shards(docs: DataFrame, plan: CorpusPlan, tokenizer: Tokenizer = BYTES, order_key: str = "order_key") -> DataFrame:
-    """Packed records of curated documents with seq_no and shard_index, up to the target."""
-    group = F.floor(F.col(order_key) / plan.group_rows)
-    packed = packing.packed_dataset(docs, tokenizer, order_key, plan.length, group, fim_rate=plan.fim_rate, code_sources=plan.code_sources)
-    numbered = windows.row_numbers(packed, ["group", "seq"], "seq_no").drop("group", "seq")
-    kept = windows.until_target(numbered, plan.length, plan.total_tokens)
+    """Packed records of curated documents in the order of keys, with seq_no and shard_index, up to the target."""
+    group = F.floor(F.col(order_key) / plan.group_rows) if plan.group_rows else None
+    most = windows.sequences_to(plan.length, plan.total_tokens)
+    packed = packing.packed_stream(docs, tokenizer, order_key, plan.length, fim_rate=plan.fim_rate, code_sources=plan.code_sources, most_records=most, group=group)
+    kept = packed.withColumnRenamed("seq", "seq_no")
     kept = kept.withColumn("real_tokens", F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m))
     return shards.shard_assignment(kept, shards.sequences_per_shard(plan.length, plan.shard_mb), plan.first_shard)
 

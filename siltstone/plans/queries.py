@@ -406,9 +406,9 @@ def fim_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 LENGTH, GROUP = 4096, 200
 
 
-def pack_sql(rows: str) -> str:
+def pack_sql(rows: str, group: str = f"doc_id // {GROUP}") -> str:
     """CTEs that pack `rows` (doc_id, text): r has a document's group, sequence and tokens, st the number of each group's first record."""
-    return f"""t as (select doc_id, doc_id // {GROUP} as grp, row_number() over (partition by doc_id // {GROUP} order by doc_id) as k, least(strlen(text) + 1, {LENGTH})::bigint as n from {rows}),
+    return f"""t as (select doc_id, {group} as grp, row_number() over (partition by {group} order by doc_id) as k, least(strlen(text) + 1, {LENGTH})::bigint as n from {rows}),
 r as (select grp, k, doc_id, n, 0::bigint as seq, n as used from t where k = 1 union all
 select t.grp, t.k, t.doc_id, t.n, case when r.used + t.n > {LENGTH} then r.seq + 1 else r.seq end, case when r.used + t.n > {LENGTH} then t.n else r.used + t.n end from r join t on t.grp = r.grp and t.k = r.k + 1),
 st as (select grp, coalesce(sum(c) over (order by grp rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select grp, max(seq) + 1 as c from r group by 1))"""
@@ -417,6 +417,10 @@ st as (select grp, coalesce(sum(c) over (order by grp rows between unbounded pre
 PACK_SQL = f"with recursive {pack_sql('documents')}"
 
 
+#: All documents as one stream.
+STREAM_SQL = f"with recursive {pack_sql('documents', '0::bigint')}"
+
+
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", byte_token_count(F.col("text")).alias("tokens"))
     return packing.assign_sequences(docs, "doc_id", LENGTH, F.floor(F.col("doc_id") / GROUP))
@@ -427,6 +431,12 @@ def pack_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.global_sequence(assigned(spark, sf_dir))
 
 
+@query(f"{STREAM_SQL} select doc_id as key, n as tokens, seq as seq_no from r")
+def pack_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next-fit over the whole table as one stream."""
+    return packing.stream_sequences(read(spark, sf_dir, "documents").select("doc_id", byte_token_count(F.col("text")).alias("tokens")), "doc_id", LENGTH)
+
+
 @query(f"""{PACK_SQL}, q as (select count(distinct (grp, seq)) as s, count(*) as d, sum(n)::bigint as real from r)
 select s as total_sequences, d as total_docs_packed, real as total_tokens_packed, s * {LENGTH} - real as total_padding_tokens, (s * {LENGTH} - real)::double / (s * {LENGTH}) as padding_ratio, d::double / s as avg_docs_per_seq from q""")
 def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,7 +582,7 @@ k as (select doc_id, source, greatest(1, length(text) // 4)::bigint as tokens fr
 def production_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, corpus.CorpusPlan]:
     total = estimated(spark, sf_dir).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0] // 2
     kinds = {s: KINDS[k % 5] for k, s in enumerate(SOURCES)}
-    return sample_documents(spark, sf_dir), corpus.CorpusPlan(kinds, PLAN_SHARES, total, length=LENGTH, group_rows=GROUP, skip=2, shard_mb=1, first_shard=115)
+    return sample_documents(spark, sf_dir), corpus.CorpusPlan(kinds, PLAN_SHARES, total, length=LENGTH, skip=2, shard_mb=1, first_shard=115)
 
 
 @query(f"with {PLAN_SQL} select doc_id, source, tokens from x")
@@ -581,7 +591,7 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.curated(docs, plan, "doc_id").select("doc_id", "source", "tokens")
 
 
-@query(f"""with recursive {PLAN_SQL}, taken as (select d.doc_id, d.text from documents d join x on d.doc_id = x.doc_id where strlen(d.text) >= 4), {pack_sql('taken')},
+@query(f"""with recursive {PLAN_SQL}, taken as (select d.doc_id, d.text from documents d join x on d.doc_id = x.doc_id where strlen(d.text) >= 4), {pack_sql('taken', '0::bigint')},
 sq as (select start + seq as seq_no, sum(n)::int as real_tokens, count(*)::int as docs, r.grp, seq from r join st on r.grp = st.grp group by 1, 4, 5)
 select seq_no, real_tokens, docs, (seq_no // {shards.sequences_per_shard(LENGTH, 1)} + 115)::int as shard_index from sq where seq_no < ceil((select total from goal) / {LENGTH}::double)""")
 def packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.tokens import BYTES, Tokenizer
-from siltstone.operators import dedup, evaluation, filters, mixture, packing, shards, windows
+from siltstone.operators import dedup, evaluation, filters, mixture, packing, shards, shared, windows
+from siltstone.plans import corpus, queries
 
 
 def reason_of(spark, column, **values):
@@ -298,3 +300,72 @@ def test_steps_and_retention(spark):
     assert evaluation.training_steps(10**9, 1024, 8, 8, 1) == 15_259
     files = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "name string, modified int")
     assert {r.name for r in evaluation.newest(files, 2).collect()} == {"b", "c"}
+
+
+def sequential(sizes, length, used=0, seq=0):
+    """Next-fit one document at a time: the sequences, then records closed and the fill at the end."""
+    out = []
+    for n in sizes:
+        if used and used + n > length:
+            seq, used = seq + 1, 0
+        out.append(seq)
+        used += n
+        if used >= length:
+            seq, used = seq + 1, 0
+    return out, seq, used
+
+
+def test_fill_maps_compose_to_the_sequential_packer():
+    rng = random.Random(1)
+    for _ in range(400):
+        length, n = rng.choice([1, 2, 5, 8, 16]), rng.randint(0, 30)
+        sizes = np.array([min(rng.randint(rng.choice([0, 1]), rng.choice([3, length, length + 4])), length) for _ in range(n)], dtype=np.int64)
+        at = rng.randint(0, n)
+        whole = packing.FillMap.of(sizes[:at], length).then(packing.FillMap.of(sizes[at:], length))
+        for fill in range(length):
+            assert packing.filled(fill, *whole.steps()) == sequential(sizes.tolist(), length, fill)[1:]
+
+
+@pytest.mark.parametrize("length", [64, 7])
+def test_a_stream_over_ranges_packs_as_one(spark, length):
+    """Ranges end within records, on full ones and within long runs of small documents; a document may be longer than a record."""
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 1, 2, 3, 10, length - 1, length, length + 50]) for _ in range(3000)] + [1] * 2000
+    keys = rng.sample(range(10**6), len(sizes))
+    docs = spark.createDataFrame(list(zip(sorted(keys), sizes, strict=True)), "k long, tokens long").repartition(7)
+    found = [r.seq_no for r in packing.stream_sequences(docs, "k", length).orderBy("key").collect()]
+    assert found == sequential([min(s, length) for s in sizes], length)[0]
+    assert packing.assign_sequences(docs, "k", length).orderBy("key").select("seq").first().seq == 0
+    assert packing.stream_sequences(docs.limit(0), "k", length).count() == 0
+
+
+def test_stream_records_and_their_limit(spark):
+    texts = [(k, "ab" * (k % 9)) for k in range(200)]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(5)
+    sizes = [(k, len(t) + 1) for k, t in texts if len(t) + 1 >= 5]
+    place = sequential([min(n, 16) for _, n in sizes], 16)[0]
+    rows = packing.packed_stream(docs, BYTES, "id", 16).orderBy("seq").collect()
+    assert [r.seq for r in rows] == sorted(set(place))
+    for r in rows:
+        held = [list(texts[k][1].encode())[: min(n, 16) - 1] + [256] for (k, n), s in zip(sizes, place, strict=True) if s == r.seq]
+        ids = [x for part in held for x in part]
+        assert r.input_ids == ids + [257] * (16 - len(ids)) and len(r.doc_starts) == len(held) and sum(r.attention_mask) == len(ids)
+    some = packing.packed_stream(docs, BYTES, "id", 16, most_records=9).orderBy("seq").collect()
+    assert [tuple(r) for r in some] == [tuple(r) for r in rows[:9]]
+    other = Tokenizer(lambda t: list(t.encode()), eos=256, pad=257)
+    assert [tuple(r) for r in packing.packed_stream(docs, other, "id", 16).orderBy("seq").collect()] == [tuple(r) for r in rows]
+
+
+def test_intermediate_data_goes_with_its_scope(spark):
+    files = lambda: {str(p) for p in Path(shared.work_folder(spark).removeprefix("file://")).rglob("*") if p.is_file()}
+    before = files()
+    with shared.work_scope():
+        docs, plan = queries.production_plan(spark, "/root/testdata/sf0.001")
+        assert corpus.packed_shards(corpus.curated(docs, plan, "doc_id"), plan, order_key="doc_id").count() > 0
+        kept, _ = shared.staged(spark.range(5), "test")
+        assert kept.count() == 5 and files() > before
+    assert files() == before
+    table = shared.cut(spark.range(3))
+    assert files() > before
+    shared.drop(table)
+    assert files() == before
