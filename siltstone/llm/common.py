@@ -1,90 +1,20 @@
-"""Helpers shared by the training-data operators: shared work folder, staged tables, Arrow loops."""
+"""Helpers shared by the training-data operators.  Staged tables and checkpoints, `cut`, live as the library's do: with their scope."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that separate words and are stripped from lines: space, \t, \n, \v, \f, \r.
-ASCII_SPACE = " \t\n\x0b\x0c\r"
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local session gets a temporary folder, and any other master an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = getattr(spark, "_siltstone_work", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-            spark._siltstone_work = base
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Removes a path through Hadoop's file system, so that any store works."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    try:
-        delete_path(spark, path)
-    except Exception:  # noqa: BLE001  the session may have ended before the interpreter does
-        return
-
+from siltstone.operators.shared import cut, delete_path, drop, new_folder, shuffles_dropped, staged, work_folder
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder name in the shared folder, removed when the interpreter ends."""
-    path = f"{work_folder(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
-    atexit.register(_delete_at_exit, spark, path)
-    return path
+__all__ = ["ASCII_SPACE", "batch_of", "cut", "delete_path", "drop", "map_arrow", "nested", "new_folder", "shuffles_dropped", "splitmix", "staged", "task_count", "whole_text", "work_folder"]
 
-
-#: Drops a query's shuffle files as soon as it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Queries that end in a written table: nothing but that table is used again, so their shuffle files go at once."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes `df` as Parquet into the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, label)
-    with shuffles_dropped(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint for narrow tables; Spark removes its files when the table is no longer referenced."""
-    work_folder(df.sparkSession)
-    with shuffles_dropped(df.sparkSession):
-        return df.checkpoint(eager=True)
+#: Characters that separate words and are stripped from lines: space, \t, \n, \v, \f, \r.
+ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def nested(docs: DataFrame) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, task_count
+from siltstone.llm.common import cut, drop, task_count
 
 
 def _with_least(edges: DataFrame, own: bool, hot: bool) -> DataFrame:
@@ -53,6 +53,7 @@ def components(edges: DataFrame, hot_degree: int = 1_000) -> DataFrame:
     before, (now, most) = None, signs(edges)
     while most and now != before:
         hot = most > hot_degree
-        edges = cut(_small_star(_large_star(edges, hot), hot))
+        longer, edges = edges, cut(_small_star(_large_star(edges, hot), hot))
+        drop(longer)
         before, (now, most) = now, signs(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -2,7 +2,7 @@
 
 1. Pass 1 counts words exactly and every pair of neighbours in a table of 2**bits hash buckets.  A pair can only be frequent
    if its bucket is, so the table becomes a bitmap of 2**bits / 8 bytes, a size that does not grow with the data, and is
-   broadcast.
+   broadcast.  With more different pairs than buckets it lets more through, and the exact counts have more to do.
 2. Pass 2 counts exactly the pairs whose words are both frequent (Apriori, a bitmap of the frequent words) and whose bucket
    is, and counts the triples of such pairs in buckets.  Pass 3 counts the triples whose two pairs are frequent and whose
    bucket is.  Every filter only lets too much through, so the exact counts decide.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batch_of, cut, map_arrow, splitmix, staged, task_count, whole_text
+from siltstone.llm.common import batch_of, cut, delete_path, map_arrow, shuffles_dropped, splitmix, staged, task_count, whole_text
 
 #: Characters that end a piece, and those between words.
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -49,11 +49,11 @@ class Settings:
     """least: least frequency of a candidate.  bits: 2**bits buckets.  covered: percent of a candidate's frequency at which a longer one stands for it."""
 
     least: int = 10
-    bits: int = 24
+    bits: int = 26
     covered: int = 50
     top: int = 2000
-    slice_bytes: int = 4 << 20
-    held: int = 500_000
+    slice_bytes: int = 2 << 20
+    held: int = 300_000
 
     def __post_init__(self) -> None:
         if not 1 <= self.least <= 255 or not BLOCK_BITS <= self.bits <= 32:
@@ -100,6 +100,21 @@ def is_set(bitmap: bytes, bucket: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bitmap, dtype=np.uint8)[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A block of bucket counts: places (two bytes each) and counts of those that are not zero, or all counts where that is shorter."""
+    at = np.flatnonzero(counts)
+    return counts.tobytes() if 3 * len(at) >= len(counts) else at.astype("<u2").tobytes() + counts[at].tobytes()
+
+
+def add_packed(total: np.ndarray, raw: memoryview | bytes) -> None:
+    """Adds a block of packed_counts; only one of all counts has their number of bytes, which three does not divide."""
+    if len(raw) == len(total):
+        total += np.frombuffer(raw, dtype=np.uint8)
+    else:
+        n = len(raw) // 3
+        total[np.frombuffer(raw, dtype="<u2", count=n)] += np.frombuffer(raw, dtype=np.uint8, offset=2 * n)
+
+
 #: A row is a phrase with its count (block is null), or a block of bucket counts (lang and phrase are null).
 _FOUND = pa.schema([("lang", pa.string()), ("phrase", pa.binary()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 _FOUND_SQL = "lang string, phrase binary, n long, block int, counts binary"
@@ -121,8 +136,9 @@ class Tally:
 
     def add_buckets(self, bucket: np.ndarray) -> None:
         if self.table is None:
-            self.table = np.zeros(1 << self.settings.bits, dtype=np.uint32)
-        np.add.at(self.table, bucket, np.uint32(1))
+            self.table = np.zeros(1 << self.settings.bits, dtype=np.uint8)
+        at, n = np.unique(bucket, return_counts=True)
+        self.table[at] = np.minimum(self.table[at] + n, self.settings.least)
 
     def given(self, most: int = 0) -> Iterator[pa.RecordBatch]:
         """The phrases held, if over `most`."""
@@ -134,15 +150,15 @@ class Tally:
 
     def blocks(self) -> Iterator[pa.RecordBatch]:
         if self.table is not None:
-            counts = np.minimum(self.table, self.settings.least).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
-            for block in np.flatnonzero(counts.any(axis=1)):
-                yield batch_of(_FOUND, [[None], [None], [None], [int(block)], [counts[block].tobytes()]])
+            for block, counts in enumerate(self.table.reshape(-1, 1 << BLOCK_BITS)):
+                if counts.any():
+                    yield batch_of(_FOUND, [[None], [None], [None], [block], [packed_counts(counts)]])
 
 
-def counting_pass(docs: DataFrame, size: int, settings: Settings, words: bytes | None, shorter: bytes | None, own: bytes | None) -> DataFrame:
+def counting_pass(docs: DataFrame, size: int, settings: Settings, words: bytes | None, shorter: bytes | None, own: bytes | None) -> tuple[DataFrame, str]:
     """One pass over the texts: exact counts of phrases of `size` words, and bucket counts of those of one word more, up to three.
 
-    Bitmaps: `words` of frequent words, `shorter` of frequent phrases of one word less, `own` of the frequent buckets.
+    The table's folder is the caller's to delete.  Bitmaps: `words` of frequent words, `shorter` of frequent phrases of one word less, `own` of the frequent buckets.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast({"words": words, "shorter": shorter, "own": own})
@@ -159,12 +175,12 @@ def counting_pass(docs: DataFrame, size: int, settings: Settings, words: bytes |
         if maps["words"] is not None:
             frequent = is_set(maps["words"], buckets(hashes, lang, bits))
             at = at[frequent[ids[at]] & frequent[ids[at + 1]]]
+        if size == 1:
+            tally.add_buckets(buckets(longer_hash(hashes[ids[at]], hashes[ids[at + 1]]), lang, bits))
+            return
         pairs, pair_of = np.unique(ids[at] * n + ids[at + 1], return_inverse=True)
         pair_hash = longer_hash(hashes[pairs // n], hashes[pairs % n])
         pair_bucket = buckets(pair_hash, lang, bits)
-        if size == 1:
-            tally.add_buckets(pair_bucket[pair_of])
-            return
         kept = is_set(maps["own"] if size == 2 else maps["shorter"], pair_bucket)
         if size == 2:
             count = np.bincount(pair_of, minlength=len(pairs))[kept]
@@ -195,8 +211,7 @@ def counting_pass(docs: DataFrame, size: int, settings: Settings, words: bytes |
         yield from tally.blocks()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().cast("binary").alias("raw"))
-    found, _ = staged(map_arrow(rows, run, _FOUND_SQL), f"phrases-{size}")
-    return found
+    return staged(map_arrow(rows, run, _FOUND_SQL), f"phrases-{size}")
 
 
 def joined(words: list[bytes], *parts: np.ndarray) -> list[bytes]:
@@ -247,14 +262,15 @@ def bitmap(found: DataFrame, settings: Settings) -> bytes:
                     if held is not None:
                         yield done()
                     held, total = block, np.zeros(1 << BLOCK_BITS, dtype=np.uint32)
-                total += np.frombuffer(counts.as_buffer(), dtype=np.uint8)
+                add_packed(total, memoryview(counts.as_buffer()))
         if held is not None:
             yield done()
 
     out = bytearray(1 << settings.bits - 3)
     width = 1 << BLOCK_BITS - 3
-    for r in map_arrow(rows, run, "block int, bits binary").toLocalIterator():
-        out[r.block * width : (r.block + 1) * width] = r.bits
+    with shuffles_dropped(found.sparkSession):
+        for r in map_arrow(rows, run, "block int, bits binary").collect():
+            out[r.block * width : (r.block + 1) * width] = r.bits
     return bytes(out)
 
 
@@ -273,7 +289,7 @@ def bitmap_of(phrases: DataFrame, settings: Settings) -> bytes:
                     total = longer_hash(total, word_hashes([w[k] for w in split]))
                 tally.add_buckets(buckets(total, lang, settings.bits))
         if tally.table is not None:
-            tally.table *= np.uint32(settings.least)
+            tally.table[tally.table > 0] = settings.least
         yield from tally.blocks()
 
     return bitmap(map_arrow(phrases.select("lang", "phrase"), run, _FOUND_SQL), settings)
@@ -316,17 +332,21 @@ def best_of(rows: DataFrame, top: int) -> DataFrame:
 def collocations(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the best phrases of each language."""
     least = settings.least
-    one = counting_pass(docs, 1, settings, None, None, None)
-    words = frequent(one, least)
-    word_map = bitmap_of(words, settings)
-    two = counting_pass(docs, 2, settings, word_map, None, bitmap(one, settings))
-    pairs = frequent(two, least)
-    three = counting_pass(docs, 3, settings, word_map, bitmap_of(pairs, settings), bitmap(two, settings))
-    triples = frequent(three, least)
+    found, path = counting_pass(docs, 1, settings, None, None, None)
+    words = frequent(found, least)
+    totals = cut(found.where("block is null").groupBy("lang").agg(F.sum("n").alias("n")))
+    word_map, next_map = bitmap_of(words, settings), bitmap(found, settings)
+    delete_path(docs.sparkSession, path)
+    found, path = counting_pass(docs, 2, settings, word_map, None, next_map)
+    pairs = frequent(found, least)
+    pair_map, next_map = bitmap_of(pairs, settings), bitmap(found, settings)
+    delete_path(docs.sparkSession, path)
+    found, path = counting_pass(docs, 3, settings, word_map, pair_map, next_map)
+    triples = frequent(found, least)
+    delete_path(docs.sparkSession, path)
     word = F.split(F.col("phrase").cast("string"), " ")
     inner = F.array(*(F.array_join(F.slice(word, k, 2), " ").cast("binary") for k in (1, 2)))
     longer = triples.select("lang", F.col("f").alias("of"), F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("of").alias("of"))
     left = pairs.join(longer, ["lang", "phrase"], "left").where(F.col("of").isNull() | (100 * F.col("of") < settings.covered * F.col("f"))).drop("of")
     best = best_of(scored(left.unionByName(triples), words.unionByName(pairs)), settings.top)
-    totals = one.where("block is null").groupBy("lang").agg(F.sum("n").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", F.col("phrase").cast("string").alias("phrase"), "a", "l", "r", "n", "score")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -85,3 +86,12 @@ def test_words_and_slices():
     assert [piece[k + 1] == piece[k] for k in range(6)] == [True, False, False, False, True, False]
     cut = list(phrases.slices(pa.array([b"a b. c d. e f", b"", b"g", b"h. i"], type=pa.large_binary()), 5))
     assert b"|".join(b"|".join(p.to_pylist()) for p in cut).replace(b"|", b"") == b"a b. c d. e fgh. i" and len(cut) == 3
+
+
+def test_blocks_of_counts_add_up():
+    for share in (0.01, 0.9):
+        rng = np.random.default_rng(3)
+        counts = np.where(rng.random(1 << 16) < share, rng.integers(1, 10, 1 << 16), 0).astype(np.uint8)
+        total, raw = np.ones(1 << 16, dtype=np.uint32), phrases.packed_counts(counts)
+        phrases.add_packed(total, raw)
+        assert (total == counts + 1).all() and (len(raw) < 1 << 16) == (share < 0.1)
