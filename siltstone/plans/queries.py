@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import fim, language, paths
+from siltstone.functions import fim, language, language_model, paths
 from siltstone.functions import text as tx
 from siltstone.functions.tokens import BYTES, byte_token_count
 from siltstone.operators import dedup, evaluation, filters, mixture, packing, shards, windows
@@ -136,6 +136,46 @@ def lid_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("lang", "lid").agg(F.count("*").alias("n"))
 
 
+#: The trained model: whole thousandths of logarithms over 16,384 buckets of trigrams, and a temperature from the rows held out.
+MODEL_SQL = f"""points as (select doc_id, lang, text, list_transform(string_split(text, ''), lambda x: unicode(x)::bigint) as c from documents where text is not null),
+grams as (select doc_id, lang, bucket, count(*) as n from (select doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 7919 + c[i + 1] * 104729 + c[i + 2] * 1299709) % 16384)) as bucket from points) group by 1, 2, 3),
+seen as (select lang, bucket, sum(n) as n from grams where doc_id % 5 <> 0 and lang is not null group by 1, 2),
+langs as (select lang, round(1000 * ln(count(*) / (sum(count(*)) over ())::double))::bigint as prior from documents where doc_id % 5 <> 0 and lang is not null and text is not null group by 1),
+sums as (select l.lang, prior, coalesce(sum(n), 0) as total from langs l left join seen s on l.lang = s.lang group by 1, 2),
+weights as (select s.lang, b.bucket, round(1000 * ln((coalesce(e.n, 0) + 1) / (s.total + 16384)::double))::bigint as w from sums s, (select unnest(range(16384)) as bucket) b left join seen e on e.lang = s.lang and e.bucket = b.bucket),
+score as (select p.doc_id, p.lang as own, l.lang, l.prior + coalesce(sum(g.n * w.w), 0)::bigint as score from points p, langs l left join grams g on g.doc_id = p.doc_id left join weights w on w.lang = l.lang and w.bucket = g.bucket group by p.doc_id, p.lang, l.lang, l.prior),
+loss as (select t, sum(loss) as loss from (select s.doc_id, t, ln(sum(exp((s.score - o.score) / (1000.0::double * t)))) as loss from score s join score o on o.doc_id = s.doc_id and o.lang = o.own, (select unnest([{', '.join(f'{t}::double' for t in language_model.TEMPERATURES)}]) as t) where s.doc_id % 5 = 0 group by 1, 2) group by 1),
+model as (select p.doc_id, case when length({strip_sql('p.text')}) < 20 then 'unknown' else b.lang end as lid, case when length({strip_sql('p.text')}) < 20 then 0 else b.confidence end as confidence
+  from points p join (select doc_id, arg_min(lang, (-score, lang)) as lang, 1 / sum(exp((score - best) / (1000.0::double * (select t from loss order by loss, t limit 1)))) as confidence from (select *, max(score) over (partition by doc_id) as best from score) group by doc_id) b on p.doc_id = b.doc_id)"""
+
+
+def document_model(spark: SparkSession, sf_dir: str) -> language_model.LanguageModel:
+    """Learned from `documents`; every fifth id is held out for the temperature."""
+    return language_model.trained(read(spark, sf_dir, "documents"), F.col("doc_id") % 5 == 0)
+
+
+@query(f"with {MODEL_SQL} select doc_id, lid, round(confidence, 6) as confidence from model")
+def lid_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("doc_id", document_model(spark, sf_dir)(F.col("text")).alias("a"))
+    return rows.select("doc_id", F.col("a.lang").alias("lid"), F.round("a.confidence", 6).alias("confidence"))
+
+
+@query(f"with {MODEL_SQL} select lang, lid, count(*) as n from documents d join model m on d.doc_id = m.doc_id group by 1, 2")
+def lid_model_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.confusion(read(spark, sf_dir, "documents"), document_model(spark, sf_dir))
+
+
+@query(f"""with {MODEL_SQL}, l as (select d.*, lid, confidence from documents d join model m on d.doc_id = m.doc_id), c as (select *, {CONTENT_LINES} as content from l),
+r as (select doc_id, case when length(text) < 200 then 'doc_too_short' when length(text) > 500000 then 'doc_too_long' when {ALNUM} < 0.5 then 'doc_low_alnum' when not (lid = 'en' and confidence >= 0.7) then 'non_english_doc' when len({LINES}) > 5 and {REPEATED} > 0.4 then 'doc_boilerplate' end as doc_reason,
+ case when length(text) < 200 then 'web_too_short' when length(text) > 200000 then 'web_too_long' when {ALNUM} < 0.6 then 'web_low_alnum' when not (lid = 'en' and confidence >= 0.7) then 'non_english_web' when ({PHRASES}) > 3 and ({PHRASES}) / greatest(length(text) / 500.0::double, 1.0::double) > 0.5 then 'web_boilerplate' end as web_reason from c)
+select doc_id, doc_reason, web_reason from r""")
+def filter_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documentation and web filters with the trained model in place of the rule."""
+    rows = read(spark, sf_dir, "documents").withColumn("detected", document_model(spark, sf_dir)(F.col("text")))
+    detect = lambda _: F.col("detected")
+    return rows.select("doc_id", filters.doc_reason(F.col("text"), detect=detect).alias("doc_reason"), filters.web_reason(F.col("text"), detect=detect).alias("web_reason"))
+
+
 @query(f"select doc_id, ({PHRASES})::int as phrases, ({PHRASES}) > 3 and ({PHRASES}) / greatest(length(text) / 500.0::double, 1.0::double) > 0.5 as boilerplate from documents")
 def web_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tx.boilerplate_phrases(F.col("text")).alias("phrases"), tx.is_boilerplate(F.col("text")).alias("boilerplate"))
