@@ -1,4 +1,4 @@
-"""Arrow IPC shards as a Spark data source, read and written (O-07, O-13)."""
+"""Arrow IPC shards as a Spark data source, read, written and streamed into (O-07, O-13)."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -22,13 +23,37 @@ def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 COMMITTED = "_committed.json"
 
 
+#: A stream's lists, one a micro-batch; they are the rows of its manifest too.
+BATCHES = "manifest"
+
+
+def _read_json(store: pyarrow.fs.FileSystem, path: str) -> dict:
+    with store.open_input_stream(path) as file:
+        return json.loads(file.read())
+
+
+def _write_json(store: pyarrow.fs.FileSystem, path: str, content: dict) -> None:
+    """By a rename, so that no one reads half of it."""
+    folder, _, name = path.rpartition("/")
+    draft = f"{folder}/_draft-{uuid.uuid4().hex}-{name}"
+    with store.open_output_stream(draft) as file:
+        file.write(json.dumps(content, sort_keys=True).encode())
+    store.move(draft, path)
+
+
+def batch_lists(path: str) -> list[str]:
+    """Paths of a stream's lists, in the order of batches."""
+    store, root = _store(path)
+    found = store.get_file_info(pyarrow.fs.FileSelector(f"{root}/{BATCHES}", allow_not_found=True))
+    return sorted(f.path for f in found if f.is_file and f.base_name.startswith("batch-"))
+
+
 def committed(path: str) -> list[str] | None:
     """Names of the committed files, null where the folder has no list."""
     store, root = _store(path)
-    if store.get_file_info(f"{root}/{COMMITTED}").type != pyarrow.fs.FileType.File:
-        return None
-    with store.open_input_stream(f"{root}/{COMMITTED}") as file:
-        return json.loads(file.read())["files"]
+    lists = [f"{root}/{COMMITTED}"] if store.get_file_info(f"{root}/{COMMITTED}").type == pyarrow.fs.FileType.File else []
+    lists += batch_lists(path)
+    return [name for x in lists for name in _read_json(store, x)["files"]] if lists else None
 
 
 def arrow_files(path: str) -> list[str]:
@@ -106,10 +131,7 @@ class ArrowWriter(DataSourceArrowWriter):
         store.create_dir(root, recursive=True)
         fresh, old = [file for message in messages if message is not None for file in message.files], committed(self.path) or []
         names = fresh if self.overwrite else [*old, *fresh]
-        draft = f"{root}/_draft-{uuid.uuid4().hex}.json"
-        with store.open_output_stream(draft) as file:
-            file.write(json.dumps({"files": sorted(names)}).encode())
-        store.move(draft, f"{root}/{COMMITTED}")
+        _write_json(store, f"{root}/{COMMITTED}", {"files": sorted(names)})
         for name in set(old).difference(names):
             store.delete_file(f"{root}/{name}")
 
@@ -120,6 +142,55 @@ class ArrowWriter(DataSourceArrowWriter):
                 store.delete_file(f"{root}/{file}")
 
 
+class Streamed(WriterCommitMessage):
+    def __init__(self, files: list[str], rows: int, real_tokens: int):
+        self.files, self.rows, self.real_tokens = files, rows, real_tokens
+
+
+class ArrowStreamWriter(DataSourceStreamArrowWriter):
+    """A file a task and micro-batch, and one list a batch with its files and sums, under the batch's number.
+
+    A batch that is repeated after a failure writes its list again, which replaces the earlier one and its files, so every
+    row is read once.  What a killed task leaves is in no list.
+    """
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Streamed:
+        store, root = _store(self.path)
+        name, sink, writer, rows, real = f"stream-{uuid.uuid4().hex}.arrow", None, None, 0, 0
+        for batch in batches:
+            if writer is None:
+                store.create_dir(root, recursive=True)
+                sink = store.open_output_stream(f"{root}/{name}")
+                writer = pa.ipc.new_file(sink, batch.schema)
+            writer.write_batch(batch)
+            rows += batch.num_rows
+            at = batch.schema.get_field_index("attention_mask")
+            real += int(np.asarray(batch.column(at).flatten()).sum()) if at >= 0 else 0
+        if writer is None:
+            return Streamed([], 0, 0)
+        writer.close()
+        sink.close()
+        return Streamed([name], rows, real)
+
+    def commit(self, messages: list[Streamed | None], batchId: int) -> None:
+        store, root = _store(self.path)
+        store.create_dir(f"{root}/{BATCHES}", recursive=True)
+        place, done = f"{root}/{BATCHES}/batch-{batchId:012d}.json", [m for m in messages if m is not None]
+        old = _read_json(store, place)["files"] if store.get_file_info(place).type == pyarrow.fs.FileType.File else []
+        _write_json(store, place, {"batch": batchId, "files": sorted(name for m in done for name in m.files), "num_sequences": sum(m.rows for m in done), "total_tokens_real": sum(m.real_tokens for m in done)})
+        for name in old:
+            store.delete_file(f"{root}/{name}")
+
+    def abort(self, messages: list[Streamed | None], batchId: int) -> None:
+        store, root = _store(self.path)
+        for message in messages:
+            for name in message.files if message is not None else []:
+                store.delete_file(f"{root}/{name}")
+
+
 class ArrowShards(DataSource):
     """spark.read.format("arrow_shards").option("path", folder).load()"""
 
@@ -141,6 +212,9 @@ class ArrowShards(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> ArrowWriter:
         return ArrowWriter(self.options["path"], overwrite)
 
+    def streamWriter(self, schema: StructType, overwrite: bool) -> ArrowStreamWriter:
+        return ArrowStreamWriter(self.options["path"])
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArrowShards)
