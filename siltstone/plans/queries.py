@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import fim, language, language_model, paths
 from siltstone.functions import text as tx
 from siltstone.functions.tokens import BYTES, byte_token_count
-from siltstone.operators import dedup, evaluation, filters, mixture, packing, shards, windows
+from siltstone.operators import dedup, evaluation, filters, mixture, packing, seen, shards, windows
+from siltstone.operators.shared import new_folder
 from siltstone.plans import corpus
 from siltstone.sources import loaders
 
@@ -280,6 +281,45 @@ def seen_hash_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.without_seen(read(spark, sf_dir, "documents").select("doc_id", "text"), seen).select("doc_id")
 
 
+#: Sources whose documents an earlier build has taken.
+EARLIER = ("src0", "src1", "src2")
+
+
+@query(f"""with seen as (select sha256({NORMAL}) as h from benchmark union select sha256({NORMAL}) from documents where source in {EARLIER})
+select doc_id from documents where text is null or sha256({NORMAL}) not in (select h from seen where h is not null)""")
+def seen_set_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against a lasting set of two versions: the benchmark, and what an earlier build took."""
+    docs, known = read(spark, sf_dir, "documents"), seen.SeenSet(new_folder(spark, "seen"))
+    known.add(dedup.content_hashes(read(spark, sf_dir, "benchmark")))
+    known.add(dedup.content_hashes(docs.where(F.col("source").isin(*EARLIER))))
+    return seen.unseen_keys(docs, known, "doc_id")
+
+
+#: Texts on which the rules fire that plain documents never meet: other alphabets, OCR remains, open environments, many lines, signs, phrases, size.
+RARE_SQL = f"""case when doc_id % 331 = 3 then repeat('abcdefgh' || chr(10), 120000) when doc_id % 8 = 0 then repeat('жи ', length(text) + 100) || ' ' || text when doc_id % 8 = 1 then text || ' ||||||' when doc_id % 8 = 2 then text || repeat(' ' || chr(92) || 'begin' || chr(123) || 'a}}', 3)
+ when doc_id % 8 = 3 then repeat('ab cd' || chr(10), 10050) when doc_id % 8 = 4 then repeat('#$%& a' || chr(10), 300) when doc_id % 8 = 5 then '{". ".join(p.replace("'", "''") for p in tx.BOILERPLATE_PHRASES)} ' || substring(text, 1, 300) else text end"""
+
+
+def rare_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_documents(spark, sf_dir).withColumn("text", F.expr(RARE_SQL))
+
+
+def rare_rules(rules: str) -> str:
+    """The rules over `rare` in place of `documents`."""
+    return f"with rare as (select doc_id, source, lang, {RARE_SQL} as text from documents), " + rules.removeprefix("with ").replace("from documents", "from rare")
+
+
+RARE_REASONS = {
+    "code": (CODE_RULES, lambda d: filters.REASONS["code"](None)),
+    "doc": (DOC_RULES, lambda d: filters.doc_reason(F.col("text"))),
+    "web": (WEB_RULES.replace("when coalesce(quality < 1, false) then 'web_low_quality' ", ""), lambda d: filters.web_reason(F.col("text"))),
+    "math": (MATH_RULES, lambda d: filters.math_reason(F.col("text"))),
+}
+for _kind, (_sql, _reason) in RARE_REASONS.items():
+    QUERIES[f"filter_rare_{_kind}"] = lambda spark, sf_dir, f=_reason: rare_texts(spark, sf_dir).select("doc_id", f(None).alias("reason"))
+    ORACLES[f"filter_rare_{_kind}"] = f"{rare_rules(_sql)} select doc_id, reason from r"
+
+
 @query()
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of exact, then MinHash deduplication; permutations are this engine's own, so rows are checked by tests."""
@@ -646,11 +686,12 @@ def ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.ordinal_ids(corpus.curated_keys(docs, plan, "doc_id"), "doc_id").select("doc_id", "doc_key")
 
 
-@query(f"""{DOC_RULES}, p as (select r.doc_id, source, reason, coalesce(sum((reason is null)::int) over (partition by source order by r.doc_id rows between unbounded preceding and 1 preceding), 0) as before from r join documents d on r.doc_id = d.doc_id)
-select source, min(doc_id) as first_key, count(*) as n from p where reason is not null group by source, before having count(*) >= 3""")
+@query(f"""with {PLAN_SQL}, p as (select doc_id, source, rejected, coalesce(sum((not rejected)::int) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as before from f1)
+select source, min(doc_id) as first_key, count(*) as n from p where rejected group by source, before having count(*) >= 3""")
 def rejection_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of three rejected rows; the plan's own limit is 5,000."""
-    reasons = read(spark, sf_dir, "documents").select("source", "doc_id", filters.doc_reason(F.col("text")).alias("reason"))
+    """Runs of three rows that the production plan rejects; its own limit is 5,000."""
+    docs, plan = production_plan(spark, sf_dir)
+    reasons = docs.select("source", "doc_id", corpus.source_reason(docs, plan.kinds).alias("reason"))
     return corpus.rejection_alerts(reasons, "doc_id", 3)
 
 
