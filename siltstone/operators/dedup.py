@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as tx
-from siltstone.operators.shared import cut
+from siltstone.operators.components import components
+from siltstone.operators.shared import cut, drop, tasks
 
 
 def exact_firsts(df: DataFrame, order_key: str, columns: list[str] | None = None, text_column: str = "text", normalize: bool = True, scope: list[str] | None = None) -> DataFrame:
@@ -114,39 +116,96 @@ def band_hashes(rows: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS,
     return rows.mapInArrow(run, "key long, bands array<long>")
 
 
-def near_duplicate_keys(df: DataFrame, order_key: str, text_column: str = "text") -> DataFrame:
-    """`key` of rows that share a band with an earlier row that survives, as first-come processing would find them.
+def first_come(rows: Iterator[tuple[int, int, int]]) -> Iterator[int]:
+    """Keys that share a band with an earlier key that stays, from (group, key, band) in order; bands of a group's stayers are held."""
+    group = key = None
+    taken: set[int] = set()
+    mine: list[int] = []
+    for g, k, band in rows:
+        if (g, k) != (group, key):
+            if mine and not taken.isdisjoint(mine):
+                yield key
+            else:
+                taken.update(mine)
+            if g != group:
+                taken = set()
+            group, key, mine = g, k, []
+        mine.append(band)
+    if mine and not taken.isdisjoint(mine):
+        yield key
+
+
+def near_duplicate_keys(df: DataFrame, order_key: str, text_column: str = "text", mode: str = "first", block: int = 100_000) -> DataFrame:
+    """`key` of the rows that go as near duplicates, by shared MinHash bands; see keys_by_bands."""
+    body = tx.normalized(F.coalesce(F.col(text_column), F.lit("")))
+    return keys_by_bands(band_hashes(df.select(F.col(order_key).cast("long").alias("key"), body.alias("body"))), mode, block)
+
+
+def keys_by_bands(bands: DataFrame, mode: str = "first", block: int = 100_000) -> DataFrame:
+    """`key` of the rows that go, from (key, bands).
 
-    Rounds of aggregates over (band, key): an undecided row survives once no earlier undecided row is left in any of
-    its bands and none of them has a survivor before it; it is dropped as soon as one has.  Rounds are as many as the
-    longest chain of rows that wait for each other: each settles at least the least open key, so they end without a
-    limit.  No pairs are made, and every round's tables are cut.
+    Mode `first`: rows that share a band with an earlier row that stays, as first-come processing would find them.  Mode
+    `components`: all rows but the first of those that chains of shared bands connect.
+
+    Rows with a shared band point to the band's least key, and components of those edges part the work: rounds grow with
+    the logarithm of the longest chain.  First-come order inside a component of up to `block` (row, band) pairs is settled
+    by one task in one pass, many components a task; larger ones by settle_in_rounds.  No pairs of rows are made.
     """
-    body = tx.normalized(F.coalesce(F.col(text_column), F.lit("")))
-    bands = band_hashes(df.select(F.col(order_key).cast("long").alias("key"), body.alias("body")))
-    members = bands.select("key", F.explode("bands").alias("band"))
+    if mode not in ("first", "components"):
+        raise ValueError(f"mode is first or components, not {mode}")
+    members = cut(bands.select("key", F.explode("bands").alias("band")))
     # Bands with one member decide nothing.
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1").select("band", "least")
     open_rows = cut(members.join(shared, "band"))
-    dropped = open_rows.select("key").limit(0)
+    roots = components(open_rows.where("key <> least").select(F.col("key").alias("u"), F.col("least").alias("v")))
+    if mode == "components":
+        return roots.select(F.col("node").alias("key"))
+    placed = open_rows.drop("least").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = cut(placed)
+    drop(open_rows, members)
+    sizes = cut(placed.groupBy("root").agg(F.count("*").alias("n")))
+    small = placed.join(sizes.where(F.col("n") <= block).select("root"), "root").repartition(tasks(bands.sparkSession), "root").sortWithinPartitions("root", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[int] = []
+        for key in first_come(row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("root", "key", "band")), strict=True)):
+            held.append(key)
+            if len(held) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], names=["key"])
+                held = []
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64())], names=["key"])
+
+    gone = small.select("root", "key", "band").mapInArrow(run, "key long")
+    large = sizes.where(F.col("n") > block).select("root")
+    return gone if large.isEmpty() else gone.unionByName(settle_in_rounds(placed.join(large, "root").select("band", "key")))
+
+
+def settle_in_rounds(open_rows: DataFrame) -> DataFrame:
+    """`key` of the rows that go, from (band, key), in first-come order by rounds of aggregates.
+
+    An undecided row stays once no earlier undecided row is left in any of its bands and none of them has a stayer before
+    it; it goes as soon as one has.  Rounds are as many as the longest chain of rows that wait for each other: each settles
+    at least the least open key, so they end without a limit.
+    """
+    open_rows, lost_rows = cut(open_rows), []
     while not open_rows.isEmpty():
         least = open_rows.groupBy("band").agg(F.min("key").alias("least"))
-        firsts = open_rows.join(least, "band").groupBy("key").agg(F.max(F.col("least") < F.col("key")).alias("waits")).where("not waits").select("key")
-        firsts = cut(firsts)
-        # The bands of the new survivors drop every other open row in them: those are later, or the survivor would wait.
-        taken = cut(open_rows.join(firsts, "key", "left_semi").select("band").distinct())
+        firsts = cut(open_rows.join(least, "band").groupBy("key").agg(F.max(F.col("least") < F.col("key")).alias("waits")).where("not waits").select("key"))
+        # The bands of the new stayers drop every other open row in them: those are later, or the stayer would wait.
+        taken = open_rows.join(firsts, "key", "left_semi").select("band").distinct()
         lost = cut(open_rows.join(taken, "band", "left_semi").join(firsts, "key", "left_anti").select("key").distinct())
-        dropped = cut(dropped.unionByName(lost))
-        open_rows = cut(open_rows.join(firsts.unionByName(lost), "key", "left_anti"))
-    return dropped
+        lost_rows.append(lost)
+        before, open_rows = open_rows, cut(open_rows.join(firsts.unionByName(lost), "key", "left_anti"))
+        drop(before, firsts)
+    return reduce(DataFrame.unionByName, lost_rows, open_rows.sparkSession.createDataFrame([], "key long"))
 
 
-def near_duplicates_dropped(df: DataFrame, order_key: str, text_column: str = "text") -> DataFrame:
-    return df.join(near_duplicate_keys(df, order_key, text_column).select(F.col("key").alias("_key")), F.col(order_key) == F.col("_key"), "left_anti")
+def near_duplicates_dropped(df: DataFrame, order_key: str, text_column: str = "text", mode: str = "first") -> DataFrame:
+    return df.join(near_duplicate_keys(df, order_key, text_column, mode).select(F.col("key").alias("_key")), F.col(order_key) == F.col("_key"), "left_anti")
 
 
-def deduplicated(df: DataFrame, order_key: str, text_column: str = "text", exact: bool = True, minhash: bool = False, rows: DataFrame | None = None) -> DataFrame:
-    """Exact first, near duplicates among the survivors only; `rows` as in exact_duplicates_dropped."""
+def deduplicated(df: DataFrame, order_key: str, text_column: str = "text", exact: bool = True, minhash: bool = False, rows: DataFrame | None = None, mode: str = "first") -> DataFrame:
+    """Exact first, near duplicates among the survivors only; `rows` as in exact_duplicates_dropped, `mode` as in near_duplicate_keys."""
     if exact:
         df = exact_duplicates_dropped(df, order_key, text_column, rows=rows)
-    return near_duplicates_dropped(df, order_key, text_column) if minhash else df
+    return near_duplicates_dropped(df, order_key, text_column, mode) if minhash else df

@@ -26,6 +26,7 @@ class CorpusPlan:
     fim_rate: float = 0.0
     code_sources: tuple[str, ...] = ("code",)
     minhash: bool = False
+    near_mode: str = "first"
     skip: int = 0
     limit: int | None = None
     shard_mb: int = 50
@@ -49,7 +50,7 @@ def curated_keys(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key"
     narrow = cut(dedup.exact_firsts(kept, order_key, ["source", "tokens"]))
     if plan.minhash:
         survivors = docs.join(narrow.select(order_key), order_key, "left_semi")
-        narrow = narrow.join(dedup.near_duplicate_keys(survivors, order_key).select(F.col("key").alias(order_key)), order_key, "left_anti")
+        narrow = narrow.join(dedup.near_duplicate_keys(survivors, order_key, mode=plan.near_mode).select(F.col("key").alias(order_key)), order_key, "left_anti")
     if plan.skip or plan.limit is not None:
         narrow = windows.skip_and_limit(narrow, order_key, plan.skip, plan.limit)
     return mixture.mixed_keys(narrow, mixture.targets(docs.sparkSession, plan.proportions, plan.total_tokens), order_key)

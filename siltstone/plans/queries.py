@@ -326,6 +326,12 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", minhash=True).select("doc_id")
 
 
+@query()
+def near_dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each component of near duplicates, after exact deduplication."""
+    return dedup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", minhash=True, mode="components").select("doc_id")
+
+
 REPOS_SQL = f"""with f as (select doc_id, doc_id // 40 as repo, {PATH_SQL} as file_path, {LANGUAGE_SQL} as language, text as content, strlen(text) as size_bytes, doc_id % 11 = 0 as is_vendor from documents),
 m as (select *, case when repo % 5 <> 4 then repo % 7 = 0 end as is_fork, case when repo % 5 <> 4 then repo end as stars from f)"""
 
