@@ -9,8 +9,8 @@ an empty signature.  Likeness is the number of equal signatures over the number
 a text without any lexicon term is marked by the hash of the whole text instead and is like its equals only.
 
 Bounds: a lexicon term occurs in at least a share exp(-high) of all documents, so there are at most
-(mean distinct terms of a document) x exp(high) of them, however many documents there are.  They go to all tasks as
-8-byte hashes.
+(mean distinct terms of a document) x exp(high) of them, however many documents there are.  Up to `most_terms` go to all
+tasks, as 8-byte hashes with a byte a subset; beyond, terms of texts meet the lexicon in a join, with the same prints.
 
 Defined cases: null text is the empty text.  Documents are ordered by doc_id, null first, then by text; repeated rows
 stand side by side.  A single row is its own next document.  An empty table gives no rows; other columns are not read.
@@ -26,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import batch_of, cut, map_arrow, splitmix, task_count, whole_text
+from siltstone.llm.common import batch_of, cut, map_arrow, splitmix, staged, task_count, whole_text
 
 #: Rates of the subsets, 1 in so many terms.
 RATES = (2, 2, 8, 8, *[32] * 4, *[128] * 16, *[256] * 40)
@@ -53,11 +53,24 @@ class Terms(dict):
         return np.unique(np.fromiter(map(self.__getitem__, set(text.split())), dtype=np.uint64))
 
 
-def lexicon(docs: DataFrame, low: float = 3.0, high: float = 6.2, text_column: str = "text", most_terms: int = 20_000_000) -> np.ndarray:
-    """Sorted hashes of the terms whose inverse document frequency is in [low, high], over all documents.
+#: Terms that a task holds: 8 bytes and a byte a subset each, 144 MB.
+MOST_TERMS = 2_000_000
 
-    They are counted before they come to the driver: over `most_terms` is an error that asks for a lower `high`.
-    """
+
+def lexicon(docs: DataFrame, low: float = 3.0, high: float = 6.2, text_column: str = "text", most_terms: int = MOST_TERMS) -> np.ndarray:
+    """Sorted hashes of the terms of lexicon_table, which are counted before they come to the driver: over `most_terms` is an error."""
+    found = lexicon_table(docs, low, high, text_column)
+    if (n := found.count()) > most_terms:
+        raise ValueError(f"{n} terms have an inverse document frequency up to {high}; {most_terms} may be held by every task")
+    return sorted_terms(found)
+
+
+def sorted_terms(found: DataFrame) -> np.ndarray:
+    return np.sort(found.toPandas()["term"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def lexicon_table(docs: DataFrame, low: float = 3.0, high: float = 6.2, text_column: str = "text") -> DataFrame:
+    """term: hashes of the terms whose inverse document frequency is in [low, high], over all documents."""
     schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +93,29 @@ def lexicon(docs: DataFrame, low: float = 3.0, high: float = 6.2, text_column: s
     n_docs = docs.count()
     counts = map_arrow(docs.select(whole_text(text_column).alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     idf = F.log(F.lit(float(max(n_docs, 1))) / F.col("n"))
-    found = cut(counts.where((idf >= low) & (idf <= high)).select("term"))
-    if (n := found.count()) > most_terms:
-        raise ValueError(f"{n} terms have an inverse document frequency up to {high}; {most_terms} may be held by every task")
-    found = found.toPandas()["term"].to_numpy(dtype=np.int64)
-    return np.sort(found.view(np.uint64))
+    return cut(counts.where((idf >= low) & (idf <= high)).select("term"))
+
+
+def members(words: np.ndarray) -> np.ndarray:
+    """Which subset (row) holds which term (column)."""
+    keys = np.arange(1, len(RATES) + 1, dtype=np.uint64)
+    return np.stack([splitmix(words ^ splitmix(k)) % np.uint64(r) == 0 for k, r in zip(keys, RATES, strict=True)]) if len(words) else np.zeros((len(RATES), 0), dtype=bool)
+
+
+def mark(text: str) -> str:
+    """What stands for a text without lexicon terms."""
+    return "=" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def signed(held: np.ndarray, member: np.ndarray) -> str | None:
+    """Signatures of 8 hex digits with dots between them, empty ones as nothing; null where no subset holds a term."""
+    # The members of all subsets, one subset after the other, each in the order of terms.
+    subset, term = np.nonzero(member)
+    if not len(subset):
+        return None
+    raw = held[term].tobytes()
+    ends = (np.cumsum(np.bincount(subset, minlength=len(RATES))) * held.itemsize).tolist()
+    return ".".join(xxhash.xxh32_hexdigest(raw[a:b]) if b > a else "" for a, b in zip([0, *ends], ends, strict=False))
 
 
 @dataclass
@@ -95,23 +126,14 @@ class Fingerprinter:
 
     def __post_init__(self) -> None:
         self.terms = Terms()
-        keys = np.arange(1, len(RATES) + 1, dtype=np.uint64)
-        self.member = np.stack([splitmix(self.words ^ splitmix(k)) % np.uint64(r) == 0 for k, r in zip(keys, RATES, strict=True)]) if len(self.words) else np.zeros((len(RATES), 0), dtype=bool)
+        self.member = members(self.words)
 
     def __call__(self, text: str) -> str:
-        """Signatures of 8 hex digits with dots between them, empty ones as nothing; `=` and a hash of the text without lexicon terms."""
+        """The signatures of a text; `=` and its hash without lexicon terms."""
         mine = self.terms.of(text)
         at = np.searchsorted(self.words, mine)
         hit = at[(at < len(self.words)) & (self.words[np.minimum(at, len(self.words) - 1)] == mine)] if len(self.words) else at[:0]
-        held = self.words[hit]
-        # The members of all subsets, one subset after the other, each in the order of terms.
-        subset, term = np.nonzero(self.member[:, hit])
-        if not len(subset):
-            return "=" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
-        raw = held[term].tobytes()
-        ends = (np.cumsum(np.bincount(subset, minlength=len(RATES))) * held.itemsize).tolist()
-        signatures = [xxhash.xxh32_hexdigest(raw[a:b]) if b > a else "" for a, b in zip([0, *ends], ends, strict=False)]
-        return ".".join(signatures)
+        return signed(self.words[hit], self.member[:, hit]) or mark(text)
 
 
 def likeness(a: str, b: str) -> float:
@@ -146,6 +168,14 @@ def fingerprint_rows(docs: DataFrame, words: np.ndarray, id_column: str = "doc_i
     return map_arrow(docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")), run, "doc_id long, fingerprint string")
 
 
+def range_number(points: list[int], low: int, high: int) -> Column:
+    """Number of points up to doc_id, by halving: as many comparisons a row as the logarithm of the points."""
+    if low == high:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(F.col("doc_id") >= F.lit(points[middle]).cast("long"), range_number(points, middle + 1, high)).otherwise(range_number(points, low, middle))
+
+
 def in_parts(rows: DataFrame, tasks: int) -> DataFrame:
     """Rows with a part, the range of their doc_id (null is in the first), and each range's first row once more, at the end of the range before it.
 
@@ -156,10 +186,7 @@ def in_parts(rows: DataFrame, tasks: int) -> DataFrame:
     sampled = sorted({r[0] for r in rows.select("doc_id").where("doc_id is not null").sample(share, 1).collect()})
     # At most some 100 sampled ids a task come to the driver, and a split point a task goes to the rows.
     points = sorted({sampled[k * len(sampled) // tasks] for k in range(1, tasks)}) if sampled else []
-    part = F.lit(0)
-    if points:
-        edges = F.array(*(F.lit(x).cast("long") for x in points))
-        part = F.coalesce(F.size(F.filter(edges, lambda e: e <= F.col("doc_id"))), F.lit(0))
+    part = F.coalesce(range_number(points, 0, len(points)), F.lit(0))
     placed = rows.select(part.alias("part"), F.lit(0).alias("guest"), "doc_id", "text")
     # One narrow row a range; then the least text of the few rows that share a range's least doc_id.
     ranges = cut(placed.groupBy("part").agg(F.max(F.col("doc_id").isNull()).alias("absent"), F.min("doc_id").alias("least")))
@@ -194,7 +221,66 @@ def compare_with_next(docs: DataFrame, words: np.ndarray, id_column: str = "doc_
             if out:
                 yield batch_of(_ROW, list(zip(*out, strict=True)))
 
+    return map_arrow(ordered(docs, id_column, text_column), run, ROW)
+
+
+def ordered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """part, guest, doc_id, text in the order of documents; see in_parts."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     tasks = task_count(docs.sparkSession)
-    dealt = in_parts(rows, tasks).repartitionById(tasks, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
-    return map_arrow(dealt, run, ROW)
+    return in_parts(rows, tasks).repartitionById(tasks, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+
+
+def compare_by_join(docs: DataFrame, terms: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of compare_with_next under a lexicon that no task could hold: texts' terms meet it in a semi-join.
+
+    The texts of a row (its own, the edited and the next one) are written as their distinct terms' hashes.
+    """
+    kinds = ("own", "edited", "next")
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), *((f"{k}_mark", pa.string()) for k in kinds), *((f"{k}_terms", pa.list_(pa.int64())) for k in kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, before, n = Terms(), None, 0
+        for batch in batches:
+            out = []
+            for part, guest, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                text = text.as_py()
+                mine = hashes.of(text).view(np.int64)
+                if before is not None and before[0] == part:
+                    _, last_doc, last_text, last_terms = before
+                    other = edited(last_text, text)
+                    # A range is one task's, so its rows can be numbered there.
+                    out.append(((part << 40) + n, last_doc, len(last_text), hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest(), mark(last_text), mark(other), mark(text), last_terms, hashes.of(other).view(np.int64), mine))
+                    n += 1
+                n, before = (0, None) if guest else (n, (part, doc, text, mine))
+            if out:
+                yield batch_of(schema, list(zip(*out, strict=True)))
+
+    rows, _ = staged(map_arrow(ordered(docs, id_column, text_column), run, "key long, doc_id long, n_chars long, edited_sha256 string, own_mark string, edited_mark string, next_mark string, own_terms array<long>, edited_terms array<long>, next_terms array<long>"), "imatch-terms")
+    each = [rows.select("key", F.lit(k).alias("kind"), F.explode(f"{k}_terms").alias("term")) for k in kinds]
+    held = each[0].unionByName(each[1]).unionByName(each[2]).join(terms, "term", "left_semi")
+    # As many terms as a text has, at most.
+    held = held.groupBy("key").agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in kinds))
+    joined = rows.drop(*(f"{k}_terms" for k in kinds)).join(held, "key", "left").select("doc_id", "n_chars", "edited_sha256", *(f"{k}_mark" for k in kinds), *kinds)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, n_chars, sha, *rest in zip(*(batch.column(k).to_pylist() for k in range(6)), *(batch.column(k) for k in range(6, 9)), strict=True):
+                prints = []
+                for hashed, found in zip(rest[:3], rest[3:], strict=True):
+                    words = np.sort(np.array(found.as_py() or [], dtype=np.int64).view(np.uint64))
+                    prints.append(signed(words, members(words)) or hashed)
+                out.append((doc, n_chars, sha, *prints[:2], likeness(prints[0], prints[1]), likeness(prints[0], prints[2])))
+            if out:
+                yield batch_of(_ROW, list(zip(*out, strict=True)))
+
+    return map_arrow(joined, compare, ROW)
+
+
+def compared(docs: DataFrame, low: float = 3.0, high: float = 6.2, most_terms: int = MOST_TERMS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """compare_with_next under the lexicon of the documents themselves; beyond `most_terms`, by compare_by_join."""
+    terms = lexicon_table(docs, low, high, text_column)
+    if terms.count() > most_terms:
+        return compare_by_join(docs, terms, id_column, text_column)
+    return compare_with_next(docs, sorted_terms(terms), id_column, text_column)

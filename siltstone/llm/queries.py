@@ -52,8 +52,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return imatch.compare_with_next(docs, imatch.lexicon(docs, low=3.0, high=6.2))
+    return imatch.compared(read(spark, sf_dir, "documents"), low=3.0, high=6.2)
 
 
 def op5_id_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,19 @@ def test_awkward_rows(spark):
     assert one.count() == 1 and imatch.compare_with_next(one, imatch.lexicon(one)).first().near_next == 1.0
     prints = imatch.fingerprint_rows(awkward.unique(spark).where("doc_id in (10, 57, 58)"), np.zeros(0, dtype=np.uint64)).collect()
     assert len({r.fingerprint for r in prints}) == 1
+
+
+@pytest.mark.parametrize(("low", "high"), [(0.5, 5.0), (3.0, 6.2)])
+def test_a_lexicon_beyond_the_bound_gives_the_same_prints(spark, low, high):
+    docs = awkward.documents(spark)
+    held = imatch.compared(docs, low, high).collect()
+    joined = imatch.compared(docs, low, high, most_terms=0).collect()
+    assert len(held) == len(awkward.rows()) and sorted(map(str, held)) == sorted(map(str, joined))
+    assert imatch.compared(awkward.empty(spark), low, high, most_terms=-1).count() == 0
+
+
+def test_a_range_is_found_by_halving(spark):
+    points = [3, 10, 11, 400, 10**12]
+    rows = spark.createDataFrame([(x,) for x in (None, -5, 2, 3, 9, 10, 11, 12, 400, 10**12, 10**13)], "doc_id long")
+    found = {r.doc_id: r.n for r in rows.select("doc_id", imatch.range_number(points, 0, len(points)).alias("n")).collect()}
+    assert found == {x: sum(p <= x for p in points) if x is not None else 0 for x in found}
