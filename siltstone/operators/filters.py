@@ -172,6 +172,16 @@ REASONS: dict[str, Callable[[DataFrame], Column]] = {
 }
 
 
+#: Every reason that a kind's filter gives, in the order of its rules.
+REASON_NAMES: dict[str, tuple[str, ...]] = {
+    "code": ("too_small", "too_large", "generated_file", "lockfile", "data_file", "excluded_extension", "low_alphanumeric_ratio", "too_few_lines", "too_many_lines", "lines_too_long", "empty"),
+    "docs": ("doc_too_short", "doc_too_long", "doc_low_alnum", "non_english_doc", "doc_boilerplate"),
+    "web": ("web_too_short", "web_too_long", "web_low_alnum", "web_low_quality", "non_english_web", "web_boilerplate"),
+    "math": ("math_too_short", "math_too_long", "math_ocr_artifact", "math_broken_latex", "math_unmatched_env", "math_repeated_content", "non_english_math"),
+    "functions": ("vault_too_short", "vault_too_long", "vault_low_alnum", "vault_no_identifier"),
+}
+
+
 def filtered(df: DataFrame, kind: str) -> DataFrame:
     """Rows that pass; code rows get alnum_ratio and num_lines.  An unknown kind gives no rows."""
     if kind not in REASONS:

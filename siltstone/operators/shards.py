@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.shared import cut, tasks
 from siltstone.sources.arrow_ipc import register
 
 #: Bytes by which a token counts towards a shard's size: three columns of four bytes.
@@ -24,6 +29,87 @@ def shard_assignment(sequences: DataFrame, per_shard: int, first_shard: int = 0)
     return sequences.withColumns({"shard_index": index, "shard_name": F.format_string("shard_%05d", index)})
 
 
+class ShardCuts:
+    """Where a run of records closes shards, for any open shard at its start.
+
+    A shard is closed by the record with which it reaches `limit` bytes or `most` records.  After the first close all
+    others follow from it, and that one comes within `most` records, so `heads` of so many entries tell the whole run.
+    """
+
+    def __init__(self, sizes: np.ndarray, limit: int, most: int):
+        self.limit, self.most, self.n = limit, most, len(sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        n = self.n
+        at = np.minimum(np.searchsorted(ends, ends[:-1] + limit, side="left"), np.arange(n) + most)
+        closed, left_bytes, left_count = [0] * (n + 1), (ends[-1] - ends).tolist(), list(range(n, -1, -1))
+        for k, j in enumerate(at[::-1].tolist()):
+            k = n - 1 - k
+            if j <= n:
+                closed[k], left_bytes[k], left_count[k] = closed[j] + 1, left_bytes[j], left_count[j]
+        m = min(n, most)
+        self.ends, self.heads = ends[: m + 1].tolist(), [closed[: m + 1], left_bytes[: m + 1], left_count[: m + 1]]
+        self.total = int(ends[-1])
+
+    def packed(self) -> tuple:
+        return self.n, self.total, self.ends, *self.heads
+
+
+def shards_after(state: tuple[int, int, int], limit: int, most: int, n: int, total: int, ends: list[int], closed: list[int], left_bytes: list[int], left_count: list[int]) -> tuple[int, int, int]:
+    """(shards closed before, bytes, records of the open one) after a run, from its ShardCuts."""
+    before, size, count = state
+    # With no size in the table that reaches the limit, the place is behind the table.
+    first = min(max(bisect_left(ends, limit - size), 1), most - count)
+    if first < len(ends):
+        return before + 1 + closed[first], left_bytes[first], left_count[first]
+    return before, size + total, count + n
+
+
+def shards_by_bytes(records: DataFrame, limit: int, most: int = 2_000, order_key: str = "seq_no", size_column: str = "size_bytes", first_shard: int = 0) -> DataFrame:
+    """order key, size, shard_index, shard_name for records of different size, in the order of a unique key.
+
+    Keys and sizes are written once, in ranges; a task holds the sizes of its range, at most `most` numbers a range reach
+    the driver, and every range then goes on from the shard that the ranges before it leave open.
+    """
+    if limit < 1 or most < 1:
+        raise ValueError("a shard holds one byte and one record at least")
+    narrow = records.select(F.col(order_key).cast("long").alias("key"), F.col(size_column).cast("long").alias("size"))
+    placed = cut(narrow.repartitionByRange(tasks(records.sparkSession), "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id().cast("long")))
+
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, part = [], None
+        for batch in batches:
+            if batch.num_rows:
+                part = batch.column(2)[0].as_py()
+                sizes.append(batch.column(1).to_numpy())
+        if part is not None:
+            found = ShardCuts(np.concatenate(sizes), limit, most).packed()
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, *found)], names=["part", "n", "total", "ends", "closed", "left_bytes", "left_count"])
+
+    begin, state = {}, (first_shard, 0, 0)
+    lists = ", ".join(f"{c} array<long>" for c in ("ends", "closed", "left_bytes", "left_count"))
+    for part, *found in sorted(map(tuple, placed.mapInArrow(cuts, f"part long, n long, total long, {lists}").collect())):
+        begin[part] = state
+        state = shards_after(state, limit, most, *found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if shard is None:
+                shard, size, count = begin[batch.column(2)[0].as_py()]
+            out = []
+            for n in batch.column(1).to_pylist():
+                out.append(shard)
+                size, count = size + n, count + 1
+                if size >= limit or count >= most:
+                    shard, size, count = shard + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["key", "size", "shard"])
+
+    found = placed.mapInArrow(run, "key long, size long, shard long")
+    return found.select(F.col("key").alias(order_key), F.col("size").alias(size_column), F.col("shard").cast("int").alias("shard_index"), F.format_string("shard_%05d", F.col("shard")).alias("shard_name"))
+
+
 def manifest_rows(sharded: DataFrame, length: int) -> DataFrame:
     """A row a shard: name, index, sequences, estimated bytes, padded and real tokens."""
     n = F.count("*")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as tx
 from siltstone.functions.tokens import BYTES, Tokenizer
 from siltstone.operators import dedup, filters, mixture, packing, shards, windows
+from siltstone.operators.report import BuildReport
 from siltstone.operators.shared import cut
 
 
@@ -43,11 +44,15 @@ def source_reason(docs: DataFrame, kinds: dict[str, str]) -> Column:
     return out.otherwise(F.lit("unknown_source"))
 
 
-def curated_keys(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key") -> DataFrame:
-    """order key, source, tokens of the rows that curated takes."""
-    kept = docs.where(source_reason(docs, plan.kinds).isNull()).withColumn("tokens", plan.tokens(F.col("text")))
+def curated_keys(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key", report: BuildReport | None = None) -> DataFrame:
+    """order key, source, tokens of the rows that curated takes; filters and deduplication are counted into `report` on the way."""
+    if report is None:
+        kept = docs.where(source_reason(docs, plan.kinds).isNull())
+    else:
+        kept = report.filtered(docs.select(order_key, "source", "text", source_reason(docs, plan.kinds).alias("reason"))).where("reason is null")
     # Filters and hashes run once; everything after them is narrow.
-    narrow = cut(dedup.exact_firsts(kept, order_key, ["source", "tokens"]))
+    firsts = dedup.exact_firsts(kept.withColumn("tokens", plan.tokens(F.col("text"))), order_key, ["source", "tokens"])
+    narrow = cut(firsts if report is None else report.unique(firsts))
     if plan.minhash:
         survivors = docs.join(narrow.select(order_key), order_key, "left_semi")
         narrow = narrow.join(dedup.near_duplicate_keys(survivors, order_key, mode=plan.near_mode).select(F.col("key").alias(order_key)), order_key, "left_anti")
@@ -56,12 +61,12 @@ def curated_keys(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key"
     return mixture.mixed_keys(narrow, mixture.targets(docs.sparkSession, plan.proportions, plan.total_tokens), order_key)
 
 
-def curated(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key") -> DataFrame:
+def curated(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key", report: BuildReport | None = None) -> DataFrame:
     """Filtered by source, deduplicated over all sources, skipped and limited by source, mixed to the quotas; adds tokens.
 
     `order_key` is unique.  Full rows are read again for the keys taken only.
     """
-    return docs.join(curated_keys(docs, plan, order_key).select(order_key, "tokens"), order_key)
+    return docs.join(curated_keys(docs, plan, order_key, report).select(order_key, "tokens"), order_key)
 
 
 def ordinal_ids(rows: DataFrame, order_key: str = "order_key") -> DataFrame:
@@ -82,12 +87,12 @@ def rejection_alerts(reasons: DataFrame, order_key: str = "order_key", limit: in
     return runs.where(F.col("n") >= limit).select("source", "first_key", "n")
 
 
-def packed_shards(docs: DataFrame, plan: CorpusPlan, tokenizer: Tokenizer = BYTES, order_key: str = "order_key") -> DataFrame:
+def packed_shards(docs: DataFrame, plan: CorpusPlan, tokenizer: Tokenizer = BYTES, order_key: str = "order_key", report: BuildReport | None = None) -> DataFrame:
     """Packed records of curated documents in the order of keys, with seq_no and shard_index, up to the target."""
     group = F.floor(F.col(order_key) / plan.group_rows) if plan.group_rows else None
     most = windows.sequences_to(plan.length, plan.total_tokens)
     packed = packing.packed_stream(docs, tokenizer, order_key, plan.length, fim_rate=plan.fim_rate, code_sources=plan.code_sources, most_records=most, group=group)
-    kept = packed.withColumnRenamed("seq", "seq_no")
+    kept = (packed if report is None else report.packed(packed)).withColumnRenamed("seq", "seq_no")
     kept = kept.withColumn("real_tokens", F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m))
     return shards.shard_assignment(kept, shards.sequences_per_shard(plan.length, plan.shard_mb), plan.first_shard)
 

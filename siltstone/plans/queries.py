@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import fim, language, language_model, paths
 from siltstone.functions import text as tx
 from siltstone.functions.tokens import BYTES, byte_token_count
-from siltstone.operators import dedup, evaluation, filters, mixture, packing, seen, shards, windows
+from siltstone.operators import dedup, evaluation, filters, mixture, packing, report, seen, shards, windows
 from siltstone.operators.shared import new_folder
 from siltstone.plans import corpus
 from siltstone.sources import loaders
@@ -610,6 +610,16 @@ def shard_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(spark, sf_dir)
 
 
+@query("""with recursive t as (select doc_id, strlen(coalesce(text, ''))::bigint as size_bytes, row_number() over (order by doc_id) as k from documents),
+r as (select k, doc_id, size_bytes, 115::bigint as shard, size_bytes as used, 1::bigint as n from t where k = 1 union all
+select t.k, t.doc_id, t.size_bytes, case when r.used >= 65536 or r.n >= 30 then r.shard + 1 else r.shard end, case when r.used >= 65536 or r.n >= 30 then t.size_bytes else r.used + t.size_bytes end, case when r.used >= 65536 or r.n >= 30 then 1 else r.n + 1 end from r join t on t.k = r.k + 1)
+select doc_id, size_bytes, shard::int as shard_index, printf('shard_%05d', shard) as shard_name from r""")
+def shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of different size, here the documents' own bytes: a shard is closed at 64 KiB or 30 records."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size_bytes"))
+    return shards.shards_by_bytes(docs, 65_536, 30, "doc_id", first_shard=115)
+
+
 @query(f"{SEQ_SQL} select shard_name, shard_index, count(*) as num_sequences, count(*) * {LENGTH * shards.TOKEN_BYTES} as size_bytes, count(*) * {LENGTH} as total_tokens_padded, sum(real_tokens)::bigint as total_tokens_real from sh group by 1, 2")
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.manifest_rows(sharded(spark, sf_dir), LENGTH)
@@ -686,6 +696,24 @@ def packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("seq_no", "real_tokens", F.size("doc_starts").alias("docs"), "shard_index")
 
 
+REPORT_SQL = f"""with recursive {PLAN_SQL}, taken as (select d.doc_id, d.text from documents d join x on d.doc_id = x.doc_id where strlen(d.text) >= 4), {pack_sql('taken', '0::bigint')},
+sq as (select seq, sum(n)::double as real, count(*) as docs from r where seq < ceil((select total from goal) / {LENGTH}::double) group by 1),
+n as (select (select count(*) from f1)::double as seen, (select count(*) from f1 where not rejected)::double as passed, (select count(*) from u)::double as uniq, (select count(*) from sq)::double as seqs, (select sum(docs) from sq)::double as docs, (select sum(real) from sq)::double as real)
+select 'filter' as step, 'total_seen' as name, seen as value from n union all select 'filter', 'total_passed', passed from n union all select 'filter', 'pass_rate', passed / seen from n
+union all select 'dedup', 'total_seen', passed from n union all select 'dedup', 'unique', uniq from n union all select 'dedup', 'duplicates_found', passed - uniq from n union all select 'dedup', 'dedup_rate', (passed - uniq) / passed from n
+union all select 'packing', 'total_sequences', seqs from n union all select 'packing', 'total_docs_packed', docs from n union all select 'packing', 'total_tokens_packed', real from n union all select 'packing', 'total_padding_tokens', seqs * {LENGTH} - real from n
+union all select 'packing', 'padding_ratio', (seqs * {LENGTH} - real) / (seqs * {LENGTH}) from n union all select 'packing', 'avg_docs_per_seq', docs / seqs from n"""
+
+
+@query(REPORT_SQL)
+def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of the production build, counted while it runs; rejections by reason are in filter_stats."""
+    docs, plan = production_plan(spark, sf_dir)
+    counted = report.BuildReport()
+    corpus.packed_shards(corpus.curated(docs, plan, "doc_id", counted), plan, order_key="doc_id", report=counted).write.format("noop").mode("overwrite").save()
+    return counted.table(spark).where("name not like 'reason%'")
+
+
 @query(f"with {PLAN_SQL} select doc_id, source || ':' || (row_number() over (partition by source order by doc_id) - 1) as doc_key from x")
 def ordinal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, plan = production_plan(spark, sf_dir)
