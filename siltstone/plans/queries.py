@@ -636,6 +636,16 @@ def record_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.record_at(rows, 17, "vec_id").unionByName(loaders.record_at(rows, -3, "vec_id"))
 
 
+@query("select vec_id as row_no, vec_id, label from (select *, row_number() over (order by vec_id) - 1 as place, count(*) over () as n from embeddings) where place in (17, n - 3) or (place >= 40 and place < 45)")
+def arrow_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table written as Arrow shards, and rows of it looked up by their place: a look-up opens one record batch and two columns."""
+    rows, path = read(spark, sf_dir, "embeddings"), new_folder(spark, "arrow")
+    shards.write_shards(rows.select("*", F.floor(F.col("vec_id") / 50).cast("int").alias("shard_index"), F.col("vec_id").alias("seq_no")), path, "arrow")
+    table = lambda: loaders.arrow_rows(spark, path, ["vec_id", "label"])
+    n = loaders.arrow_row_count(spark, path)
+    return table().where(F.col("row_no").isin(17, n - 3)).unionByName(table().where((F.col("row_no") >= 40) & (F.col("row_no") < 45)))
+
+
 @query(f"select sum(((doc_id % 7) / 4.0::double) * n)::double as total_loss, sum(n)::bigint as total_tokens, exp(sum(((doc_id % 7) / 4.0::double) * n) / sum(n)) as perplexity from (select doc_id, text, length(text) // 4 as n from documents) where {strip_sql('text')} <> '' and n >= 2")
 def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("text", ((F.col("doc_id") % 7) / F.lit(4.0)).alias("loss"), F.floor(F.length("text") / 4).alias("tokens"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import paths
+from siltstone.sources import arrow_ipc
 
 #: The languages of the code and the function source.
 CODE_LANGUAGES = ("Python", "TypeScript", "JavaScript", "C++", "C", "Rust", "Go", "Java", "Shell", "SQL", "HTML", "CSS", "Dockerfile")
@@ -109,13 +110,26 @@ def read_shards(spark: SparkSession, *paths: str, output_format: str | None = No
     else:
         return None
     if (output_format or found) == "arrow":
-        from siltstone.sources.arrow_ipc import register
-
-        register(spark)
+        arrow_ipc.register(spark)
         return spark.read.format("arrow_shards").option("path", path).load()
     return spark.read.option("recursiveFileLookup", True).parquet(path)
 
 
+def arrow_rows(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Rows of Arrow shards with row_no, their place from 0 in the order of file names, and only the columns named.
+
+    Comparisons of row_no with numbers reach the source, so that a look-up opens the record batches that hold the rows.  Spark
+    keeps them with the loaded table: load it once for every look-up, and do not use one loaded table under two of them.
+    """
+    arrow_ipc.register(spark)
+    return spark.read.format("arrow_shards").option("path", path).option("columns", ",".join(columns or [])).option(arrow_ipc.ROW, "true").load()
+
+
+def arrow_row_count(spark: SparkSession, path: str) -> int:
+    """Rows by the committed lists, without opening a file that they name."""
+    return sum(map(sum, arrow_ipc.batch_rows(path).values()))
+
+
 def with_labels(records: DataFrame) -> DataFrame:
     """input_ids, labels (a copy of the ids where absent) and the mask if there is one, nothing else."""
     labels = F.coalesce("labels", "input_ids") if "labels" in records.columns else F.col("input_ids")

@@ -114,3 +114,30 @@ def test_stream_equals_batch(spark, tmp_path):
 
     expected = {r.h for r in batch.where(filters.web_reason(F.col("text")).isNull()).select("h").distinct().collect()}
     assert {r.content_hash for r in found.collect()} == expected and found.count() == len(expected)
+
+
+def test_arrow_rows_open_what_they_need(spark, tmp_path):
+    """Places over files and record batches, after appending and with a file that another writer left."""
+    import pyarrow as pa
+
+    path = str(tmp_path / "rows")
+    rows = spark.range(25_000).select(F.col("id").alias("seq_no"), (F.col("id") % 7).cast("int").alias("label"), F.lit("wide " * 5).alias("text"), F.floor(F.col("id") / 12_000).cast("int").alias("shard_index"))
+    shards.write_shards(rows, path, "arrow")
+    load = lambda columns=None: loaders.arrow_rows(spark, path, columns)
+    assert loaders.arrow_row_count(spark, path) == 25_000 and load().columns == ["seq_no", "label", "text", "shard_index", "row_no"]
+    one = load(["label", "seq_no"]).where(F.col("row_no") == 11_999)
+    assert one.columns == ["label", "seq_no", "row_no"] and one.rdd.getNumPartitions() == 1 and [tuple(r) for r in one.collect()] == [(11_999 % 7, 11_999, 11_999)]
+    assert "PushedFilters: [EqualTo(row_no,11999)]" in one._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    some = load(["seq_no"]).where((F.col("row_no") > 9_998) & (F.col("row_no") <= 12_001) & (F.col("seq_no") % 2 == 0))
+    assert sorted(r.row_no for r in some.collect()) == [x for x in range(9_999, 12_002) if x % 2 == 0]
+    assert load(["seq_no"]).where(F.col("row_no").isin(3, 24_999, 10**9)).count() == 2 and load(["seq_no"]).where("row_no < 0").count() == 0
+    assert load(["seq_no"]).where("row_no = seq_no").count() == 25_000 and loaders.record_at(load(["seq_no"]), -1, "row_no", total=25_000).first().seq_no == 24_999
+    rows.limit(10).write.format("arrow_shards").mode("append").option("path", path).save()
+    assert loaders.arrow_row_count(spark, path) == 25_010 == load(["label"]).count()
+    other = tmp_path / "other"
+    other.mkdir()
+    with pa.ipc.new_file(str(other / "a.arrow"), pa.schema([("x", pa.int64())])) as writer:
+        for k in range(3):
+            writer.write_batch(pa.record_batch([pa.array([10 * k, 10 * k + 1])], names=["x"]))
+    found = loaders.arrow_rows(spark, str(other)).where(F.col("row_no").isin(2, 5))
+    assert sorted((r.row_no, r.x) for r in found.collect()) == [(2, 10), (5, 21)] and found.rdd.getNumPartitions() == 2
