@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -176,14 +177,17 @@ def test_secrets(spark):
 def rules_by_hand(text):
     words = near_join.WORD.findall(text)
     grams = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
-    twice = {k for k, g in enumerate(grams) if grams.count(g) > 1}
+    times = Counter(grams)
+    twice = {k for k, g in enumerate(grams) if times[g] > 1}
     lines = [x for x in text.split("\n") if near_join.WORD.search(x)]
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len({k + j for k in twice for j in range(8)})
 
 
 def test_quality_rules(spark):
     extra = ["a b c d e f g h i " * 6, "# $ % " * 30, "x y\nx y\n\n \n x y", "A LOUD TEXT!! " * 10, "1 2 3 4 5 6 7 8 9 10 " * 5]
-    rows = [(k, t) for k, t in awkward.unique_rows() if len(t) < 20_000] + [(1000 + k, t) for k, t in enumerate(extra)] + [(5000, None)]
+    extra += ["again and again " * 30_000, "x" * 300_000, "line\n" * 40_000]
+    rows = [*awkward.unique_rows(), *((1000 + k, t) for k, t in enumerate(extra)), (5000, None)]
+    assert max(len(t or "") for _, t in rows) > 400_000
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {r.doc_id: r for r in quality_rules.quality_verdicts(docs).collect()}
     for k, t in rows:
