@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def located(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
@@ -27,12 +27,12 @@ COMMITTED = "_committed.json"
 BATCHES = "manifest"
 
 
-def _read_json(store: pyarrow.fs.FileSystem, path: str) -> dict:
+def read_json(store: pyarrow.fs.FileSystem, path: str) -> dict:
     with store.open_input_stream(path) as file:
         return json.loads(file.read())
 
 
-def _write_json(store: pyarrow.fs.FileSystem, path: str, content: dict) -> None:
+def write_json(store: pyarrow.fs.FileSystem, path: str, content: dict) -> None:
     """By a rename, so that no one reads half of it."""
     folder, _, name = path.rpartition("/")
     draft = f"{folder}/_draft-{uuid.uuid4().hex}-{name}"
@@ -43,22 +43,22 @@ def _write_json(store: pyarrow.fs.FileSystem, path: str, content: dict) -> None:
 
 def batch_lists(path: str) -> list[str]:
     """Paths of a stream's lists, in the order of batches."""
-    store, root = _store(path)
+    store, root = located(path)
     found = store.get_file_info(pyarrow.fs.FileSelector(f"{root}/{BATCHES}", allow_not_found=True))
     return sorted(f.path for f in found if f.is_file and f.base_name.startswith("batch-"))
 
 
 def committed(path: str) -> list[str] | None:
     """Names of the committed files, null where the folder has no list."""
-    store, root = _store(path)
+    store, root = located(path)
     lists = [f"{root}/{COMMITTED}"] if store.get_file_info(f"{root}/{COMMITTED}").type == pyarrow.fs.FileType.File else []
     lists += batch_lists(path)
-    return [name for x in lists for name in _read_json(store, x)["files"]] if lists else None
+    return [name for x in lists for name in read_json(store, x)["files"]] if lists else None
 
 
 def arrow_files(path: str) -> list[str]:
     """The committed files of a folder; without a list, its .arrow files at any depth, sorted, without hidden ones."""
-    store, root = _store(path)
+    store, root = located(path)
     names = committed(path)
     if names is not None:
         return [f"{root}/{name}" for name in sorted(names)]
@@ -72,10 +72,10 @@ ROW = "row_no"
 
 def batch_rows(path: str) -> dict[str, list[int]]:
     """Rows of every record batch by file, from the committed lists; batches of files that other writers left are read for it."""
-    store, root = _store(path)
+    store, root = located(path)
     lists = [x for x in [f"{root}/{COMMITTED}"] if store.get_file_info(x).type == pyarrow.fs.FileType.File] + batch_lists(path)
     known = {}
-    for held in (_read_json(store, x) for x in lists):
+    for held in (read_json(store, x) for x in lists):
         known |= {f"{root}/{name}": rows for name, rows in zip(held["files"], held.get("rows", []), strict=False)}
     found = {}
     for file in arrow_files(path):
@@ -145,7 +145,7 @@ class ArrowReader(DataSourceReader):
         if partition is None:
             # What Spark reads where nothing is left to read.
             return
-        store, _ = _store(self.path)
+        store, _ = located(self.path)
         own = [c for c in self.columns if c != ROW]
         with store.open_input_file(partition.file) as file:
             names = pa.ipc.open_file(file).schema.names
@@ -185,7 +185,7 @@ class ArrowWriter(DataSourceArrowWriter):
         self.path, self.overwrite = path, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        store, root = _store(self.path)
+        store, root = located(self.path)
         store.create_dir(root, recursive=True)
         attempt, rows, held, sink, writer = uuid.uuid4().hex, {}, None, None, None
         for batch in batches:
@@ -213,18 +213,18 @@ class ArrowWriter(DataSourceArrowWriter):
         return Written(rows)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, root = _store(self.path)
+        store, root = located(self.path)
         store.create_dir(root, recursive=True)
         fresh, old = [file for message in messages if message is not None for file in message.files], committed(self.path) or []
         names = fresh if self.overwrite else [*old, *fresh]
         rows = {} if self.overwrite or not old else {file.rpartition("/")[2]: n for file, n in batch_rows(self.path).items()}
         rows |= {name: n for message in messages if message is not None for name, n in message.rows.items()}
-        _write_json(store, f"{root}/{COMMITTED}", {"files": sorted(names), "rows": [rows[name] for name in sorted(names)]})
+        write_json(store, f"{root}/{COMMITTED}", {"files": sorted(names), "rows": [rows[name] for name in sorted(names)]})
         for name in set(old).difference(names):
             store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        store, root = _store(self.path)
+        store, root = located(self.path)
         for message in messages:
             for file in message.files if message is not None else []:
                 store.delete_file(f"{root}/{file}")
@@ -246,7 +246,7 @@ class ArrowStreamWriter(DataSourceStreamArrowWriter):
         self.path = path
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Streamed:
-        store, root = _store(self.path)
+        store, root = located(self.path)
         name, sink, writer, rows, real = f"stream-{uuid.uuid4().hex}.arrow", None, None, [], 0
         for batch in batches:
             if writer is None:
@@ -264,17 +264,17 @@ class ArrowStreamWriter(DataSourceStreamArrowWriter):
         return Streamed({name: rows}, real)
 
     def commit(self, messages: list[Streamed | None], batchId: int) -> None:
-        store, root = _store(self.path)
+        store, root = located(self.path)
         store.create_dir(f"{root}/{BATCHES}", recursive=True)
         place, done = f"{root}/{BATCHES}/batch-{batchId:012d}.json", [m for m in messages if m is not None]
-        old = _read_json(store, place)["files"] if store.get_file_info(place).type == pyarrow.fs.FileType.File else []
+        old = read_json(store, place)["files"] if store.get_file_info(place).type == pyarrow.fs.FileType.File else []
         rows = {name: n for m in done for name, n in m.rows.items()}
-        _write_json(store, place, {"batch": batchId, "files": sorted(rows), "rows": [rows[name] for name in sorted(rows)], "num_sequences": sum(map(sum, rows.values())), "total_tokens_real": sum(m.real_tokens for m in done)})
+        write_json(store, place, {"batch": batchId, "files": sorted(rows), "rows": [rows[name] for name in sorted(rows)], "num_sequences": sum(map(sum, rows.values())), "total_tokens_real": sum(m.real_tokens for m in done)})
         for name in old:
             store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Streamed | None], batchId: int) -> None:
-        store, root = _store(self.path)
+        store, root = located(self.path)
         for message in messages:
             for name in message.files if message is not None else []:
                 store.delete_file(f"{root}/{name}")
@@ -294,7 +294,7 @@ class ArrowShards(DataSource):
         files = arrow_files(self.options["path"])
         if not files:
             raise FileNotFoundError(f"no .arrow file under {self.options['path']}")
-        store, _ = _store(self.options["path"])
+        store, _ = located(self.options["path"])
         with store.open_input_file(files[0]) as file, pa.ipc.open_file(file) as reader:
             found = from_arrow_schema(reader.schema)
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
