@@ -660,9 +660,10 @@ def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compared(at(0), at(1), "key", ["text"]).select("key.turn", "key.conv_id", "text_left", "text_right")
 
 
-@query()
+@query("select doc_id as seq_no, array_to_string(list_transform(range(32), lambda k: 1 + ('0x' || substr(md5('42:' || doc_id || ':' || k), 1, 8))::bigint % 999), ',') as input_ids from documents")
 def synthetic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return loaders.synthetic_records(spark, 64, 32, 1000)
+    """A synthetic record of 32 ids for every document."""
+    return loaders.synthetic_for(read(spark, sf_dir, "documents"), "doc_id", 32, 1000).select("seq_no", *joined_text("input_ids"))
 
 
 KINDS = ("code", "docs", "web", "math", "functions")

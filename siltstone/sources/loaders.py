@@ -148,3 +148,13 @@ def synthetic_records(spark: SparkSession, n: int, length: int, vocabulary: int,
     """seq_no, input_ids, labels: ids in [1, vocabulary) from a hash of (seed, record, place)."""
     ids = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: (1 + F.pmod(F.xxhash64(F.lit(seed), F.col("id"), k), F.lit(vocabulary - 1))).cast("int"))
     return spark.range(n).select(F.col("id").alias("seq_no"), ids.alias("input_ids")).withColumn("labels", F.col("input_ids"))
+
+
+def synthetic_for(docs: DataFrame, key: str, length: int, vocabulary: int, seed: int = 42) -> DataFrame:
+    """seq_no, input_ids, labels: a synthetic record for every row of a table, numbered by its key, as a stand-in of the same size for a training run.
+
+    An id is 1 and the first 32 bits of md5(seed:key:place) modulo vocabulary - 1, so any engine makes the same ones.
+    """
+    drawn = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), k.cast("string"))), 1, 8), 16, 10).cast("long")
+    ids = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: (1 + drawn(k) % (vocabulary - 1)).cast("int"))
+    return docs.select(F.col(key).alias("seq_no"), ids.alias("input_ids")).withColumn("labels", F.col("input_ids"))
