@@ -65,9 +65,18 @@ def load_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("h")).where("h <> ''")
 
 
-def without_seen(df: DataFrame, seen: DataFrame, text_column: str = "text", normalize: bool = True) -> DataFrame:
-    """Rows whose hash is not in `seen` (column h)."""
-    return df.withColumn("_hash", tx.content_hash(F.col(text_column), normalize)).join(seen.select(F.col("h").alias("_hash")), "_hash", "left_anti").drop("_hash")
+def without_seen(df: DataFrame, seen: DataFrame, text_column: str = "text", normalize: bool = True, order_key: str | None = None) -> DataFrame:
+    """Rows whose hash is not in `seen` (column h).
+
+    With a unique `order_key`, only (key, hash) meets `seen`, and rows are then taken by key.  For a set that lasts from
+    build to build see operators.seen.
+    """
+    h = tx.content_hash(F.col(text_column), normalize).alias("_hash")
+    known = seen.select(F.col("h").alias("_hash"))
+    if order_key is None:
+        return df.withColumn("_hash", h).join(known, "_hash", "left_anti").drop("_hash")
+    new = df.select(F.col(order_key).alias("_key"), h).join(known, "_hash", "left_anti").select("_key")
+    return df.join(new, F.col(order_key) == F.col("_key"), "left_semi")
 
 
 #: 14 bands of 9 of 128 permutations: the least mean of false positives and negatives at similarity 0.7.

@@ -59,7 +59,7 @@ def row_numbers(rows: DataFrame, order: list[Column | str], name: str) -> DataFr
     """Adds consecutive numbers from 0 in global order without one task for all rows; ties are numbered in any order.
 
     Rows are range-partitioned, sorted and written once: partition sizes and numbers come from that one placement, since
-    a second exchange would sample other borders.  A partition's start is the sum of the sizes before it, one row a partition.
+    a second exchange would sample other borders.  State `rows` narrow and join the rest by key.  A partition's start is the sum of the sizes before it, one row a partition.
     """
     place = F.monotonically_increasing_id()
     placed = cut(rows.repartitionByRange(tasks(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("_id", place))
@@ -92,11 +92,13 @@ def running_sum(rows: DataFrame, value: str, order: list[str], name: str, by: li
 
 
 def shuffled_batches(rows: DataFrame, key: str, batch: int, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """Adds batch_no by a seeded permutation of an epoch; the last batch is left out unless full.  Fewer rows than a batch give none."""
+    """Adds batch_no by a seeded permutation of an epoch; the last batch is left out unless full.  Fewer rows than a batch give none; `key` is unique."""
     rank = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)), F.lit(str(epoch)))), 1, 15), 16, 10).cast("long")
-    numbered = row_numbers(rows.withColumn("_rank", rank), ["_rank", key], "_place_no")
-    full = rows.count() // batch
-    return numbered.withColumn("batch_no", F.floor(F.col("_place_no") / batch).cast("long")).where(F.col("batch_no") < full).drop("_rank", "_place_no")
+    # Keys alone are sorted and written; rows meet their batch by key.
+    numbered = row_numbers(rows.select(F.col(key).alias("_key"), rank.alias("_rank")), ["_rank", "_key"], "_place_no")
+    full = numbered.count() // batch
+    placed = numbered.select("_key", F.floor(F.col("_place_no") / batch).cast("long").alias("batch_no")).where(F.col("batch_no") < full)
+    return rows.join(placed, F.col(key) == F.col("_key")).drop("_key")
 
 
 def skip_and_limit(rows: DataFrame, order_key: str, skip: int, limit: int | None, by: str = "source") -> DataFrame:

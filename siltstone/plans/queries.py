@@ -11,7 +11,7 @@ from siltstone.functions import fim, language, language_model, paths
 from siltstone.functions import text as tx
 from siltstone.functions.tokens import BYTES, byte_token_count
 from siltstone.operators import dedup, evaluation, filters, mixture, packing, report, seen, shards, windows
-from siltstone.operators.shared import new_folder
+from siltstone.operators.shared import cut, new_folder
 from siltstone.plans import corpus
 from siltstone.sources import loaders
 
@@ -277,8 +277,8 @@ def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with seen as (select sha256({NORMAL}) as h from benchmark union select sha256({NORMAL}) from conversations) select doc_id from documents where sha256({NORMAL}) not in (select h from seen where h is not null)")
 def seen_hash_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, against the hashes of two other tables."""
-    seen = dedup.content_hashes(read(spark, sf_dir, "benchmark")).unionByName(dedup.content_hashes(read(spark, sf_dir, "conversations")))
-    return dedup.without_seen(read(spark, sf_dir, "documents").select("doc_id", "text"), seen).select("doc_id")
+    known = dedup.content_hashes(read(spark, sf_dir, "benchmark")).unionByName(dedup.content_hashes(read(spark, sf_dir, "conversations")))
+    return dedup.without_seen(read(spark, sf_dir, "documents").select("doc_id", "text"), known, order_key="doc_id").select("doc_id")
 
 
 #: Sources whose documents an earlier build has taken.
@@ -437,7 +437,7 @@ def input_targets(docs: DataFrame) -> DataFrame:
 
 def mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = estimated(spark, sf_dir)
-    table = spark.createDataFrame(input_targets(docs).collect(), "source string, proportion double, target long")
+    table = cut(input_targets(docs))
     return mixture.mix(docs, table, "doc_id"), table
 
 
@@ -579,8 +579,8 @@ s as (select row_number() over (order by doc_id, "window") - 1 as record, doc_id
 case when not whole then array_to_string(list_concat(list_transform(ids, lambda k: 1), list_transform(range(gap), lambda k: 0)), ',') end as attention_mask from b""")
 def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records are windows of the batch's length, so that collating cuts nothing off."""
-    cut = windows.token_windows(line_lengths(spark, sf_dir), 12, ("ids",))
-    numbered = windows.row_numbers(cut, ["doc_id", "window"], "record")
+    parts = windows.token_windows(line_lengths(spark, sf_dir), 12, ("ids",))
+    numbered = parts.join(windows.row_numbers(parts.select("doc_id", "window"), ["doc_id", "window"], "record"), ["doc_id", "window"])
     rows = numbered.select("record", packing.packed_record(F.col("ids"), 12, 257).alias("r")).select("record", "r.*")
     return windows.collated(rows, "record", 12, 8, 257).select("batch_no", "record", *joined_text("input_ids", "labels", "attention_mask"))
 

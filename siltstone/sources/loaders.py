@@ -83,13 +83,16 @@ def union_sources(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def shard_format(spark: SparkSession, path: str) -> str | None:
-    """`arrow` if a folder holds Arrow files at any depth, else `parquet` if it holds Parquet; hidden files do not count."""
+    """`arrow` if a folder holds Arrow files at any depth, else `parquet` if it holds Parquet; hidden files do not count.
+
+    A folder that Spark has finished (_SUCCESS) holds one format, so its first file tells; others are listed to the end.
+    """
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(place):
         return None
-    files, found = store.listFiles(place, True), None
+    files, found, one_format = store.listFiles(place, True), None, store.exists(jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS"))
     while files.hasNext():
         name = files.next().getPath().getName()
         if name.startswith((".", "_")):
@@ -98,6 +101,8 @@ def shard_format(spark: SparkSession, path: str) -> str | None:
             return "arrow"
         if name.endswith(".parquet"):
             found = "parquet"
+            if one_format:
+                break
     return found
 
 
