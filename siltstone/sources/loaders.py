@@ -69,6 +69,7 @@ def functions(table: DataFrame, languages: Iterable[str] = FUNCTION_LANGUAGES, w
 
 
 #: Source name -> loader of its table.
+#: The names of the five sources.
 LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {"stack_v3_code": code_files, "stack_v3_docs": documentation_files, "fineweb_hq": web_pages, "openwebmath": math_pages, "the_vault": functions}
 
 
