@@ -529,9 +529,13 @@ def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_stats(assigned(spark, sf_dir), LENGTH)
 
 
-@query()
+@query(f"""with recursive {FIM_SQL.removeprefix('with ')},
+bodies as (select f.doc_id, case when source in ('src0', 'src1') and {draw_sql('42:fim').replace('doc_id', 'f.doc_id')} < 2147483648 and n >= 3 then '<|fim_prefix|>' || prefix || '<|fim_suffix|>' || suffix || '<|fim_middle|>' || middle else f.text end as text from f join documents d on d.doc_id = f.doc_id),
+long as (select * from bodies where strlen(text) >= 4), {pack_sql('long')},
+ids as (select r.grp, r.seq, r.doc_id, r.n, list_concat(list_transform(regexp_extract_all(hex(encode(text)), '..')[1:r.n - 1], lambda h: ('0x' || h)::int), [256]) as ids from r join long on r.doc_id = long.doc_id)
+select grp as \"group\", seq, md5(array_to_string(list_concat(flatten(list(ids order by doc_id)), list_transform(range({LENGTH} - sum(n)::bigint), lambda k: 257)), ',')) as ids_md5, sum(n)::int as real_tokens, count(*)::int as docs from ids group by 1, 2""")
 def pack_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of packed byte-token records; tests hold them against a row-by-row packer."""
+    """Digests of packed byte-token records."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     packed = packing.packed_dataset(docs, BYTES, "doc_id", LENGTH, F.floor(F.col("doc_id") / GROUP), fim_rate=0.5, code_sources=("src0", "src1"))
     return packed.select("group", "seq", F.md5(F.array_join("input_ids", ",")).alias("ids_md5"), F.size(F.filter("attention_mask", lambda m: m == 1)).alias("real_tokens"), F.size("doc_starts").alias("docs"))
