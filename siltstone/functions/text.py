@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white-space characters of Unicode text as the filters understand them, 29 code points.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as a class that tells printable ASCII by one comparison before it looks through the ranges.
+WHITE_CLASS = rf"[[^!-~]&&[{WHITE}]]"
 WHITE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 #: Fixed value: phrases that mark web boilerplate; overlapping phrases count each.
@@ -34,8 +36,13 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends, all 29 characters of it.  Only the ends are looked at."""
-    return F.btrim(text, F.lit(WHITE_CHARACTERS))
+    """Without white space at both ends, all 29 characters of it.
+
+    Trimming by a set of characters lays out the whole text, so texts with printable ASCII at both ends do without.
+    `text` is read several times.
+    """
+    clean = (text >= "!") & (text < "\x7f") & F.substring(text, -1, 1).between("!", "~")
+    return F.when(clean, text).otherwise(F.btrim(text, F.lit(WHITE_CHARACTERS)))
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -81,7 +88,7 @@ def long_lines(text: Column, limit: int) -> Column:
 
 def normalized(text: Column) -> Column:
     """Stripped, lowered, runs of white space as one space."""
-    return F.regexp_replace(strip(F.lower(text)), f"[{WHITE}]+", " ")
+    return F.regexp_replace(F.lower(strip(text)), f"{WHITE_CLASS}+", " ")
 
 
 def content_hash(text: Column, normalize: bool = True) -> Column:
@@ -95,15 +102,16 @@ def letters(text: Column) -> Column:
 
 
 def char_ngrams(letters: Column, n: int = 5) -> Column:
-    """Distinct code-point n-grams from a column of `letters`; none if there are fewer than n.
+    """Distinct code-point n-grams from a column of `letters`; none if there are fewer than n."""
+    return text_ngrams(F.array_join(letters, ""), n)
+
+
+def text_ngrams(body: Column, n: int = 5) -> Column:
+    """Distinct code-point n-grams of a text; none if it is shorter than n.
 
-    Shifted arrays are zipped, so the cost is n times the length: a substring by position would scan the text from its
-    start for every n-gram.  `letters` should be a column of its own, since it is read several times.
+    One pass looks ahead at every place; places between the halves of a surrogate pair are no code points.
     """
-    grams = letters
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(letters, F.lit(k + 1), F.greatest(F.size(letters) - k, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.slice(grams, F.lit(1), F.greatest(F.size(letters) - (n - 1), F.lit(0))))
+    return F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % n), F.lit(1)))
 
 
 def occurrences(text: Column, part: str) -> Column:
@@ -128,7 +136,12 @@ def many_phrases(n: Column, text: Column) -> Column:
 
 def content_lines(text: Column) -> Column:
     """Stripped lines that are not blank."""
-    return F.filter(F.transform(lines(text), strip), lambda x: x != "")
+    return stripped_lines(lines(text))
+
+
+def stripped_lines(found: Column) -> Column:
+    """The same from an array of lines."""
+    return F.array_remove(F.transform(found, strip), "")
 
 
 def repeated_line_ratio(text: Column) -> Column:
@@ -136,17 +149,23 @@ def repeated_line_ratio(text: Column) -> Column:
     return bound(content_lines(text), repeated_share)
 
 
+def mostly_repeated(text: Column, guard: int, share: float) -> Column:
+    """More than `guard` lines of any kind, and over `share` of the content lines repeat an earlier one; lines are split once."""
+    return bound(lines(text), lambda found: (F.size(found) > guard) & (bound(stripped_lines(found), repeated_share) > share))
+
+
 def repeated_share(found: Column) -> Column:
     """The same from an array of content lines."""
     return ratio(F.size(found) - F.size(F.array_distinct(found)), F.size(found))
 
 
-#: Fixed value: marks of scanning errors.  Java's `.` leaves out more line ends than \n, so the repeated character is stated as a class.
-OCR_PATTERN = r"[^\x00-\x7F]{10,}|[\x00-\x08\x0e-\x1f]{3,}|([^\n])\1{10,}|[|]{5,}"
+#: Marks of scanning errors.  Java's `.` leaves out more line ends than \n, so the repeated character is stated as a class.
+OCR_PIPES, OCR_FOREIGN, OCR_CONTROL, OCR_REPEATED = "|||||", r"[^\x00-\x7F]{10}", r"[\x00-\x08\x0e-\x1f]{3}", r"([^\n])\1{10}"
 
 
 def has_ocr_artifact(text: Column) -> Column:
-    return text.rlike(OCR_PATTERN)
+    """Any of the marks.  One pattern of alternatives would try all of them at every character, which takes four times as long."""
+    return F.contains(text, F.lit(OCR_PIPES)) | ((F.octet_length(text) > F.length(text)) & text.rlike(OCR_FOREIGN)) | text.rlike(OCR_CONTROL) | text.rlike(OCR_REPEATED)
 
 
 def unescaped_dollars(text: Column) -> Column:

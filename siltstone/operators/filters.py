@@ -83,7 +83,7 @@ def doc_reason(body: Column, limits: DocLimits = DocLimits(), detect: Detector |
     if limits.check_language and detect is not None:
         rules.append(("non_english_doc", language.is_foreign(detect(body), limits.confidence)))
     # All lines count for the guard, content lines only for the ratio.
-    rules.append(("doc_boilerplate", (text.num_lines(body) > limits.guard_lines) & (text.repeated_line_ratio(body) > limits.repeated_lines)))
+    rules.append(("doc_boilerplate", text.mostly_repeated(body, limits.guard_lines, limits.repeated_lines)))
     return first_failing(rules)
 
 
