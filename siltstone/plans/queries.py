@@ -99,8 +99,7 @@ def norm_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with n as (select doc_id, {NORMAL} as body from documents)
 select doc_id, (case when length(body) < 5 then 0 else len(list_distinct(list_transform(range(1, length(body) - 3), lambda i: substring(body, i, 5)))) end)::int as n_ngrams from n""")
 def char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select("doc_id", tx.letters(F.col("text")).alias("letters"))
-    return rows.select("doc_id", F.size(tx.char_ngrams(F.col("letters"))).alias("n_ngrams"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.size(tx.text_ngrams(tx.normalized(F.col("text")))).alias("n_ngrams"))
 
 
 GENERATED_SQL = "|".join(paths.GENERATED)
