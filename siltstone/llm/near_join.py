@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import batch_of, cut, map_arrow, nested, splitmix, staged, task_count, whole_text
 from siltstone.llm.components import components
+from siltstone.operators.dedup import minimum_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -95,16 +96,6 @@ def ngrams(text: str, words: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(splitmix(total + np.uint64(width)))
 
 
-def minimum_hashes(grams: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """32-bit minimum of each multiply-shift hash over the n-grams, in slices that stay in cache."""
-    out = np.full(len(factors), 0xFFFFFFFF, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for a in range(0, len(grams), 256):
-            part = grams[a : a + 256, None] * factors + offsets
-            np.minimum(out, (part >> np.uint64(32)).min(axis=0), out=out)
-    return out.astype(np.uint32)
-
-
 _SIGNED = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("labels", pa.list_(pa.int64()))])
 
 

@@ -94,6 +94,21 @@ def best_bands(permutations: int, threshold: float, steps: int = 1000) -> tuple[
     return best[1], best[2]
 
 
+def minimum_hashes(grams: np.ndarray, factors: np.ndarray, offsets: np.ndarray, part: int = 256) -> np.ndarray:
+    """32-bit minimum of each multiply-shift hash over the n-grams, in slices that stay in cache.
+
+    The upper halves of the least products are the least upper halves, so only the minima are shifted.
+    """
+    least, room = np.full(len(factors), 2**64 - 1, dtype=np.uint64), np.empty((part, len(factors)), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(grams), part):
+            found = room[: len(grams[k : k + part])]
+            np.multiply(grams[k : k + part, None], factors, out=found)
+            found += offsets
+            np.minimum(least, found.min(axis=0), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
+
+
 def band_hashes(rows: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS, ngram: int = NGRAM, seed: int = 1) -> DataFrame:
     """key, bands array<long> from (key, body): MinHash bands of the character n-grams of normalized bodies; none for short ones."""
     schema = pa.schema([("key", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -115,10 +130,7 @@ def band_hashes(rows: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS,
                     for k in range(ngram):
                         gram = (gram + points[k : len(points) - ngram + 1 + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
                     gram = np.unique(gram ^ (gram >> np.uint64(29)))
-                    least = np.full(n, 2**32 - 1, dtype=np.uint64)
-                    for k in range(0, len(gram), 256):
-                        np.minimum(least, ((gram[k : k + 256, None] * a + b) >> np.uint64(32)).min(axis=0), out=least)
-                labels = least.astype(np.uint32).reshape(bands, band_rows)
+                    labels = minimum_hashes(gram, a, b).reshape(bands, band_rows)
                 out.append([xxhash.xxh3_64_intdigest(labels[k].tobytes(), seed=k) - 2**63 for k in range(bands)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], schema=schema)
 
@@ -215,6 +227,11 @@ def near_duplicates_dropped(df: DataFrame, order_key: str, text_column: str = "t
 
 def deduplicated(df: DataFrame, order_key: str, text_column: str = "text", exact: bool = True, minhash: bool = False, rows: DataFrame | None = None, mode: str = "first") -> DataFrame:
     """Exact first, near duplicates among the survivors only; `rows` as in exact_duplicates_dropped, `mode` as in near_duplicate_keys."""
-    if exact:
+    if exact and minhash:
+        # The survivors are read twice below; their keys are found once.
+        keys = cut(exact_firsts(df, order_key, None, text_column).select(F.col(order_key).alias("_first")))
+        rows = df if rows is None else rows
+        df = rows.join(keys, F.col(order_key) == F.col("_first"), "left_semi")
+    elif exact:
         df = exact_duplicates_dropped(df, order_key, text_column, rows=rows)
     return near_duplicates_dropped(df, order_key, text_column, mode) if minhash else df

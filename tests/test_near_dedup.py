@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,16 @@ def test_a_chain_of_ten_thousand_rows(spark):
     assert rounds <= 16 and found.where("root = 0").count() == n - 1 == found.count()
 
 
+def test_minimum_hashes_shift_the_minima_only():
+    """Minima of shifted products, over no, one, and many slices."""
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 2**64, 126, dtype=np.uint64) | np.uint64(1), rng.integers(0, 2**64, 126, dtype=np.uint64)
+    for n in (0, 1, 255, 256, 257, 1000):
+        grams = rng.integers(0, 2**64, n, dtype=np.uint64)
+        expected = ((grams[:, None] * a + b) >> np.uint64(32)).min(axis=0, initial=2**32 - 1)
+        assert dedup.minimum_hashes(grams, a, b).tolist() == expected.tolist()
+
+
 def test_modes_over_texts(spark):
     words = " ".join(f"w{k}" for k in range(400)).split()
     texts = [(k, " ".join(words[4 * k : 4 * k + 200])) for k in range(40)] + [(100, "quite another text " * 9), (101, None), (102, "")]
