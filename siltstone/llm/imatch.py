@@ -53,6 +53,9 @@ class Terms(dict):
         return np.unique(np.fromiter(map(self.__getitem__, set(text.split())), dtype=np.uint64))
 
 
+#: Terms that a task counts before it hands them on; Spark adds them up within the task.
+MOST_COUNTED = 250_000
+
 #: Terms that a task holds: 8 bytes and a byte a subset each, 144 MB.
 MOST_TERMS = 2_000_000
 
@@ -85,7 +88,7 @@ def lexicon_table(docs: DataFrame, low: float = 3.0, high: float = 6.2, text_col
         for batch in batches:
             for text in batch.column(0):
                 seen.update({terms[w] for w in set(text.as_py().split())})
-                if len(seen) > 1_000_000:
+                if len(seen) > MOST_COUNTED:
                     yield flush()
         if seen:
             yield flush()

@@ -93,3 +93,9 @@ def test_a_range_is_found_by_halving(spark):
     rows = spark.createDataFrame([(x,) for x in (None, -5, 2, 3, 9, 10, 11, 12, 400, 10**12, 10**13)], "doc_id long")
     found = {r.doc_id: r.n for r in rows.select("doc_id", imatch.range_number(points, 0, len(points)).alias("n")).collect()}
     assert found == {x: sum(p <= x for p in points) if x is not None else 0 for x in found}
+
+
+def test_counts_handed_on_early_give_the_same_lexicon(spark, monkeypatch):
+    whole = imatch.lexicon(awkward.unique(spark), low=0.5, high=5.0).tolist()
+    monkeypatch.setattr(imatch, "MOST_COUNTED", 3)
+    assert len(whole) > 3 and imatch.lexicon(awkward.unique(spark), low=0.5, high=5.0).tolist() == whole
