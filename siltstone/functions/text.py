@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the white-space characters of Unicode text as the filters understand them, 29 code points.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The same as a class that tells printable ASCII by one comparison before it looks through the ranges.
-WHITE_CLASS = rf"[[^!-~]&&[{WHITE}]]"
+#: The same as a class: single Latin-1 characters are one table, and the ranges are looked through from U+1680 on only.
+WHITE_CLASS = rf"[[\u1680-\u3000&&[{WHITE}]]\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0]"
 WHITE_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 #: Fixed value: phrases that mark web boilerplate; overlapping phrases count each.

@@ -31,7 +31,7 @@ def trial_target(total_tokens: int, max_samples: int, n_sources: int) -> int:
 
 
 def mixed_keys(narrow: DataFrame, table: DataFrame, order_key: str) -> DataFrame:
-    """source, order key and tokens of the rows taken, from a table of those three columns.
+    """source, order key and tokens of the rows taken, from a table of those three columns; further ones, which should be narrow, are handed on.
 
     First pass: each source takes rows in order until its target is met; the row that crosses it is taken.  Second pass:
     what exhausted sources fell short of is filled from the others' next rows, their first, second, ... in turn.  All
@@ -43,6 +43,7 @@ def mixed_keys(narrow: DataFrame, table: DataFrame, order_key: str) -> DataFrame
     first, rest = rows.where("before < target"), rows.where("before >= target")
     missing = wanted - first.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     columns = ["source", order_key, "tokens"]
+    columns += [c for c in narrow.columns if c not in columns]
     if missing <= 0:
         return first.select(*columns)
     # A source gives at most the rows that begin within the missing tokens of its first leftover row.

@@ -24,6 +24,8 @@ from siltstone.operators.shared import cut, tasks
 
 #: Fixed value: the label that a loss ignores.
 IGNORED = -100
+#: Up to so many record numbers go to every task, about 40 MB; beyond, texts and numbers meet in a shuffled join.
+BROADCAST_NUMBERS = 1_000_000
 
 
 def next_fit(sizes: np.ndarray, length: int) -> np.ndarray:
@@ -210,7 +212,7 @@ class Records:
         return pa.RecordBatch.from_arrays(columns, names=["group", "seq", "input_ids", "labels", "attention_mask", "doc_starts"])
 
 
-def bodies(docs: DataFrame, order_key: str, text_column: str, fim_rate: float, code_sources: tuple[str, ...], seed: int, compat: bool) -> Column:
+def bodies(docs: DataFrame, order_key: str, text_column: str, fim_rate: float, code_sources: tuple[str, ...], seed: int = 42, compat: bool = False) -> Column:
     """The text that is packed: null as empty, rearranged for fill-in-the-middle for a share of the code rows."""
     body = F.coalesce(F.col(text_column), F.lit(""))
     if fim_rate and "source" in docs.columns:
@@ -231,21 +233,29 @@ def token_counts(tokenizer: Tokenizer, body: Column) -> Column:
     return run(body)
 
 
-def packed_stream(docs: DataFrame, tokenizer: Tokenizer, order_key: str, length: int, text_column: str = "text", fim_rate: float = 0.0, code_sources: tuple[str, ...] = ("code",), seed: int = 42, compat: bool = False, least_tokens: int = 5, most_records: int | None = None, batch_records: int = 256, group: Column | None = None) -> DataFrame:
+def packed_stream(docs: DataFrame, tokenizer: Tokenizer, order_key: str, length: int, text_column: str = "text", fim_rate: float = 0.0, code_sources: tuple[str, ...] = ("code",), seed: int = 42, compat: bool = False, least_tokens: int = 5, most_records: int | None = None, batch_records: int = 256, group: Column | None = None, counts: DataFrame | None = None, broadcast_numbers: int = BROADCAST_NUMBERS) -> DataFrame:
     """The records of packed_dataset with seq from 0 over the whole table: all documents as one stream, or one of each `group`, in order.
 
-    Records are numbered from keys and token counts alone; texts then go to the range of their record, and only those of
-    the first `most_records` are read and encoded.  A task holds one open record and at most `batch_records` closed ones.
+    Records are numbered from keys and token counts alone; texts then go to the task of their record, and only those of
+    the first `most_records` are moved and encoded.  A task holds one open record and at most `batch_records` closed ones.
+    `counts` states order key and packed_tokens (of token_counts) of the documents to pack, where they are known: texts
+    are not read for them, `group` is made from its columns, and `docs` may hold more rows, which are left out.
     """
-    part = F.lit(0) if group is None else group
-    rows = docs.select(part.cast("long").alias("group"), F.col(order_key).cast("long").alias("key"), bodies(docs, order_key, text_column, fim_rate, code_sources, seed, compat).alias("body"))
-    counts = rows.select("group", "key", token_counts(tokenizer, F.col("body")).alias("tokens")).where(F.col("tokens") >= least_tokens)
+    part, key = F.lit(0) if group is None else group, F.col(order_key).cast("long").alias("key")
+    body = bodies(docs, order_key, text_column, fim_rate, code_sources, seed, compat)
+    sized = docs.withColumn("packed_tokens", token_counts(tokenizer, body)) if counts is None else counts
+    counts = sized.select(part.cast("long").alias("group"), key, F.col("packed_tokens").alias("tokens")).where(F.col("tokens") >= least_tokens)
     numbered = stream_sequences(counts, "key", length) if group is None else global_sequence(cut(assign_sequences(counts, "key", length, F.col("group"))))
     numbered = numbered.select("key", "seq_no")
     if most_records is not None:
         numbered = numbered.where(F.col("seq_no") < most_records)
+    # With numbers few enough for every task, only texts that are kept are shuffled, and once.
+    numbered = cut(numbered)
+    if numbered.count() <= broadcast_numbers:
+        numbered = F.broadcast(numbered)
     encode, eos, pad = tokenizer.encode, tokenizer.eos, tokenizer.padding
-    dealt = rows.select("key", "body").join(numbered, "key").repartitionByRange(tasks(docs.sparkSession), "seq_no").sortWithinPartitions("seq_no", "key").select("seq_no", "body")
+    # Dealt by hash: ranges would be sampled first, which reads and joins all texts once more.
+    dealt = docs.select(key, body.alias("body")).join(numbered, "key").repartition(tasks(docs.sparkSession), "seq_no").sortWithinPartitions("seq_no", "key").select("seq_no", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held, used, starts, seq = Records(length, pad), np.empty(length, dtype=np.int32), 0, [], None

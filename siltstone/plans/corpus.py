@@ -38,20 +38,27 @@ class CorpusPlan:
 def source_reason(docs: DataFrame, kinds: dict[str, str]) -> Column:
     """The first failing rule by the kind of a row's source; `unknown_source` for sources or kinds without a filter."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for source, kind in kinds.items():
+    # One branch a kind, however many sources it has.
+    for kind in dict.fromkeys(kinds.values()):
         if kind in filters.REASONS:
-            out = out.when(F.col("source") == source, filters.REASONS[kind](docs))
+            out = out.when(F.col("source").isin(*(s for s, k in kinds.items() if k == kind)), filters.REASONS[kind](docs))
     return out.otherwise(F.lit("unknown_source"))
 
 
-def curated_keys(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key", report: BuildReport | None = None) -> DataFrame:
-    """order key, source, tokens of the rows that curated takes; filters and deduplication are counted into `report` on the way."""
+def curated_keys(docs: DataFrame, plan: CorpusPlan, order_key: str = "order_key", report: BuildReport | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """order key, source, tokens of the rows that curated takes; filters and deduplication are counted into `report` on the way.
+
+    With `tokenizer`, packed_tokens too, the tokens that packing counts, from the scan that filters.
+    """
     if report is None:
         kept = docs.where(source_reason(docs, plan.kinds).isNull())
     else:
         kept = report.filtered(docs.select(order_key, "source", "text", source_reason(docs, plan.kinds).alias("reason"))).where("reason is null")
     # Filters and hashes run once; everything after them is narrow.
-    firsts = dedup.exact_firsts(kept.withColumn("tokens", plan.tokens(F.col("text"))), order_key, ["source", "tokens"])
+    sizes = {"tokens": plan.tokens(F.col("text"))}
+    if tokenizer is not None:
+        sizes["packed_tokens"] = packing.token_counts(tokenizer, packing.bodies(kept, order_key, "text", plan.fim_rate, plan.code_sources))
+    firsts = dedup.exact_firsts(kept.withColumns(sizes), order_key, ["source", *sizes])
     narrow = cut(firsts if report is None else report.unique(firsts))
     if plan.minhash:
         survivors = docs.join(narrow.select(order_key), order_key, "left_semi")
@@ -87,16 +94,31 @@ def rejection_alerts(reasons: DataFrame, order_key: str = "order_key", limit: in
     return runs.where(F.col("n") >= limit).select("source", "first_key", "n")
 
 
-def packed_shards(docs: DataFrame, plan: CorpusPlan, tokenizer: Tokenizer = BYTES, order_key: str = "order_key", report: BuildReport | None = None) -> DataFrame:
-    """Packed records of curated documents in the order of keys, with seq_no and shard_index, up to the target."""
+def packed_shards(docs: DataFrame, plan: CorpusPlan, tokenizer: Tokenizer = BYTES, order_key: str = "order_key", report: BuildReport | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Packed records of curated documents in the order of keys, with seq_no and shard_index, up to the target.
+
+    With `counts`, order key and packed_tokens of the curated documents, `docs` are the loaded ones.
+    """
     group = F.floor(F.col(order_key) / plan.group_rows) if plan.group_rows else None
     most = windows.sequences_to(plan.length, plan.total_tokens)
-    packed = packing.packed_stream(docs, tokenizer, order_key, plan.length, fim_rate=plan.fim_rate, code_sources=plan.code_sources, most_records=most, group=group)
+    packed = packing.packed_stream(docs, tokenizer, order_key, plan.length, fim_rate=plan.fim_rate, code_sources=plan.code_sources, most_records=most, group=group, counts=counts)
     kept = (packed if report is None else report.packed(packed)).withColumnRenamed("seq", "seq_no")
     kept = kept.withColumn("real_tokens", F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m))
     return shards.shard_assignment(kept, shards.sequences_per_shard(plan.length, plan.shard_mb), plan.first_shard)
 
 
+def built_shards(docs: DataFrame, plan: CorpusPlan, tokenizer: Tokenizer = BYTES, order_key: str = "order_key", report: BuildReport | None = None) -> DataFrame:
+    """packed_shards of curated(docs).
+
+    Where tokens are counted without being made, the scan that filters counts them: curated texts are neither joined nor
+    moved for their sizes, and only texts of the records that are kept move at all.
+    """
+    if tokenizer is not BYTES:
+        return packed_shards(curated(docs, plan, order_key, report), plan, tokenizer, order_key, report)
+    counts = curated_keys(docs, plan, order_key, report, tokenizer).select(order_key, "packed_tokens")
+    return packed_shards(docs, plan, tokenizer, order_key, report, counts)
+
+
 def curated_report(docs: DataFrame) -> DataFrame:
     """The flagship: documents that pass the web filter, first of each content, by source with their token estimates.  One scan of the texts."""
     kept = docs.where(filters.web_reason(F.col("text")).isNull()).select("doc_id", "source", "text", tx.token_estimate(F.col("text")).alias("tokens"))

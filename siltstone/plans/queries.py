@@ -706,7 +706,7 @@ sq as (select start + seq as seq_no, sum(n)::int as real_tokens, count(*)::int a
 select seq_no, real_tokens, docs, (seq_no // {shards.sequences_per_shard(LENGTH, 1)} + 115)::int as shard_index from sq where seq_no < ceil((select total from goal) / {LENGTH}::double)""")
 def packed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, plan = production_plan(spark, sf_dir)
-    packed = corpus.packed_shards(corpus.curated(docs, plan, "doc_id"), plan, order_key="doc_id")
+    packed = corpus.built_shards(docs, plan, order_key="doc_id")
     return packed.select("seq_no", "real_tokens", F.size("doc_starts").alias("docs"), "shard_index")
 
 
@@ -724,7 +724,7 @@ def build_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of the production build, counted while it runs; rejections by reason are in filter_stats."""
     docs, plan = production_plan(spark, sf_dir)
     counted = report.BuildReport()
-    corpus.packed_shards(corpus.curated(docs, plan, "doc_id", counted), plan, order_key="doc_id", report=counted).write.format("noop").mode("overwrite").save()
+    corpus.built_shards(docs, plan, order_key="doc_id", report=counted).write.format("noop").mode("overwrite").save()
     return counted.table(spark).where("name not like 'reason%'")
 
 

@@ -1,11 +1,13 @@
 """Shards closed by bytes, and the report counted on the way, against plain Python and separate aggregates."""
 
+import dataclasses
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import filters, report, shards
+from siltstone.functions.tokens import BYTES, Tokenizer
+from siltstone.operators import filters, packing, report, shards
 from siltstone.operators.packing import packing_stats, stream_sequences
 from siltstone.plans import corpus, queries
 
@@ -65,6 +67,48 @@ def test_report_equals_separate_aggregates(spark, tmp_path):
     assert [{k: v for k, v in x.items() if k != "created_at"} for x in report.read_log(spark, str(tmp_path / "log"))] == [figures, figures]
 
 
+@pytest.mark.parametrize("fim_rate", [0.0, 0.7])
+def test_built_shards_equal_packed_shards_of_curated_documents(spark, fim_rate):
+    """The sizes come from the scan that filters; texts go through one exchange and are not sampled for ranges."""
+    docs, plan = queries.production_plan(spark, SF)
+    plan = dataclasses.replace(plan, fim_rate=fim_rate, code_sources=("src0", "src5"), length=700)
+    rows = lambda df: [tuple(r) for r in df.orderBy("seq_no").collect()]
+    built = corpus.built_shards(docs, plan, order_key="doc_id")
+    expected = rows(corpus.packed_shards(corpus.curated(docs, plan, "doc_id"), plan, order_key="doc_id"))
+    assert rows(built) == expected and len(expected) > 5
+    moved = built._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("Exchange") == 1 + moved.count("BroadcastExchange") == 2 and "rangepartitioning" not in moved
+    other = Tokenizer(BYTES.encode, eos=256, pad=257)
+    assert rows(corpus.built_shards(docs, plan, other, "doc_id")) == expected
+    counts = corpus.curated_keys(docs, plan, "doc_id", tokenizer=BYTES)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = packing.packed_stream(docs, BYTES, "doc_id", 700, fim_rate=fim_rate, code_sources=plan.code_sources, counts=counts, broadcast_numbers=0)
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    found = many.select(F.col("seq").alias("seq_no"), *(c for c in many.columns if c != "seq"))
+    shared = built.select(*found.columns)
+    assert rows(found)[: len(expected)] == rows(shared)
+
+
+def test_packed_shards_query_moves_texts_once(spark):
+    moved = queries.QUERIES["packed_shards"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("Exchange") == 1 + moved.count("BroadcastExchange") and "SortMergeJoin" not in moved
+
+
+def test_a_kind_is_one_branch_for_all_its_sources(spark):
+    docs, plan = queries.production_plan(spark, SF)
+    reason = corpus.source_reason(docs, plan.kinds)
+    assert docs.select(reason.alias("r"))._jdf.queryExecution().optimizedPlan().toString().count("generated_file") == 1
+    one_a_source = F.lit("unknown_source")
+    for source, kind in plan.kinds.items():
+        one_a_source = F.when(F.col("source") == source, filters.REASONS[kind](docs)).otherwise(one_a_source)
+    assert docs.where(~reason.eqNullSafe(one_a_source)).count() == 0
+    assert docs.limit(1).select(corpus.source_reason(docs, {}).alias("r")).first().r == "unknown_source"
+
+
 def test_every_reason_is_named(spark):
     """Names in the report are those that the rules themselves give."""
     given = {n for names in filters.REASON_NAMES.values() for n in names}

@@ -39,3 +39,13 @@ def test_ngrams_of_a_text_equal_slices(spark):
         assert len(grams) == len(set(grams)) and set(grams) == {body[k : k + 5] for k in range(len(body) - 4)}
     for raw, body in df.where("text is not null").select("text", tx.normalized(t)).collect():
         assert body == re.sub(r"\s+", " ", raw.lower().strip())
+
+
+def test_white_class_holds_the_white_characters_only(spark):
+    """Of all code points outside the surrogates; printable ASCII and Latin-1 are told by one table, without a range."""
+    codes = [k for k in range(1, 0x110000) if not 0xD800 <= k < 0xE000]
+    text = "".join(map(chr, codes))
+    df = spark.createDataFrame([(text,)], "text string")
+    left = df.select(F.regexp_replace("text", f"{tx.WHITE_CLASS}+", "")).first()[0]
+    assert left == "".join(c for c in text if c not in tx.WHITE_CHARACTERS)
+    assert tx.WHITE_CLASS.count("^") == 0 and all(rf"\x{k:02x}" in tx.WHITE_CLASS for k in (0x0B, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0))
